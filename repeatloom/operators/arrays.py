@@ -90,18 +90,27 @@ def with_strand_runs(
     The first of equal families wins; rows without any run get a null family.
     With ``family`` given, that family is used for every row.
     """
-    text = F.col(seq)
     units = (family,) if family else families
+    sizes = sorted({len(u) for u in units})
+
+    def runs(v: Column, kmers: Sequence[str]) -> Column:
+        k = len(kmers[0])
+        mine = F.filter(
+            v[f"h{k}"], lambda p: F.substring(v["raw"], p + 1, k).cast("string").isin(list(kmers)))
+        return M.runs_of_hits(mine, k, min_run)
 
-    def entry(i: int, unit: str) -> Column:
-        fwd = M.covered_runs(text, M.forward(unit), min_run)
-        rev = M.covered_runs(text, M.backward(unit), min_run)
-        return M.let(F.struct(fwd.alias("fwd"), rev.alias("rev")), lambda r: F.struct(
+    def entry(v: Column, i: int, unit: str) -> Column:
+        both = F.struct(runs(v, M.forward(unit)).alias("fwd"), runs(v, M.backward(unit)).alias("rev"))
+        return M.let(both, lambda r: F.struct(
             (M.total_bases(r["fwd"]) + M.total_bases(r["rev"])).alias("bp"),
             F.lit(-i).alias("rank"), F.lit(unit).alias("family"),
             r["fwd"].alias("fwd_runs"), r["rev"].alias("rev_runs")))
 
-    best = F.array_max(F.array(*[entry(i, u) for i, u in enumerate(units)]))
+    # One scan per motif length serves all families of that length.
+    scanned = F.struct(F.col(seq).cast("binary").alias("raw"), *[
+        M.hit_positions(F.col(seq), [m for u in units if len(u) == k for m in M.both_strands(u)]).alias(f"h{k}")
+        for k in sizes])
+    best = M.let(scanned, lambda v: F.array_max(F.array(*[entry(v, i, u) for i, u in enumerate(units)])))
     return once(df, _best=best).select(
         *df.columns,
         F.when((F.col("_best.bp") > 0) | F.lit(family is not None), F.col("_best.family")).alias("family"),

@@ -363,3 +363,13 @@ def window_landscape(
         .withColumn("cds_share", F.least(F.col("cds_bp"), width) / width)
         .withColumn("hits_per_kb", F.col("n_hits") * 1000 / width)
     )
+
+
+def ortholog_presence(rows: DataFrame, free: DataFrame) -> DataFrame:
+    """Per ortholog: rows, genomes, and rows with an intron-free locus elsewhere."""
+    loci = free.select("ortholog").distinct().withColumn("_free", F.lit(1))
+    counted = rows.groupBy("ortholog").agg(
+        F.count("*").alias("n_present"), F.count_distinct("genome").alias("n_genomes"))
+    return counted.join(loci, "ortholog", "left").select(
+        "ortholog", "n_present", "n_genomes",
+        F.when(F.col("_free") == 1, F.col("n_present")).otherwise(0).alias("n_with_free_locus"))

@@ -1,5 +1,5 @@
 """Check queries over the given tables."""
 
-from repeatloom.suite import motif_checks  # noqa: F401
+from repeatloom.suite import interval_checks, motif_checks  # noqa: F401
 
 FLAGSHIP = "m03_threshold_counts"
