@@ -188,33 +188,31 @@ def covering_label(
     return points.join(labelled, [*keys, "pos"], "left")
 
 
-def _on_level(blocks: Column, level: int) -> Column:
-    return F.transform(blocks, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
-
-
 def _radix_blocks(start: Column, end: Column, levels: Sequence[int]) -> Column:
     """Blocks of sizes 4^j that tile ``[start, end)`` exactly.
 
-    On each level the ragged ends, up to the next multiple of the larger size,
-    are emitted; what is left goes to the level above.
+    On each level the aligned part reaches from the first multiple of the size to
+    the last one.  A level emits what lies outside the aligned part of the next
+    level, or all of its own if the next one has none.
     """
-    parts = []
     lo, hi = start.cast("long"), end.cast("long")
-    for j in levels:
-        size, up = _RADIX ** j, _RADIX ** (j + 1)
-        if j == levels[-1]:
-            head_end, tail_start = hi, hi
-        else:
-            head_end = F.least(hi, (F.ceil(lo / up) * up).cast("long"))
-            tail_start = F.greatest(head_end, (F.floor(hi / up) * up).cast("long"))
-        for a, b in ((lo, head_end), (tail_start, hi)):
-            blocks = F.when(
-                b > a,
-                F.sequence(F.floor(a / size).cast("long"), F.floor((b - 1) / size).cast("long"))
-            ).otherwise(F.array().cast("array<bigint>"))
-            parts.append(_on_level(blocks, j))
-        lo, hi = head_end, tail_start
-    return F.concat(*parts)
+    up = lambda s: (F.ceil(lo / s) * s).cast("long")
+    down = lambda s: (F.floor(hi / s) * s).cast("long")
+    none = F.array().cast("array<bigint>")
+
+    def blocks(a: Column, b: Column, size: Column) -> Column:
+        return F.when(b > a, F.sequence((a / size).cast("long"), (b / size).cast("long") - 1)).otherwise(none)
+
+    def level(size: Column, j: Column) -> Column:
+        bigger = size * _RADIX
+        nested = up(bigger) < down(bigger)
+        mine = F.when(nested, F.concat(
+            blocks(up(size), up(bigger), size), blocks(down(bigger), down(size), size))
+        ).otherwise(blocks(up(size), down(size), size))
+        return F.transform(mine, lambda x: F.struct(j.alias("level"), x.alias("block")))
+
+    sizes = F.array(*[F.lit(_RADIX ** j).cast("long") for j in levels])
+    return F.flatten(F.transform(sizes, level))
 
 
 def annotate_points(

@@ -156,3 +156,11 @@ def size_statistics(sizes: DataFrame) -> DataFrame:
         F.count_if(s >= 10).alias("n_ge10"),
         F.max(s).alias("largest"),
     )
+
+
+def members(df: DataFrame, k: int, min_len: int, seq: str = "seq", by: str = "id") -> DataFrame:
+    """Which distinct set each sequence has."""
+    ks = kmer_set(F.col(seq), k)
+    return (
+        df.where(F.length(seq) >= min_len).select(by, ks.alias("_ks")).where(F.size("_ks") > 0)
+        .select(by, F.sha2(F.array_join("_ks", ""), 256).alias("set_key")))

@@ -193,3 +193,26 @@ def pair_distance(pairs: DataFrame) -> DataFrame:
 def end_distance(start: Column, end: Column, contig_len: Column) -> Column:
     """Distance of an interval to the nearer end of its contig."""
     return F.least(start, contig_len - end)
+
+
+def every_nth(df: DataFrame, group: Sequence[str], order: Sequence[Column], step: int) -> DataFrame:
+    """Every ``step``-th row of each group's order, from the first on."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).where((F.col("_r") - 1) % step == 0).drop("_r")
+
+
+def species_rollup(rows: DataFrame, classes: dict[str, str], species: str = "species") -> DataFrame:
+    """Rows, mean length, distinct genes and orientation counts per species."""
+    return rows.groupBy(species).agg(
+        F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.count_distinct("gene").alias("n_genes"),
+        *[F.count_if(F.col("orientation") == value).alias(name) for name, value in classes.items()])
+
+
+def burden(genomes: DataFrame, taxa: Sequence[str]) -> DataFrame:
+    """Share of rows of interest per genome, rolled up over the taxonomy."""
+    share = F.col("telo") / F.col("total")
+    return genomes.rollup(*taxa).agg(
+        F.count("*").alias("n_genomes"), F.sum("telo").alias("telo"), F.sum("total").alias("total"),
+        F.avg(share).alias("mean_burden"), F.percentile(share, F.lit(0.5)).alias("median_burden"),
+        (F.percentile(share, F.lit(0.75)) - F.percentile(share, F.lit(0.25))).alias("iqr"),
+        (F.count_if(F.col("telo") > 0) / F.count("*")).alias("prevalence"))

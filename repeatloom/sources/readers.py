@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repeatloom.functions import scalars as S
+from repeatloom.operators.durable import once
 
 # --- fixed values -----------------------------------------------------------
 ACCESSION = r"(GC[AF]_\d+\.\d+)"
@@ -27,11 +28,9 @@ EXON_TYPES = ("exon", "CDS")
 
 
 def _fields(lines: DataFrame, least: int) -> DataFrame:
-    return (
-        lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-        .withColumn("f", F.split("value", "\t"))
-        .where(F.size("f") >= least)
-    )
+    return once(
+        lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")), f=F.split("value", "\t")
+    ).where(F.size("f") >= least)
 
 
 def parse_gff(lines: DataFrame) -> DataFrame:
@@ -125,14 +124,12 @@ def parse_repeat_finder(lines: DataFrame, min_span: int = 10) -> DataFrame:
     names = ("seq_id", "tr_start", "tr_end", "period", "score", "consensus", "copies", "substitutions",
              "insertions", "deletions")
     rest = [c for c in lines.columns if c != "value"]
-    cells = lines.where(~F.col("value").startswith("SeqID")).withColumn("f", F.split("value", "\t")).where(
+    cells = once(lines.where(~F.col("value").startswith("SeqID")), f=F.split("value", "\t")).where(
         F.size("f") >= len(FINDER_COLUMNS))
-    cast = cells.select(*rest, *[
-        F.expr(f"try_cast(f[{i}] as {kind})").alias(name) for i, (name, kind) in enumerate(zip(names, kinds))])
-    whole = F.lit(True)
-    for name in names:
-        whole = whole & F.col(name).isNotNull()
-    return cast.where(whole & (F.col("tr_end") - F.col("tr_start") >= min_span))
+    cast = once(cells, **{
+        name: F.expr(f"try_cast(f[{i}] as {kind})") for i, (name, kind) in enumerate(zip(names, kinds))})
+    return cast.select(*rest, *names).dropna(subset=list(names)).where(
+        F.col("tr_end") - F.col("tr_start") >= min_span)
 
 
 def read_repeat_finder(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
