@@ -58,50 +58,39 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
     Exact, by a prefix filter.  K-mers are ordered from rare to common.  A smaller
     set A that shares at least ``ceil(t*|A|)`` k-mers must share one of its first
-    ``|A| - ceil(t*|A|) + 1``, so only those are looked up, and the most common
-    k-mers are not.  Postings of a k-mer that is still common are split into as
-    many parts as its frequency asks for.  Candidates are then checked on the
-    full sets.
+    ``|A| - ceil(t*|A|) + 1``, so only those are looked up, and its most common
+    k-mers are not.  K-mers of one set only come first in that order and are never
+    joined.  Postings of a k-mer that is still common are split into as many parts
+    as its frequency asks for.  Candidates are checked on the shared k-mers.
     """
-    reps = sets.select("rep", "ks", F.size("ks").alias("n"))
-    postings = reps.select("rep", "n", F.explode("ks").alias("kmer"))
-    freq = postings.groupBy("kmer").agg(F.count("*").alias("df"))
-    freq = freq.withColumn("parts", F.ceil(F.col("df") / HOT).cast("int"))
-    indexed = _spread_join(postings, freq).withColumn(
-        "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    ordered = indexed.groupBy("rep", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "kmer", "parts"))).alias("ws"))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    postings = sets.select("rep", F.size("ks").alias("n"), F.explode("ks").alias("kmer"))
+    shared = postings.groupBy("kmer").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    ordered = (
+        postings.join(shared, "kmer")
+        .groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "kmer"))).alias("ws")))
+    ordered = cut(ordered)
+    need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    alone = F.col("n") - F.size("ws")
+    keep = F.greatest(F.lit(0), F.col("n") - need + 1 - alone).cast("int")
+    parts = F.ceil(F.col("_w.df") / HOT).cast("int")
     probes = (
-        ordered.select(F.col("rep").alias("a"), F.col("n").alias("na"),
-                       F.explode(F.slice("ws", F.lit(1), F.greatest(keep, F.lit(1)))).alias("_w"))
-        .where(F.col("_w.df") > 1)
-        .select("a", "na", F.col("_w.kmer").alias("kmer"),
-                F.explode(F.sequence(F.lit(0), F.col("_w.parts") - 1)).alias("part"))
-    )
+        ordered.where(F.size("ws") >= need)
+        .select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.slice("ws", F.lit(1), keep)).alias("_w"))
+        .select("a", "na", F.col("_w.kmer").alias("kmer"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+    indexed = ordered.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode("ws").alias("_w")).select(
+        "b", "nb", F.col("_w.kmer").alias("kmer"), F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     candidates = (
-        probes.join(indexed.select("kmer", "part", F.col("rep").alias("b"), F.col("n").alias("nb")),
-                    ["kmer", "part"])
+        probes.join(indexed, ["kmer", "part"])
         .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        .select("a", "b").distinct()
-    )
-    left = reps.select(F.col("rep").alias("a"), F.col("ks").alias("ka"))
-    right = reps.select(F.col("rep").alias("b"), F.col("ks").alias("kb"))
-    shared = F.size(F.array_intersect("ka", "kb"))
+        .select("a", "b").distinct())
+    words = ordered.select("rep", "n", F.col("ws.kmer").alias("ks"))
+    left, right = words.toDF("a", "na", "ka"), words.toDF("b", "nb", "kb")
+    both = F.size(F.array_intersect("ka", "kb"))
     return (
         candidates.join(left, "a").join(right, "b")
-        .select("a", "b", shared.alias("shared"),
-                (shared / F.least(F.size("ka"), F.size("kb"))).alias("overlap"))
-        .where(F.col("overlap") >= threshold)
-    )
-
-
-def _spread_join(postings: DataFrame, freq: DataFrame, salts: int = 16) -> DataFrame:
-    """Frequencies joined back to postings, common k-mers spread over salts."""
-    salted = freq.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        postings.withColumn("_s", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
-        .join(salted, ["kmer", "_s"]).drop("_s"))
+        .select("a", "b", both.alias("shared"), F.least("na", "nb").alias("_n"))
+        .select("a", "b", "shared", (F.col("shared") / F.col("_n")).alias("overlap"))
+        .where(F.col("overlap") >= threshold))
 
 
 def degrees(sets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from repeatloom.operators.ordered import attach_to_groups, running, value_bin
 
 
 def upper_median(col: str) -> Column:
-    """``sorted[n // 2]``, not interpolated."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)")
+    """``sorted[n // 2]`` of whole numbers, not interpolated."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)").cast("long")
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

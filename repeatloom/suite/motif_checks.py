@@ -12,10 +12,9 @@ from repeatloom.operators import summaries as G
 from repeatloom.operators.durable import once
 from repeatloom.suite import views as V
 from repeatloom.suite.registry import check
-from repeatloom.suite.views import with_ctes
+from repeatloom.suite.views import seq_col, with_ctes
 
 TTA_F, TTA_R, TTA = M.forward("TTAGGG"), M.backward("TTAGGG"), M.both_strands("TTAGGG")
-SEQ = F.col("seq")
 
 
 @check("m01_motif_hits", with_ctes("tta_hits", body="""
@@ -23,8 +22,8 @@ SELECT doc_id, strand, count(*) AS n_hits, min(pos) AS first_pos, max(pos) AS la
 FROM tta_hits GROUP BY doc_id, strand"""))
 def m01(spark, sf):
     s = V.seqs(spark, sf).withColumn("s", F.explode(F.array(
-        F.struct(F.lit("fwd").alias("strand"), M.hit_positions(SEQ, TTA_F).alias("h")),
-        F.struct(F.lit("rev").alias("strand"), M.hit_positions(SEQ, TTA_R).alias("h")))))
+        F.struct(F.lit("fwd").alias("strand"), M.hit_positions(seq_col(), TTA_F).alias("h")),
+        F.struct(F.lit("rev").alias("strand"), M.hit_positions(seq_col(), TTA_R).alias("h")))))
     return (
         s.select("doc_id", "s.strand", F.explode("s.h").alias("pos")).groupBy("doc_id", "strand")
         .agg(F.count("*").alias("n_hits"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
@@ -43,7 +42,7 @@ def m01_contig(spark, sf):
 SELECT doc_id, family, round(cov, 6) AS cov FROM survey_cov"""))
 def m02(spark, sf):
     return V.seqs(spark, sf).select(
-        "doc_id", F.explode(A.family_coverages(SEQ, M.SURVEY_FAMILIES)).alias("c")
+        "doc_id", F.explode(A.family_coverages(seq_col(), M.SURVEY_FAMILIES)).alias("c")
     ).select("doc_id", "c.family", F.round("c.cov", 6).alias("cov"))
 
 
@@ -53,7 +52,7 @@ SELECT genome, count(*) AS n_total, count(*) FILTER (cov >= 0.1) AS ge_10, count
   count(*) FILTER (cov >= 0.95) AS ge_95
 FROM tta_cov JOIN seqs USING (doc_id) GROUP BY genome"""))
 def m03(spark, sf):
-    s = V.seqs(spark, sf).select("genome", M.coverage(SEQ, TTA).alias("telo_coverage"))
+    s = V.seqs(spark, sf).select("genome", M.coverage(seq_col(), TTA).alias("telo_coverage"))
     return G.threshold_counts(s, ["genome"])
 
 
@@ -61,8 +60,8 @@ def m03(spark, sf):
 SELECT doc_id, strand, CAST(s AS BIGINT) AS run_start, CAST(e AS BIGINT) AS run_end FROM tta_strand_runs"""))
 def m04(spark, sf):
     s = V.seqs(spark, sf).withColumn("s", F.explode(F.array(
-        F.struct(F.lit("fwd").alias("strand"), M.covered_runs(SEQ, TTA_F).alias("r")),
-        F.struct(F.lit("rev").alias("strand"), M.covered_runs(SEQ, TTA_R).alias("r")))))
+        F.struct(F.lit("fwd").alias("strand"), M.covered_runs(seq_col(), TTA_F).alias("r")),
+        F.struct(F.lit("rev").alias("strand"), M.covered_runs(seq_col(), TTA_R).alias("r")))))
     return s.select("doc_id", "s.strand", F.explode("s.r").alias("r")).select(
         "doc_id", "strand", F.col("r.start").cast("long").alias("run_start"),
         F.col("r.end").cast("long").alias("run_end"))
@@ -90,7 +89,7 @@ def m05(spark, sf):
 SELECT doc_id, CAST(f AS BIGINT) AS n_fwd, CAST(r AS BIGINT) AS n_rev, round(fwd_frac, 6) AS fwd_frac, orientation FROM strand_class"""))
 def m06(spark, sf):
     return A.with_strand_class(V.seqs(spark, sf)).select(
-        "doc_id", M.separate_count(SEQ, TTA_F).alias("n_fwd"), M.separate_count(SEQ, TTA_R).alias("n_rev"),
+        "doc_id", M.separate_count(seq_col(), TTA_F).alias("n_fwd"), M.separate_count(seq_col(), TTA_R).alias("n_rev"),
         F.round("fwd_frac", 6).alias("fwd_frac"), "orientation")
 
 
@@ -187,7 +186,7 @@ near_hits AS (SELECT doc_id, pos, 6 AS k FROM windows WHERE canon + variant > 0)
 SELECT l.doc_id, round(CASE WHEN n > 0 THEN coalesce(b, 0) / n ELSE 0.0 END, 6) AS cov
 FROM lens l LEFT JOIN (SELECT doc_id, CAST(sum(e - s) AS DOUBLE) AS b FROM near_runs GROUP BY doc_id) r ON r.doc_id = l.doc_id"""))
 def m13(spark, sf):
-    return V.seqs(spark, sf).select("doc_id", F.round(M.coverage_one_mismatch(SEQ, "TTAGGG"), 6).alias("cov"))
+    return V.seqs(spark, sf).select("doc_id", F.round(M.coverage_one_mismatch(seq_col(), "TTAGGG"), 6).alias("cov"))
 
 
 _STRICT = """longest AS (SELECT doc_id, strand, s, e FROM (
@@ -241,7 +240,7 @@ arrays AS (
 @check("m17_register_arrays", with_ctes("seqs", extra=_ARRAYS, body="""
 SELECT doc_id, s AS array_start, s + len AS array_end, len // 6 AS copies, round((len // 6) / (len // 6 + 1), 6) AS purity FROM arrays"""))
 def m17(spark, sf):
-    return V.seqs(spark, sf).select("doc_id", F.explode(A.register_arrays(SEQ)).alias("a")).select(
+    return V.seqs(spark, sf).select("doc_id", F.explode(A.register_arrays(seq_col())).alias("a")).select(
         "doc_id", F.col("a.start").alias("array_start"), F.col("a.end").alias("array_end"), "a.copies",
         F.round(F.col("a.copies") / (F.col("a.copies") + 1), 6).alias("purity"))
 
@@ -306,7 +305,7 @@ SELECT l.doc_id, CASE WHEN l.n >= 200 THEN coalesce(h, 0) ELSE 0 END AS n_hits,
 FROM lens l LEFT JOIN (SELECT doc_id, CAST(sum(hit) AS BIGINT) AS h, count(*) FILTER (inside >= 2 AND pos + 200 <= n) AS d FROM sliding GROUP BY doc_id) s
   ON s.doc_id = l.doc_id"""))
 def m23(spark, sf):
-    return once(V.seqs(spark, sf), d=A.dense_windows(SEQ, TTA)).select("doc_id", "d.*")
+    return once(V.seqs(spark, sf), d=A.dense_windows(seq_col(), TTA)).select("doc_id", "d.*")
 
 
 @check("m24_half_site_pairs", with_ctes("flanks", extra="""joined AS (SELECT doc_id, lf || rf AS t FROM flanks),
@@ -329,7 +328,7 @@ def m24(spark, sf):
 SELECT doc_id, CASE WHEN f + r = 0 THEN 'unknown' WHEN f > r THEN 'TTAGGG' ELSE 'CCCTAA' END AS repeat_unit FROM strand_counts"""))
 def m25(spark, sf):
     return V.seqs(spark, sf).select("doc_id", M.dominant_unit(
-        M.separate_count(SEQ, TTA_F), M.separate_count(SEQ, TTA_R)).alias("repeat_unit"))
+        M.separate_count(seq_col(), TTA_F), M.separate_count(seq_col(), TTA_R)).alias("repeat_unit"))
 
 
 @check("m27_linker_purity_class", with_ctes("turns", "tta", body="""
@@ -346,7 +345,7 @@ def m27(spark, sf):
 SELECT doc_id, length(regexp_extract_all(seq, 'G{3,}(?:[ACGT]{1,7}G{3,}){3}')) + length(regexp_extract_all(seq, 'C{3,}(?:[ACGT]{1,7}C{3,}){3}')) AS n_g4,
   round((length(regexp_extract_all(seq, 'G{3,}(?:[ACGT]{1,7}G{3,}){3}')) + length(regexp_extract_all(seq, 'C{3,}(?:[ACGT]{1,7}C{3,}){3}'))) * 1000.0 / greatest(length(seq), 1), 6) AS per_kb FROM seqs"""))
 def m28(spark, sf):
-    n = S.quadruplex_count(SEQ)
+    n = S.quadruplex_count(seq_col())
     return V.seqs(spark, sf).select(
         "doc_id", n.alias("n_g4"), F.round(n * 1000 / F.greatest(F.length("seq"), F.lit(1)), 6).alias("per_kb"))
 

@@ -14,9 +14,8 @@ from repeatloom.sinks import writers as K
 from repeatloom.sources import readers as R
 from repeatloom.suite import views as V
 from repeatloom.suite.registry import check
-from repeatloom.suite.views import RC, with_ctes
+from repeatloom.suite.views import RC, seq_col, with_ctes
 
-SEQ = F.col("seq")
 
 
 @check("p01_rotations", f"""
@@ -42,7 +41,7 @@ SELECT doc_id, md5(norm_seq) AS norm, donor, acceptor, left(norm_seq, 8) AS dono
 FROM (SELECT *, left(norm_seq, 2) = 'GT' AND right(norm_seq, 2) = 'AG' AND length(norm_seq) >= 8 AS g FROM norm)"""))
 def p03(spark, sf):
     n = F.col("norm_seq")
-    rows = once(V.seqs(spark, sf), norm_seq=S.sense_strand(SEQ), donor=S.first(SEQ, 2), acceptor=S.last(SEQ, 2))
+    rows = once(V.seqs(spark, sf), norm_seq=S.sense_strand(seq_col()), donor=S.first(seq_col(), 2), acceptor=S.last(seq_col(), 2))
     return rows.select(
         "doc_id", F.md5("norm_seq").alias("norm"), "donor", "acceptor", S.first(n, 8).alias("donor_8"),
         S.last(n, 8).alias("acceptor_8"), S.inner_motif(n, "donor").alias("donor_4"),
@@ -55,8 +54,8 @@ def p03(spark, sf):
 SELECT id, left(a, 2) = 'GT' AND left(a, 6) IN (SELECT kmer FROM tta) AS gt_a, right(a, 2) = 'AG' AND right(a, 6) IN (SELECT kmer FROM tta) AS ag_a,
   left(b, 2) = 'GT' AND left(b, 6) IN (SELECT kmer FROM tta) AS gt_b, right(b, 2) = 'AG' AND right(b, 6) IN (SELECT kmer FROM tta) AS ag_b FROM edges"""))
 def p07(spark, sf):
-    a = F.concat(F.lit("GTTAGG"), SEQ, F.lit("AACCAG"))
-    b = F.concat(F.lit("GT"), SEQ, F.lit("TTAGGGTTAG"))
+    a = F.concat(F.lit("GTTAGG"), seq_col(), F.lit("AACCAG"))
+    b = F.concat(F.lit("GT"), seq_col(), F.lit("TTAGGGTTAG"))
     return V.turns(spark, sf).select(
         "id", S.edge_in_repeat(a, "donor").alias("gt_a"), S.edge_in_repeat(a, "acceptor").alias("ag_a"),
         S.edge_in_repeat(b, "donor").alias("gt_b"), S.edge_in_repeat(b, "acceptor").alias("ag_b"))
@@ -123,7 +122,7 @@ def p14(spark, sf):
 SELECT id, round(CASE WHEN h > 0 THEN (h - hamming(left(seq, h), {RC.format('right(seq, h)')})) / h ELSE 0.0 END, 6) AS identity
 FROM (SELECT id, seq, length(seq) // 2 AS h FROM turns)"""))
 def p16(spark, sf):
-    return V.turns(spark, sf).select("id", F.round(S.palindrome_identity(SEQ), 6).alias("identity"))
+    return V.turns(spark, sf).select("id", F.round(S.palindrome_identity(seq_col()), 6).alias("identity"))
 
 
 @check("p17_site_duplication", with_ctes("flanks", body="""
@@ -189,8 +188,8 @@ _VCF = """vcf AS (SELECT id, seq, id % 5 AS kind, CASE id % 5 WHEN 0 THEN '<INS>
 def _vcf_lines(spark, sf):
     kind = F.col("id") % 5
     alt = (
-        F.when(kind == 0, "<INS>").when(kind == 1, F.concat(F.lit("A"), SEQ))
-        .when(kind == 2, F.concat(F.lit("AC,A"), SEQ)).when(kind == 3, "AC,<DEL>").otherwise("C"))
+        F.when(kind == 0, "<INS>").when(kind == 1, F.concat(F.lit("A"), seq_col()))
+        .when(kind == 2, F.concat(F.lit("AC,A"), seq_col())).when(kind == 3, "AC,<DEL>").otherwise("C"))
     info = F.when(kind == 0, F.concat(F.lit("SVTYPE=INS;SEQ="), F.lower("seq"))).otherwise("SVTYPE=DEL")
     return V.turns(spark, sf).select(F.concat_ws(
         "\t", F.lit("chr1"), F.col("id").cast("string"), F.concat(F.lit("sv"), F.col("id").cast("string")), F.lit("A"),
@@ -341,7 +340,7 @@ def k05(spark, sf):
 @check("o01_o02_top_rows", with_ctes("tta_cov", body="""
 SELECT doc_id, round(cov, 6) AS cov FROM tta_cov ORDER BY cov DESC, doc_id LIMIT 50"""))
 def o01(spark, sf):
-    s = V.seqs(spark, sf).select("doc_id", M.coverage(SEQ, M.both_strands("TTAGGG")).alias("cov"))
+    s = V.seqs(spark, sf).select("doc_id", M.coverage(seq_col(), M.both_strands("TTAGGG")).alias("cov"))
     return K.capped(s, [F.desc("cov"), "doc_id"], 50).select("doc_id", F.round("cov", 6).alias("cov"))
 
 
@@ -371,7 +370,7 @@ SELECT (SELECT count(*) FROM (SELECT w FROM a UNION SELECT w FROM b)) AS n_union
   (SELECT count(*) FROM (SELECT w FROM a EXCEPT SELECT w FROM b)) AS n_only_user"""))
 def o05(spark, sf):
     from repeatloom.operators.kmers import kmer_list
-    words = V.turns(spark, sf).select("role", F.explode(kmer_list(SEQ, 6)).alias("w"))
+    words = V.turns(spark, sf).select("role", F.explode(kmer_list(seq_col(), 6)).alias("w"))
     sides = words.groupBy("w").agg(F.max((F.col("role") == "user").cast("int")).alias("u"),
                                    F.max((F.col("role") == "assistant").cast("int")).alias("a"))
     u, a = F.col("u") == 1, F.col("a") == 1

@@ -17,9 +17,8 @@ from repeatloom.plans import validation as C
 from repeatloom.suite import views as V
 from repeatloom.suite.motif_checks import _TERMINALS
 from repeatloom.suite.registry import check
-from repeatloom.suite.views import with_ctes
+from repeatloom.suite.views import seq_col, with_ctes
 
-SEQ = F.col("seq")
 
 
 def shaped(spark, sf):
@@ -135,42 +134,47 @@ def g11top(spark, sf):
     return G.top_k(top, [], [F.desc("n_seqs"), F.asc("kmer")], 15)
 
 
-_SETS = """km AS (SELECT DISTINCT id, w FROM (
-    SELECT id, substring(seq, CAST(i AS BIGINT) + 1, 8) AS w FROM turns, unnest(range(length(seq) - 7)) r(i)
-    UNION ALL SELECT id, substring(reverse(translate(seq, 'ACGT', 'TGCA')), CAST(i AS BIGINT) + 1, 8) FROM turns, unnest(range(length(seq) - 7)) r(i))),
+_SETS = f"""strands AS (SELECT doc_id AS id, dna AS seq, length(dna) AS n FROM dna WHERE length(dna) >= 32 UNION ALL SELECT doc_id, {RC.format('dna')}, length(dna) FROM dna WHERE length(dna) >= 32),
+km AS (SELECT DISTINCT id, substring(t, CAST(j AS BIGINT) + 1, 16) AS w FROM (
+    SELECT id, n, base, substring(seq, CAST(base AS BIGINT) + 1, 1015) AS t FROM (SELECT *, unnest(range(0, n, 1000)) AS base FROM strands)), unnest(range(1000)) r(j)
+  WHERE base + j + 16 <= n),
 sizes AS (SELECT id, count(*) AS n FROM km GROUP BY id),
 shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM km a JOIN km b ON a.w = b.w AND a.id <> b.id GROUP BY ALL)"""
 
 
-@check("j13_central_linkers", with_ctes("turns", extra=_SETS, body="""
+def _texts(spark, sf):
+    """Whole documents; 16-mers, because invented prose repeats its syllables."""
+    return V.dna(spark, sf).select(F.col("doc_id").alias("id"), F.col("dna").alias("seq"))
+
+
+@check("j13_central_linkers", with_ctes("dna", extra=_SETS, body="""
 SELECT s.id, count(b) AS degree FROM sizes s LEFT JOIN (
   SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE c / least(x.n, y.n) >= 0.20) p ON p.a = s.id GROUP BY s.id"""))
 def j13(spark, sf):
-    t = V.turns(spark, sf)
-    sets = K.distinct_sets(t, 8, 8)
+    t = _texts(spark, sf)
+    sets = K.distinct_sets(t, 16, 32)
     degree = K.degrees(sets, K.similar_sets(sets, 0.20)).join(sets.select("rep", "set_key"), "rep")
-    return K.members(t, 8, 8).join(degree, "set_key").select("id", "degree")
+    return K.members(t, 16, 32).join(degree, "set_key").select("id", "degree")
 
 
-@check("g12_linker_groups", with_ctes("turns", extra=_SETS.replace("SELECT DISTINCT id, w FROM", "SELECT DISTINCT id, w FROM", 1) + """,
-edges AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE c / least(x.n, y.n) >= 0.85)""", body="""
+@check("g12_linker_groups", with_ctes("dna", extra=_SETS + """,
+edges AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE c / least(x.n, y.n) >= 0.50)""", body="""
 SELECT count(*) AS n_groups, count(*) FILTER (size = 1) AS n_singletons, count(*) FILTER (size >= 3) AS n_ge3, count(*) FILTER (size >= 10) AS n_ge10, max(size) AS largest FROM (
   SELECT label, count(*) AS size FROM (
     WITH RECURSIVE reach(id, other) AS (SELECT id, id FROM sizes UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other)
     SELECT id, min(other) AS label FROM reach GROUP BY id) GROUP BY label)"""))
 def g12(spark, sf):
-    return K.size_statistics(L.linker_groups(V.turns(spark, sf), threshold=0.85))
+    return K.size_statistics(L.linker_groups(_texts(spark, sf), 16, threshold=0.50))
 
 
 @check("g15_pair_distance", """
-WITH p AS (SELECT o_custkey, o_orderkey AS id, o_custkey % 3 AS x, o_orderkey % 7 AS contig, CAST(o_totalprice AS BIGINT) AS s, CAST(o_totalprice AS BIGINT) + 100 AS e FROM orders WHERE o_orderstatus = 'P')
+WITH p AS (SELECT o_custkey, o_orderkey AS id, o_custkey % 3 AS x, o_orderkey % 7 AS contig, CAST(floor(o_totalprice) AS BIGINT) AS s, CAST(floor(o_totalprice) AS BIGINT) + 100 AS e FROM orders WHERE o_orderstatus = 'P')
 SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.contig = b.contig THEN abs((a.s + a.e) / 2 - (b.s + b.e) / 2) END AS distance,
   CASE WHEN a.x = 0 THEN 'shared-linker' WHEN a.contig = b.contig THEN 'same-contig-intergenic' ELSE 'cross-contig' END AS pair_class
 FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.id < b.id""")
 def g15(spark, sf):
     o = V.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
-    s = F.col("o_totalprice").cast("decimal(18,2)")
-    s = F.round(s, 0).cast("long")
+    s = F.floor("o_totalprice").cast("long")
     side = lambda x: o.select(
         "o_custkey", F.col("o_orderkey").alias(f"id_{x}"), (F.col("o_orderkey") % 7).alias(f"contig_{x}"),
         s.alias(f"start_{x}"), (s + 100).alias(f"end_{x}"))
@@ -248,8 +252,8 @@ SELECT genome, count(*) AS n_introns, count(h) AS n_any, count(*) FILTER (h >= 5
 FROM seqs JOIN tta_cov USING (doc_id) JOIN strand_class USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS h FROM tta_hits GROUP BY doc_id) t USING (doc_id) GROUP BY genome"""))
 def g23(spark, sf):
     both = M.both_strands("TTAGGG")
-    s = once(V.seqs(spark, sf), hits=M.hit_count(SEQ, both), cov=M.coverage(SEQ, both), fwd_frac=M.strand_fraction(SEQ))
-    o = M.strand_class(SEQ, F.col("fwd_frac"))
+    s = once(V.seqs(spark, sf), hits=M.hit_count(seq_col(), both), cov=M.coverage(seq_col(), both), fwd_frac=M.strand_fraction(seq_col()))
+    o = M.strand_class(seq_col(), F.col("fwd_frac"))
     return s.groupBy("genome").agg(
         F.count("*").alias("n_introns"), F.count_if(F.col("hits") > 0).alias("n_any"),
         F.count_if(F.col("hits") >= 5).alias("n_5_hits"),
@@ -288,7 +292,7 @@ SELECT genome, count(*) FILTER (s) AS n_degenerate, count(*) FILTER (NOT s) AS n
   SELECT genome, donor IN ('TT', 'TA', 'AT', 'AA', 'GG', 'GA') OR acceptor IN ('TT', 'TA', 'AT', 'AA', 'GG', 'GA') OR CASE WHEN (donor = 'GT' AND acceptor = 'AG') OR (donor = 'CT' AND acceptor = 'AC') THEN 'canonical' ELSE 'other' END <> 'canonical' AS s
   FROM norm) GROUP BY genome"""))
 def g26(spark, sf):
-    rows = once(V.seqs(spark, sf), donor=S.first(SEQ, 2), acceptor=S.last(SEQ, 2))
+    rows = once(V.seqs(spark, sf), donor=S.first(seq_col(), 2), acceptor=S.last(seq_col(), 2))
     d, a = F.col("donor"), F.col("acceptor")
     kind = F.when(S.canonical_sites(d, a), "canonical").otherwise("other")
     flag = S.degenerate_splice(d, a, kind)

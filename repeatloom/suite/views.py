@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def seq_col() -> Column:
+    return F.col("seq")
+
+
 def dna_of(text: Column) -> Column:
     return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), ALPHABET, LETTERS)
 
