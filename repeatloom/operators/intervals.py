@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repeatloom.operators.durable import cut
 from repeatloom.operators.ordered import BIN, position_bin, previous_max, previous_value, running
 
 # --- fixed values -----------------------------------------------------------
@@ -63,13 +64,16 @@ def first_per_interval(df: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 def merge(intervals: DataFrame, keys: Sequence[str] = ("contig",)) -> DataFrame:
-    """Union of overlapping or touching intervals per key."""
+    """Union of overlapping or touching intervals per key.
+
+    The first pass is written to the shared folder: the second one reads it twice.
+    """
     starts = (
         intervals.where(F.col("end") > F.col("start"))
         .groupBy(*keys, "start").agg(F.max("end").alias("end")))
     seen = previous_max(starts, keys, "start", "end", "_seen")
-    opened = seen.withColumn(
-        "_open", F.when(F.col("_seen").isNull() | (F.col("start") > F.col("_seen")), F.col("start")))
+    opened = cut(seen.withColumn(
+        "_open", F.when(F.col("_seen").isNull() | (F.col("start") > F.col("_seen")), F.col("start"))))
     carried = previous_max(opened, keys, "start", "_open", "_before")
     return (
         carried.withColumn("_island", F.coalesce("_open", "_before"))
@@ -85,17 +89,18 @@ def complement(
     ``lengths`` holds one ``contig_len`` per key.  With ``only_listed`` keys
     without any interval give nothing; otherwise they are free as a whole.
     """
-    inner = merged.join(lengths, list(keys)).where(F.col("start") < F.col("contig_len"))
+    placed = cut(merged.join(lengths, list(keys)))
+    inner = placed.where(F.col("start") < F.col("contig_len"))
     walls = previous_value(inner, keys, "start", "end", "_end")
     between = walls.select(
         *keys, F.coalesce("_end", F.lit(0)).alias("free_start"), F.col("start").alias("free_end"))
     tails = inner.groupBy(*keys).agg(
         F.max("end").alias("free_start"), F.max("contig_len").alias("free_end"))
     free = between.unionByName(tails)
-    how = "left_semi" if only_listed else "left"
     if only_listed:
-        untouched = lengths.join(merged.select(*keys).distinct(), list(keys), how).join(
-            inner.select(*keys).distinct(), list(keys), "left_anti")
+        untouched = placed.groupBy(*keys).agg(
+            F.max("contig_len").alias("contig_len"), F.min("start").alias("_first")).where(
+                F.col("_first") >= F.col("contig_len"))
     else:
         untouched = lengths.join(inner.select(*keys).distinct(), list(keys), "left_anti")
     whole = untouched.select(
@@ -152,7 +157,7 @@ def first_container(
     return inner.join(found, [*keys, "start", "end"], "left")
 
 
-_RADIX = 4
+_LEAF, _RADIX, _LEVELS = 64, 4, 13
 
 
 def covering_label(
@@ -161,43 +166,61 @@ def covering_label(
 ) -> DataFrame:
     """Smallest ``label`` among the intervals that cover each point; null if none.
 
-    Every interval is cut into blocks whose sizes are powers of 4; a block keeps
-    one label, the smallest.  A point looks up the one block per size it lies in.
-    Cost is linear in both tables, whatever the depth of coverage: no interval
-    ever meets a point as a pair.
+    Positions fall into leaves of 64.  The whole leaves of an interval are tiled
+    with blocks of 64, 256, 1024 … positions, and each block keeps one label, the
+    smallest.  The ragged ends lie in at most two leaves, and equal ends in a leaf
+    become one row.  A point looks up the one block per size it lies in and the
+    ends in its leaf.  Whatever the depth of coverage, a leaf holds no more than
+    64 places and 2,080 ends, so the cost stays linear in both tables.
     """
     spans = (
         intervals.select(
-            *keys, "start", (F.col("end") + (1 if closed else 0)).alias("end"), F.col(label).alias("_label"))
+            *keys, F.col("start").cast("long").alias("start"),
+            (F.col("end") + (1 if closed else 0)).cast("long").alias("end"), F.col(label).alias("_label"))
         .where(F.col("end") > F.col("start"))
-        .groupBy(*keys, "start", "end").agg(F.min("_label").alias("_label"))
-    )
-    levels = range(0, 16)
-    blocks = spans.withColumn("_b", F.explode(_radix_blocks(F.col("start"), F.col("end"), levels)))
-    best = blocks.groupBy(*keys, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).agg(
-        F.min("_label").alias("_label"))
-    places = points.select(*keys, "pos").distinct()
+        .groupBy(*keys, "start", "end").agg(F.min("_label").alias("_label")))
+    start, end = F.col("start"), F.col("end")
+    low = (F.ceil(start / _LEAF) * _LEAF).cast("long")
+    high = (F.floor(end / _LEAF) * _LEAF).cast("long")
+
+    def piece(a: Column, b: Column, there: Column) -> Column:
+        return F.when(there, F.struct(
+            F.floor(a / _LEAF).cast("long").alias("leaf"), a.alias("start"), b.alias("end")))
+
+    ragged = F.array_compact(F.array(
+        piece(start, F.least(low, end), start < low), piece(high, end, (high < end) & (high >= low))))
+    ends = (
+        spans.select(*keys, "_label", F.explode(ragged).alias("_e"))
+        .groupBy(*keys, F.col("_e.leaf").alias("_leaf"), F.col("_e.start").alias("_s"), F.col("_e.end").alias("_t"))
+        .agg(F.min("_label").alias("_label")))
+    blocks = (
+        spans.where(low < high).select(*keys, "_label", F.explode(_tiles(low, high)).alias("_b"))
+        .groupBy(*keys, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+        .agg(F.min("_label").alias("_label")))
+    places = points.select(*keys, F.col("pos").cast("long").alias("pos")).distinct()
+    pos = F.col("pos")
     probes = places.withColumn("_p", F.explode(F.array(*[
-        F.struct(F.lit(j).alias("level"), F.floor(F.col("pos") / _RADIX ** j).cast("long").alias("block"))
-        for j in levels]))).select(
+        F.struct(F.lit(j).alias("level"), F.floor(pos / (_LEAF * _RADIX ** j)).cast("long").alias("block"))
+        for j in range(_LEVELS)]))).select(
             *keys, "pos", F.col("_p.level").alias("_level"), F.col("_p.block").alias("_block"))
-    labelled = (
-        probes.join(best, [*keys, "_level", "_block"])
-        .groupBy(*keys, "pos").agg(F.min("_label").alias(out))
-    )
+    inner = probes.join(blocks, [*keys, "_level", "_block"]).select(*keys, "pos", "_label")
+    outer = (
+        places.withColumn("_leaf", F.floor(pos / _LEAF).cast("long"))
+        .join(ends, [*keys, "_leaf"]).where((F.col("_s") <= pos) & (pos < F.col("_t")))
+        .select(*keys, "pos", "_label"))
+    labelled = inner.unionByName(outer).groupBy(*keys, "pos").agg(F.min("_label").alias(out))
     return points.join(labelled, [*keys, "pos"], "left")
 
 
-def _radix_blocks(start: Column, end: Column, levels: Sequence[int]) -> Column:
-    """Blocks of sizes 4^j that tile ``[start, end)`` exactly.
+def _tiles(low: Column, high: Column) -> Column:
+    """Blocks of growing size that tile ``[low, high)`` of whole leaves exactly.
 
     On each level the aligned part reaches from the first multiple of the size to
     the last one.  A level emits what lies outside the aligned part of the next
     level, or all of its own if the next one has none.
     """
-    lo, hi = start.cast("long"), end.cast("long")
-    up = lambda s: (F.ceil(lo / s) * s).cast("long")
-    down = lambda s: (F.floor(hi / s) * s).cast("long")
+    up = lambda s: (F.ceil(low / s) * s).cast("long")
+    down = lambda s: (F.floor(high / s) * s).cast("long")
     none = F.array().cast("array<bigint>")
 
     def blocks(a: Column, b: Column, size: Column) -> Column:
@@ -211,7 +234,8 @@ def _radix_blocks(start: Column, end: Column, levels: Sequence[int]) -> Column:
         ).otherwise(blocks(up(size), down(size), size))
         return F.transform(mine, lambda x: F.struct(j.alias("level"), x.alias("block")))
 
-    sizes = F.array(*[F.lit(_RADIX ** j).cast("long") for j in levels])
+    sizes = F.filter(
+        F.array(*[F.lit(_LEAF * _RADIX ** j).cast("long") for j in range(_LEVELS)]), lambda s: s <= high - low)
     return F.flatten(F.transform(sizes, level))
 
 
@@ -267,11 +291,11 @@ def exon_ranks(exons: DataFrame, keys: Sequence[str] = ("contig", "parent")) ->
     Exons are made distinct first; index and neighbours follow (start, end).
     """
     d = _in_order(exons, keys).withColumn("one", F.lit(1))
-    ranked = running(
+    ranked = cut(running(
         d, keys, "_at", "one", "rank", "sum", upto_self=True, bin_by=position_bin("_at", _AT_WIDTH)).withColumn(
-        "me", F.struct("start", "end"))
+        "me", F.struct("start", "end")))
     before = previous_value(ranked, keys, "_at", "me", "prev", position_bin("_at", _AT_WIDTH))
-    sizes = d.groupBy(*keys).agg(F.count("*").alias("n_exons"))
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n_exons"))
     return (
         before.where(F.col("prev").isNotNull())
         .join(sizes, list(keys))

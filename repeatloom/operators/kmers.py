@@ -49,8 +49,8 @@ def distinct_sets(df: DataFrame, k: int, min_len: int, seq: str = "seq", by: str
     """
     sets = df.where(F.length(seq) >= min_len).select(by, kmer_set(F.col(seq), k).alias("ks")).where(F.size("ks") > 0)
     keyed = sets.withColumn("set_key", F.sha2(F.array_join("ks", ""), 256))
-    return keyed.groupBy("set_key").agg(
-        F.min(by).alias("rep"), F.count("*").alias("copies"), F.any_value("ks").alias("ks"))
+    return cut(keyed.groupBy("set_key").agg(
+        F.min(by).alias("rep"), F.count("*").alias("copies"), F.any_value("ks").alias("ks")))
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:

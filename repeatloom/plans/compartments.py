@@ -11,7 +11,7 @@ from repeatloom.functions import motifs as M
 from repeatloom.operators import arrays as A
 from repeatloom.operators import intervals as I
 from repeatloom.operators import sequences as Q
-from repeatloom.operators.durable import once
+from repeatloom.operators.durable import cut, once
 
 
 def compartments(
@@ -22,7 +22,7 @@ def compartments(
     Introns come from exons, or from CDS rows of transcripts without exons.
     """
     exons = I.prefer_exons(features, [*keys, "parent"])
-    introns = I.introns(exons, [*keys, "parent"], running=False).select(*keys, "start", "end")
+    introns = cut(I.introns(exons, [*keys, "parent"], running=False).select(*keys, "start", "end").distinct())
     cds = I.merge(features.where(F.col("ftype") == "CDS").select(*keys, "start", "end"), keys)
     introns_merged = I.merge(introns, keys)
     occupied = I.merge(genes.select(*keys, "start", "end").unionByName(introns), keys)
@@ -31,9 +31,9 @@ def compartments(
         cds.withColumn("compartment", F.lit("cds"))
         .unionByName(introns_merged.withColumn("compartment", F.lit("intron")))
         .unionByName(free.withColumn("compartment", F.lit("intergenic"))))
-    return rows.join(lengths, list(keys)).withColumns({
+    return cut(rows.join(lengths, list(keys)).withColumns({
         "start": F.greatest(F.col("start"), F.lit(0)), "end": F.least(F.col("end"), F.col("contig_len")),
-    }).where(F.col("end") > F.col("start")).drop("contig_len")
+    }).where(F.col("end") > F.col("start")).drop("contig_len"))
 
 
 def compartment_density(

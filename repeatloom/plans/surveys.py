@@ -13,7 +13,7 @@ from repeatloom.operators import arrays as A
 from repeatloom.operators import intervals as I
 from repeatloom.operators import sequences as Q
 from repeatloom.operators import summaries as G
-from repeatloom.operators.durable import once
+from repeatloom.operators.durable import cut, once
 
 # --- fixed values -----------------------------------------------------------
 KEEP_COVERAGE = 0.85
@@ -102,10 +102,15 @@ def genome_survey(screened: DataFrame, genome: str = "genome") -> DataFrame:
 
 
 def human_survey(introns: DataFrame, genome: str = "genome") -> DataFrame:
-    """Threshold counts of all introns and boundary motifs of the pure ones."""
+    """Threshold counts of all introns and boundary motifs of the pure ones.
+
+    Introns are extracted and scanned once; only coverages and pure texts are kept.
+    """
     covered = once(introns, telo_coverage=M.coverage(F.col("seq"), M.both_strands("TTAGGG")))
-    counts = G.threshold_counts(covered, [genome])
-    pure = A.with_splice_form(A.with_strand_class(covered.where(F.col("telo_coverage") >= KEEP_COVERAGE)))
+    pure_text = F.when(F.col("telo_coverage") >= KEEP_COVERAGE, F.col("seq"))
+    scanned = cut(covered.select(genome, "telo_coverage", pure_text.alias("seq")))
+    counts = G.threshold_counts(scanned, [genome])
+    pure = A.with_splice_form(A.with_strand_class(scanned.where(F.col("seq").isNotNull())))
     return counts.withColumnRenamed("n_total", "n_introns").join(genome_survey(pure, genome), genome, "left")
 
 

@@ -67,8 +67,8 @@ def q01(spark, sf):
 _BOUND = """b AS (SELECT genome, orientation, norm_seq, CASE WHEN left(norm_seq, 2) = 'GT' AND right(norm_seq, 2) = 'AG' AND length(norm_seq) >= 8 THEN substring(norm_seq, 3, 4) END AS d4,
   CASE WHEN left(norm_seq, 2) = 'GT' AND right(norm_seq, 2) = 'AG' AND length(norm_seq) >= 8 THEN substring(norm_seq, length(norm_seq) - 5, 4) END AS a4
   FROM best JOIN norm USING (doc_id) JOIN strand_class USING (doc_id) WHERE telo_coverage >= 0.85),
-ds AS (SELECT genome, d4, row_number() OVER (PARTITION BY genome ORDER BY count(*) DESC, d4) AS r FROM b WHERE d4 IS NOT NULL GROUP BY ALL),
-acs AS (SELECT genome, a4, row_number() OVER (PARTITION BY genome ORDER BY count(*) DESC, a4) AS r FROM b WHERE a4 IS NOT NULL GROUP BY ALL)"""
+ds AS (SELECT genome, d4, row_number() OVER (PARTITION BY genome ORDER BY count(*) DESC, d4) AS r FROM b WHERE d4 IS NOT NULL GROUP BY genome, d4),
+acs AS (SELECT genome, a4, row_number() OVER (PARTITION BY genome ORDER BY count(*) DESC, a4) AS r FROM b WHERE a4 IS NOT NULL GROUP BY genome, a4)"""
 
 
 @check("q01_genome_survey", with_ctes("best", "norm", "strand_class", extra=_BOUND, body="""
@@ -126,7 +126,7 @@ def q04t(spark, sf):
 
 @check("q04_s06_contig_scan", with_ctes("seqs", "tta_cov", "tta_runs", "strand_class", body="""
 SELECT doc_id, length(seq) AS ins_length, round(cov, 4) AS telo_coverage, e - s AS longest_run, orientation FROM seqs JOIN tta_cov USING (doc_id) JOIN strand_class USING (doc_id)
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s) AS r FROM tta_runs) t USING (doc_id) WHERE (r = 1 OR r IS NULL) AND length(seq) >= 30 AND cov >= 0.10"""))
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s) AS r FROM tta_runs) t USING (doc_id) WHERE (t.r = 1 OR t.r IS NULL) AND length(seq) >= 30 AND cov >= 0.10"""))
 def q04c(spark, sf):
     return P.scan_contigs(V.seqs(spark, sf)).select(
         "doc_id", "ins_length", F.round("telo_coverage", 4).alias("telo_coverage"), "longest_run", "orientation")
@@ -259,7 +259,7 @@ SELECT lang AS dataset, count(*) AS n, count(*) FILTER (classification LIKE 'CON
   round(count(*) FILTER (classification LIKE 'CONV%') / nullif(count(*) FILTER (classification LIKE 'DIV%'), 0), 6) AS ratio, count(*) FILTER (linked) AS n_linked, count(*) FILTER (linked AND c = 0) AS n_pure,
   count(*) FILTER (linked AND linker_len >= 5 AND linker_len < 30) AS short, count(*) FILTER (linked AND linker_len >= 30 AND linker_len < 120) AS medium, count(*) FILTER (linked AND linker_len >= 120) AS long,
   round(avg(length(regexp_replace(linker, '[^GC]', '', 'g')) / length(linker)) FILTER (linked), 6) AS linker_gc,
-  count(*) FILTER (linked AND linker_len >= 30 AND (h - hamming(left(linker, h), {RC.format('right(linker, h)')})) / h >= 0.7) AS n_palindromic FROM z GROUP BY lang"""))
+  count(*) FILTER (linked AND linker_len >= 30 AND CASE WHEN h > 0 THEN (h - hamming(left(linker, h), {RC.format('right(linker, h)')})) / h END >= 0.7) AS n_palindromic FROM z GROUP BY lang"""))
 def q12(spark, sf):
     return _rounded(B.lineage_comparison(V.seqs(spark, sf).drop("unit").withColumnRenamed("lang", "dataset")))
 

@@ -182,16 +182,19 @@ def s04(spark, sf):
         F.col("attrs")["Parent"].alias("parent")).agg(F.count("*").alias("n"))
 
 
-_VCF = """vcf AS (SELECT id, seq, id % 5 AS kind, CASE id % 5 WHEN 0 THEN '<INS>' WHEN 1 THEN 'A' || seq WHEN 2 THEN 'AC,A' || seq WHEN 3 THEN 'AC,<DEL>' ELSE 'C' END AS alt FROM turns)"""
+_VCF = """vcf AS (SELECT id, seq, kind, CASE kind WHEN 0 THEN '<INS>' WHEN 1 THEN 'A' || seq WHEN 2 THEN 'AC,A' || seq WHEN 3 THEN 'AC,<DEL>' ELSE 'C' END AS alt
+  FROM (SELECT id, id % 5 AS kind, repeat('TTAGGG', CAST(id % 90 AS BIGINT)) || seq AS seq FROM turns))"""
 
 
 def _vcf_lines(spark, sf):
     kind = F.col("id") % 5
+    rows = V.turns(spark, sf).select(
+        "id", F.concat(F.expr("repeat('TTAGGG', cast(id % 90 as int))"), seq_col()).alias("seq"))
     alt = (
         F.when(kind == 0, "<INS>").when(kind == 1, F.concat(F.lit("A"), seq_col()))
         .when(kind == 2, F.concat(F.lit("AC,A"), seq_col())).when(kind == 3, "AC,<DEL>").otherwise("C"))
     info = F.when(kind == 0, F.concat(F.lit("SVTYPE=INS;SEQ="), F.lower("seq"))).otherwise("SVTYPE=DEL")
-    return V.turns(spark, sf).select(F.concat_ws(
+    return rows.select(F.concat_ws(
         "\t", F.lit("chr1"), F.col("id").cast("string"), F.concat(F.lit("sv"), F.col("id").cast("string")), F.lit("A"),
         alt, F.lit("."), F.lit("PASS"), info).alias("value"))
 
