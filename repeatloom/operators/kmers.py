@@ -22,7 +22,7 @@ def kmer_list(seq: Column, k: int) -> Column:
 
 def kmer_set(seq: Column, k: int) -> Column:
     """Distinct k-mers of both strands."""
-    return F.array_sort(F.array_union(kmer_list(seq, k), kmer_list(revcomp(seq), k)))
+    return F.array_union(kmer_list(seq, k), kmer_list(revcomp(seq), k))
 
 
 def document_frequency(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -42,47 +42,57 @@ def document_frequency(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     )
 
 
+def _text_key(seq: Column) -> Column:
+    """Same for a text and for its reverse complement."""
+    return F.sha2(F.least(seq, revcomp(seq)), 256)
+
+
 def distinct_sets(df: DataFrame, k: int, min_len: int, seq: str = "seq", by: str = "id") -> DataFrame:
-    """One row per distinct k-mer set, with its smallest id and how many share it.
+    """One row per distinct text with its smallest id, its copies and its k-mers.
 
-    Copies of a sequence, in either direction, become one row before any pairing.
+    Copies of a text, in either direction, become one row before any k-mer is
+    made.
     """
-    sets = df.where(F.length(seq) >= min_len).select(by, kmer_set(F.col(seq), k).alias("ks")).where(F.size("ks") > 0)
-    keyed = sets.withColumn("set_key", F.sha2(F.array_join("ks", ""), 256))
-    return cut(keyed.groupBy("set_key").agg(
-        F.min(by).alias("rep"), F.count("*").alias("copies"), F.any_value("ks").alias("ks")))
+    texts = df.where((F.length(seq) >= min_len) & (F.length(seq) >= k)).select(
+        by, F.col(seq).alias("_t"), _text_key(F.col(seq)).alias("set_key"))
+    return cut(
+        texts.groupBy("set_key").agg(F.min(by).alias("rep"), F.count("*").alias("copies"), F.any_value("_t").alias("_t"))
+    ).withColumn("ks", kmer_set(F.col("_t"), k)).drop("_t")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct sets whose overlap is a ``threshold`` share of the smaller.
 
     Exact, by a prefix filter.  K-mers are ordered from rare to common.  A smaller
-    set A that shares at least ``ceil(t*|A|)`` k-mers must share one of its first
-    ``|A| - ceil(t*|A|) + 1``, so only those are looked up, and its most common
-    k-mers are not.  K-mers of one set only come first in that order and are never
-    joined.  Postings of a k-mer that is still common are split into as many parts
-    as its frequency asks for.  Candidates are checked on the shared k-mers.
+    set A must share ``need = ceil(t*|A|)`` k-mers.  Its ``need - half`` most common
+    ones can supply no more than that, so at least ``half`` must be among the
+    others; only those are looked up, and pairs with fewer are gone after a count.
+    K-mers of one set only are never joined.  Postings of a k-mer that is still
+    common are split into as many parts as its frequency asks for.  What remains
+    is checked on all shared k-mers.
     """
     postings = sets.select("rep", F.size("ks").alias("n"), F.explode("ks").alias("kmer"))
     shared = postings.groupBy("kmer").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    ordered = (
+    ordered = cut(
         postings.join(shared, "kmer")
         .groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "kmer"))).alias("ws")))
-    ordered = cut(ordered)
-    need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int")
+    half = F.greatest(F.lit(1), F.ceil(need / 2).cast("int"))
     alone = F.col("n") - F.size("ws")
-    keep = F.greatest(F.lit(0), F.col("n") - need + 1 - alone).cast("int")
+    keep = F.greatest(F.lit(0), F.col("n") - need + half - alone).cast("int")
     parts = F.ceil(F.col("_w.df") / HOT).cast("int")
     probes = (
         ordered.where(F.size("ws") >= need)
-        .select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.slice("ws", F.lit(1), keep)).alias("_w"))
-        .select("a", "na", F.col("_w.kmer").alias("kmer"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+        .select(F.col("rep").alias("a"), F.col("n").alias("na"), half.alias("half"),
+                F.explode(F.slice("ws", F.lit(1), keep)).alias("_w"))
+        .select("a", "na", "half", F.col("_w.kmer").alias("kmer"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
     indexed = ordered.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode("ws").alias("_w")).select(
         "b", "nb", F.col("_w.kmer").alias("kmer"), F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     candidates = (
         probes.join(indexed, ["kmer", "part"])
         .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        .select("a", "b").distinct())
+        .groupBy("a", "b").agg(F.count("*").alias("_c"), F.max("half").alias("half"))
+        .where(F.col("_c") >= F.col("half")).select("a", "b"))
     words = ordered.select("rep", "n", F.col("ws.kmer").alias("ks"))
     left, right = words.toDF("a", "na", "ka"), words.toDF("b", "nb", "kb")
     both = F.size(F.array_intersect("ka", "kb"))
@@ -148,8 +158,6 @@ def size_statistics(sizes: DataFrame) -> DataFrame:
 
 
 def members(df: DataFrame, k: int, min_len: int, seq: str = "seq", by: str = "id") -> DataFrame:
-    """Which distinct set each sequence has."""
-    ks = kmer_set(F.col(seq), k)
-    return (
-        df.where(F.length(seq) >= min_len).select(by, ks.alias("_ks")).where(F.size("_ks") > 0)
-        .select(by, F.sha2(F.array_join("_ks", ""), 256).alias("set_key")))
+    """Which distinct text each sequence has."""
+    return df.where((F.length(seq) >= min_len) & (F.length(seq) >= k)).select(
+        by, _text_key(F.col(seq)).alias("set_key"))
