@@ -249,7 +249,7 @@ def annotate_points(
     e = covering_label(i, exon_rows, "gene", "in_exon_of", keys)
     return e.withColumn(
         "place",
-        F.when(F.col("in_target").isNotNull(), "in_telotron")
+        F.when(F.col("in_target").isNotNull(), "in_target")
         .when(F.col("in_intron_of").isNotNull(), "in_intron")
         .when(F.col("in_exon_of").isNotNull(), "in_exon")
         .otherwise("intergenic"),

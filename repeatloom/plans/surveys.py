@@ -47,7 +47,7 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
     return ledger.agg(
         F.count_if(F.col("status") == "ok").alias("n_ok"),
         F.count_if(F.col("status") != "ok").alias("n_failed"),
-        F.sum("n_introns").alias("n_introns"), F.sum("n_telotrons").alias("n_telotrons"))
+        F.sum("n_introns").alias("n_introns"), F.sum("n_kept").alias("n_kept"))
 
 
 def intron_texts(

@@ -223,7 +223,7 @@ def j08(spark, sf):
 @check("j09_point_annotation", with_ctes("points", "introns", "features", extra="""
 named AS (SELECT contig, s, e, parent FROM introns),
 ti AS (SELECT contig, s, e FROM introns WHERE length >= 500)""", body="""
-SELECT id, p.contig, pos, CASE WHEN t IS NOT NULL THEN 'in_telotron' WHEN gi IS NOT NULL THEN 'in_intron' WHEN ge IS NOT NULL THEN 'in_exon' ELSE 'intergenic' END AS place,
+SELECT id, p.contig, pos, CASE WHEN t IS NOT NULL THEN 'in_target' WHEN gi IS NOT NULL THEN 'in_intron' WHEN ge IS NOT NULL THEN 'in_exon' ELSE 'intergenic' END AS place,
   CASE WHEN t IS NOT NULL THEN NULL WHEN gi IS NOT NULL THEN gi ELSE ge END AS gene
 FROM (SELECT id, contig, pos,
   (SELECT min(s) FROM ti WHERE ti.contig = q.contig AND ti.s <= pos AND pos < ti.e) AS t,

@@ -224,11 +224,11 @@ def g20(spark, sf):
 
 
 @check("g21_ledger_totals", """
-SELECT count(*) FILTER (o_orderstatus = 'O') AS n_ok, count(*) FILTER (o_orderstatus <> 'O') AS n_failed, CAST(sum(o_custkey) AS BIGINT) AS n_introns, CAST(sum(o_orderkey % 3) AS BIGINT) AS n_telotrons FROM orders""")
+SELECT count(*) FILTER (o_orderstatus = 'O') AS n_ok, count(*) FILTER (o_orderstatus <> 'O') AS n_failed, CAST(sum(o_custkey) AS BIGINT) AS n_introns, CAST(sum(o_orderkey % 3) AS BIGINT) AS n_kept FROM orders""")
 def g21(spark, sf):
     return P.ledger_totals(V.table(spark, sf, "orders").select(
         F.when(F.col("o_orderstatus") == "O", "ok").otherwise("failed").alias("status"),
-        F.col("o_custkey").alias("n_introns"), (F.col("o_orderkey") % 3).alias("n_telotrons")))
+        F.col("o_custkey").alias("n_introns"), (F.col("o_orderkey") % 3).alias("n_kept")))
 
 
 @check("g22_near_misses", with_ctes("best", "seqs", body="""
