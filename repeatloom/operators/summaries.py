@@ -119,12 +119,14 @@ def describe_lengths(df: DataFrame, group: Sequence[str], col: str) -> DataFrame
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Rank by value with ties at their mean rank, over the whole table.
 
-    Ranks are running sums of counts per distinct value, in value bins.
+    Ranks are running sums of counts per distinct value, in value bins.  There can
+    be as many values as rows, so the join back is not salted: adaptive execution
+    splits the partition of a frequent value.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     placed = running(counts, [], value, "_n", "_upto", "sum", upto_self=True, bin_by=value_bin(df, value))
     ranks = placed.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return attach_to_groups(df, ranks, [value], [c for c in df.columns if c != value] or [value])
+    return df.join(ranks, value, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
@@ -147,7 +149,7 @@ def adjusted_p_values(tests: DataFrame, p: str = "p") -> DataFrame:
     scaled = ranked.withColumn("_q", F.col(p) * total.scalar() / F.col("_rank"))
     stepped = running(scaled, [], p, "_q", "_min", "min", upto_self=True, from_top=True, bin_by=bins)
     adjusted = stepped.select(p, F.least(F.col("_min"), F.lit(1.0)).alias("adjusted"))
-    return attach_to_groups(tests, adjusted, [p], [c for c in tests.columns if c != p] or [p])
+    return tests.join(adjusted, p, "left")
 
 
 def first_component(df: DataFrame, columns: Sequence[str], out: str = "pc1") -> DataFrame:

@@ -326,3 +326,25 @@ def test_consensus_families(spark):
 def test_table_form_fills_missing(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert W.table_form(df, ["b", "c", "a"]).first().asDict() == {"b": "", "c": "", "a": "1"}
+
+
+def test_first_component_follows_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3)) @ np.array([[3.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 0.2]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+    got = np.array([r.pc1 for r in G.first_component(df, ["a", "b", "c"]).orderBy("id").collect()])
+    axis = np.linalg.eigh(np.cov(x.T))[1][:, -1]
+    assert np.allclose(np.abs(np.corrcoef(got, x @ axis)[0, 1]), 1.0)
+
+
+def test_ranks_and_adjusted_p_values(spark):
+    p = [0.01, 0.04, 0.03, 0.01, 0.5, 0.9, 0.04]
+    df = spark.createDataFrame(list(enumerate(p)), "id int, p double")
+    ranks = {r.id: r.k for r in G.average_rank(df, "p", "k").collect()}
+    assert ranks == {i: sum(q < v for q in p) + (sum(q == v for q in p) + 1) / 2 for i, v in enumerate(p)}
+    order = sorted(p)
+    want = {v: min(1.0, min(q * len(p) / (order.index(q) + order.count(q)) for q in p if q >= v)) for v in p}
+    for r in G.adjusted_p_values(df).collect():
+        assert abs(r.adjusted - want[r.p]) < 1e-12
