@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repeatloom.llm import byte_bpe, decontaminate, licenses, piece_counts, quality
+from repeatloom.llm import byte_bpe, chat, decontaminate, licenses, line_dedup, piece_counts, quality, syncmers
 from repeatloom.suite.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,45 @@ def id_digests(ids: str, decoded: bytes) -> tuple[str, str]:
     return hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+@check("op1_line_dedup", rf"""
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{line_dedup.HOST}', 1)), '') AS host,
+    string_split(regexp_replace(regexp_replace(regexp_replace(html, '{line_dedup.SKIPPED}', '', 'g'),
+      '{line_dedup.BREAKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)) AS ls FROM pages),
+n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+l AS (SELECT DISTINCT page_id, host, line FROM (SELECT page_id, host, trim(unnest(ls)) AS line FROM p) WHERE line <> ''),
+b AS (SELECT host, list(line) AS bad FROM (SELECT host, line, count(*) AS c FROM l GROUP BY ALL) JOIN n USING (host)
+  WHERE c >= 5 AND c > 0.1 * pages GROUP BY host)
+SELECT page_id, p.host, len(list_filter(ls, lambda x: trim(x) <> '')) AS n_lines,
+  len(list_filter(ls, lambda x: coalesce(list_contains(bad, trim(x)), false))) AS n_dropped,
+  array_to_string(list_filter(ls, lambda x: NOT coalesce(list_contains(bad, trim(x)), false)), chr(10)) AS text
+FROM p LEFT JOIN b ON p.host = b.host""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(pages, "page_id", "host", "text", counts=("n_lines", "n_dropped"))
+
+
+@check("op2_syncmers")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
+
+
+@check("op4_chat_format", """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, role, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    string_agg(role || chr(31) || text, chr(30)) OVER w AS pre
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE pos = n AND pre NOT IN
+    (SELECT pre FROM p WHERE pos < n) GROUP BY pre)
+SELECT conv_id, count(*) AS n_turns, any_value(copies) AS copies,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM p JOIN e USING (conv_id) GROUP BY conv_id""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 @check("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(
