@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repeatloom.llm import byte_bpe, chat, decontaminate, licenses, line_dedup, piece_counts, quality, syncmers
+from repeatloom.llm import byte_bpe, chat, decontaminate, licenses, line_dedup, piece_counts, quality, substring_dedup, syncmers
 from repeatloom.suite.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -128,6 +128,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@check("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @check("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), rank_file())
