@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repeatloom.llm import byte_bpe, chat, decontaminate, licenses, line_dedup, piece_counts, quality, substring_dedup, syncmers
+from repeatloom.llm import byte_bpe, chat, decontaminate, licenses, line_dedup, piece_counts, quality, shingle_join, substring_dedup, syncmers
 from repeatloom.suite.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), rank_file())
+
+
+@check("op10_shingle_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
