@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,3 +153,30 @@ def benchmark_hits(
                 F.aggregate("_r", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["b"]).alias("n_hit"),
                 "items", flat(F.col("_s")).alias("spans"),
                 F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).drop(copies))
+
+
+def clean_rows(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no window of the benchmark; nothing is shuffled or joined.
+
+    A benchmark of several blocks is a chain of filters, one for each.
+    """
+    at = docs.columns.index(text_col)
+
+    def without(df: DataFrame, block: list[tuple]) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = WindowAutomaton(sent.value, width)
+            for batch in batches:
+                keep = [not automaton.scan(plain_words(t.as_py() or b""))[0]
+                        for t in batch.column(at).cast(pa.large_binary())]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)
+
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        docs = without(docs, block)
+    return docs

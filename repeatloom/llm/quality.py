@@ -34,11 +34,7 @@ class Training:
 
 
 def features(text: bytes | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, word pairs and signs of the whole text, with log counts scaled to length 1.
-
-    A word that stands right behind itself or has stood in the text at least eight times as often as the average word
-    gives no feature of its own; repetition shows in the counts.
-    """
+    """Hashed words, word pairs and signs of the whole text, with log counts scaled to length 1."""
     tokens = _TOKEN.findall(text or b"")
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0)
@@ -156,3 +152,23 @@ def score(
 
     return map_texts(docs, [id_col, text_col], T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())]), start)
+
+
+def accepted(
+    docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, how: Training = Training(),
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score ``threshold`` or more; nothing is shuffled or joined."""
+    sent, bits = docs.sparkSession.sparkContext.broadcast(model), how.bits
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = sent.value
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).cast(pa.large_binary()):
+                index, value = features(text.as_py(), bits)
+                keep.append(_logistic(float(w[index] @ value) + bias) >= threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -273,3 +273,25 @@ def similar_documents(
     return slim.select("id", "d1", "d2").join(by_text, ["d1", "d2"]).select(
         back(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).alias("n_links"),
         back(alone).alias("component_id"))
+
+
+#: Ids that are broadcast at most; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def one_of_each(
+    df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``df``, with all columns, without the near duplicates of a document of smaller id.
+
+    Of each group of linked documents, and of each set of equal texts, the row of the smallest id stays; rows that
+    share this id stay together.  Texts without words stay.
+    """
+    spark = df.sparkSession
+    found = similar_documents(df, width, num, den, id_col, text_col)
+    path = scratch_path(spark, "duplicates")
+    found.where(~quoted(id_col).eqNullSafe(F.col("component_id"))).select(quoted(id_col).alias("gone")).distinct(
+        ).write.parquet(path)
+    gone = spark.read.parquet(path)
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    return df.join(gone, quoted(id_col).eqNullSafe(F.col("gone")), "left_anti")
