@@ -26,20 +26,24 @@ class Training:
 
     sample: int = 12_000
     bits: int = 18
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.02
-    l2: float = 0.02
-    passes: int = 3
+    l1: float = 0.005
+    l2: float = 0.01
+    passes: int = 4
 
 
 def features(text: bytes | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, word pairs and signs of the whole text, with log counts scaled to length 1."""
+    """Hashed words, word pairs and signs of the whole text, with log counts scaled to length 1.
+
+    All pairs of a word and the same word share one feature, whatever the word is.
+    """
     tokens = _TOKEN.findall(text or b"")
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0)
     single = np.fromiter(map(crc32, tokens), np.uint64, len(tokens))
     pairs = (single[:-1] * _MIX + single[1:]) * _MIX >> np.uint64(64 - bits)
+    pairs[single[:-1] == single[1:]] = 0
     index, counts = np.unique(
         np.concatenate([single * _MIX >> np.uint64(64 - bits), pairs]), return_counts=True)
     value = np.log1p(counts)
