@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.llm import packed
-from repeatloom.llm.rows import quoted
+from repeatloom.llm.rows import free_name, quoted
 from repeatloom.operators.durable import scratch_path
 from repeatloom.operators.kmers import components
 
@@ -289,9 +289,9 @@ def one_of_each(
     """
     spark = df.sparkSession
     found = similar_documents(df, width, num, den, id_col, text_col)
-    path = scratch_path(spark, "duplicates")
-    found.where(~quoted(id_col).eqNullSafe(F.col("component_id"))).select(quoted(id_col).alias("gone")).distinct(
+    path, name = scratch_path(spark, "duplicates"), free_name(df, "gone")
+    found.where(~quoted(id_col).eqNullSafe(F.col("component_id"))).select(quoted(id_col).alias(name)).distinct(
         ).write.parquet(path)
     gone = spark.read.parquet(path)
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
-    return df.join(gone, quoted(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    return df.join(gone, quoted(id_col).eqNullSafe(F.col(name)), "left_anti")
