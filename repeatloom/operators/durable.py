@@ -1,7 +1,8 @@
-"""Where work is done once: lineage cuts, shared columns, spread scans."""
+"""Where work is done once: lineage cuts and shared columns."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder.
+
+    Only a local session, whose tasks all run on this machine, gets a temporary one where none is named.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,12 +45,3 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     copy of its expression each.  Columns that come out of a generator do not.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """Rows over all cores when the files give fewer splits than there are cores.
-
-    Large inputs have many splits and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, by) if df.rdd.getNumPartitions() < cores else df

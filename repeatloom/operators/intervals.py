@@ -275,14 +275,9 @@ def parent_chain(exons: DataFrame, transcripts: DataFrame, genes: DataFrame) ->
 
 # --- ranks within a transcript and along a contig ---------------------------
 
-_END_SPAN = 1 << 31
-_AT_WIDTH = BIN * _END_SPAN
-
-
 def _in_order(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct intervals with one unique sort position for (start, end)."""
-    at = F.col("start").cast("long") * F.lit(_END_SPAN) + F.col("end")
-    return intervals.select(*keys, "start", "end").distinct().withColumn("_at", at)
+    """Distinct intervals with their unique sort position, the pair (start, end)."""
+    return intervals.select(*keys, "start", "end").distinct().withColumn("_at", F.struct("start", "end"))
 
 
 def exon_ranks(exons: DataFrame, keys: Sequence[str] = ("contig", "parent")) -> DataFrame:
@@ -292,9 +287,9 @@ def exon_ranks(exons: DataFrame, keys: Sequence[str] = ("contig", "parent")) ->
     """
     d = _in_order(exons, keys).withColumn("one", F.lit(1))
     ranked = cut(running(
-        d, keys, "_at", "one", "rank", "sum", upto_self=True, bin_by=position_bin("_at", _AT_WIDTH)).withColumn(
+        d, keys, "_at", "one", "rank", "sum", upto_self=True, bin_by=position_bin("start")).withColumn(
         "me", F.struct("start", "end")))
-    before = previous_value(ranked, keys, "_at", "me", "prev", position_bin("_at", _AT_WIDTH))
+    before = previous_value(ranked, keys, "_at", "me", "prev", position_bin("start"))
     sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n_exons"))
     return (
         before.where(F.col("prev").isNotNull())
@@ -315,7 +310,7 @@ def neighbour_gaps(intervals: DataFrame, keys: Sequence[str] = ("contig",)) -> D
     """Distance from each distinct interval to the one before on its contig."""
     d = _in_order(intervals, keys)
     return (
-        previous_value(d, keys, "_at", "end", "prev_end", position_bin("_at", _AT_WIDTH)).drop("_at")
+        previous_value(d, keys, "_at", "end", "prev_end", position_bin("start")).drop("_at")
         .withColumn("gap", F.col("start") - F.col("prev_end"))
     )
 

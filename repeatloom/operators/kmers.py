@@ -9,8 +9,6 @@ from repeatloom.functions.motifs import let
 from repeatloom.functions.scalars import revcomp
 from repeatloom.operators.durable import cut
 
-HOT = 20_000  # postings of one k-mer that one task handles
-
 
 def kmer_list(seq: Column, k: int) -> Column:
     """All k-mers of a text in order; empty for shorter texts."""
@@ -67,9 +65,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     set A must share ``need = ceil(t*|A|)`` k-mers.  Its ``need - half`` most common
     ones can supply no more than that, so at least ``half`` must be among the
     others; only those are looked up, and pairs with fewer are gone after a count.
-    K-mers of one set only are never joined.  Postings of a k-mer that is still
-    common are split into as many parts as its frequency asks for.  What remains
-    is checked on all shared k-mers.
+    K-mers of one set only are never joined; adaptive execution splits the postings
+    of one that is still common.  What remains is checked on all shared k-mers.
     """
     postings = sets.select("rep", F.size("ks").alias("n"), F.explode("ks").alias("kmer"))
     shared = postings.groupBy("kmer").agg(F.count("*").alias("df")).where(F.col("df") > 1)
@@ -80,16 +77,15 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     half = F.greatest(F.lit(1), F.ceil(need / 2).cast("int"))
     alone = F.col("n") - F.size("ws")
     keep = F.greatest(F.lit(0), F.col("n") - need + half - alone).cast("int")
-    parts = F.ceil(F.col("_w.df") / HOT).cast("int")
     probes = (
         ordered.where(F.size("ws") >= need)
         .select(F.col("rep").alias("a"), F.col("n").alias("na"), half.alias("half"),
                 F.explode(F.slice("ws", F.lit(1), keep)).alias("_w"))
-        .select("a", "na", "half", F.col("_w.kmer").alias("kmer"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+        .select("a", "na", "half", F.col("_w.kmer").alias("kmer")))
     indexed = ordered.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode("ws").alias("_w")).select(
-        "b", "nb", F.col("_w.kmer").alias("kmer"), F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+        "b", "nb", F.col("_w.kmer").alias("kmer"))
     candidates = (
-        probes.join(indexed, ["kmer", "part"])
+        probes.join(indexed, "kmer")
         .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
         .groupBy("a", "b").agg(F.count("*").alias("_c"), F.max("half").alias("half"))
         .where(F.col("_c") >= F.col("half")).select("a", "b"))

@@ -20,13 +20,15 @@ def position_bin(pos: str, width: int = BIN) -> Column:
     return F.floor(F.col(pos) / width).cast("long")
 
 
-def value_bin(df: DataFrame, value: str, parts: int = 256) -> Column:
+def value_bin(df: DataFrame, value: str, parts: int | None = None) -> Column:
     """Bin number by value, for orders over a whole table.
 
-    The borders are at most ``parts`` approximate quantiles.  They are fixed
+    The borders are at most ``parts`` approximate quantiles, by default four times
+    the session's shuffle partitions, so bins follow the size a cluster is set up for.  They are fixed
     before the job, so a task that runs again puts a row in the same bin.
     """
-    borders = df.stat.approxQuantile(value, [i / parts for i in range(1, parts)], 0.002)
+    parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = df.stat.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)
     marks = F.array(*[F.lit(b) for b in sorted(set(borders))]) if borders else F.array(F.lit(0.0))
     return F.aggregate(
         marks, F.lit(0), lambda n, m: n + (m < F.col(value)).cast("int")).cast("long")
@@ -87,15 +89,16 @@ def previous_value(
 
 def attach_to_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
-    how: str = "left", salts: int = 16,
+    how: str = "left", salts: int | None = None,
 ) -> DataFrame:
     """Join a per-key table back to rows whose keys may be very uneven.
 
     ``groups`` has one row per key.  It is repeated once per salt and the rows
     are spread over the salts, so a key with a third of the rows is shared by
-    ``salts`` tasks.  ``spread_by`` names columns that tell the rows of one key
+    ``salts`` tasks (by default the session's shuffle partitions).  ``spread_by`` names columns that tell the rows of one key
     apart; a salt made from them stays the same when a task is run again.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = rows.withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))

@@ -116,23 +116,24 @@ def describe_lengths(df: DataFrame, group: Sequence[str], col: str) -> DataFrame
         F.min(c).alias("min"), F.max(c).alias("max"))
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank by value with ties at their mean rank, over the whole table.
+def average_rank(df: DataFrame, value: str, out: str, group: Sequence[str] = ()) -> DataFrame:
+    """Rank by value with ties at their mean rank, over the whole table or within groups.
 
     Ranks are running sums of counts per distinct value, in value bins.  There can
     be as many values as rows, so the join back is not salted: adaptive execution
     splits the partition of a frequent value.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    placed = running(counts, [], value, "_n", "_upto", "sum", upto_self=True, bin_by=value_bin(df, value))
-    ranks = placed.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, value, "left")
+    keys = [*group, value]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    placed = running(counts, group, value, "_n", "_upto", "sum", upto_self=True, bin_by=value_bin(df, value))
+    ranks = placed.select(*keys, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranks, keys, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation: the correlation of the mean ranks."""
+    """Rank correlation: the correlation of the mean ranks within each group."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(both, x, "_rx"), y, "_ry")
+    ranked = average_rank(average_rank(both, x, "_rx", group), y, "_ry", group)
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
@@ -153,13 +154,15 @@ def adjusted_p_values(tests: DataFrame, p: str = "p") -> DataFrame:
 
 
 def first_component(df: DataFrame, columns: Sequence[str], out: str = "pc1") -> DataFrame:
-    """Score of each row on the first principal component of some columns."""
-    from pyspark.ml.feature import PCA, VectorAssembler
+    """Score of each row on the first principal component of the standardised columns."""
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df)
-    model = PCA(k=1, inputCol="_v", outputCol="_s").fit(vectors)
-    return model.transform(vectors).withColumn(out, vector_to_array("_s")[0]).drop("_v", "_s")
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_z").fit(vectors)
+    scaled = scaler.transform(vectors)
+    model = PCA(k=1, inputCol="_z", outputCol="_s").fit(scaled)
+    return model.transform(scaled).withColumn(out, vector_to_array("_s")[0]).drop("_v", "_z", "_s")
 
 
 def uniformity(df: DataFrame, phase: str, phases: int = 6) -> DataFrame:
@@ -211,8 +214,11 @@ def species_rollup(rows: DataFrame, classes: dict[str, str], species: str = "spe
 
 
 def burden(genomes: DataFrame, taxa: Sequence[str]) -> DataFrame:
-    """Share of rows of interest per genome, rolled up over the taxonomy."""
-    share = F.col("telo") / F.col("total")
+    """Share of rows of interest per genome, rolled up over the taxonomy.
+
+    A genome without rows has no share: it counts in ``n_genomes`` and ``prevalence`` only.
+    """
+    share = F.try_divide("telo", "total")
     return genomes.rollup(*taxa).agg(
         F.count("*").alias("n_genomes"), F.sum("telo").alias("telo"), F.sum("total").alias("total"),
         F.avg(share).alias("mean_burden"), F.percentile(share, F.lit(0.5)).alias("median_burden"),

@@ -19,7 +19,6 @@ from repeatloom.operators.durable import cut, once
 KEEP_COVERAGE = 0.85
 REPORT_COVERAGE = 0.10
 SHOW_COVERAGE = 0.50
-MAX_GENOME_BP = 5_000_000_000
 MIN_INSERTION = 30
 SCREEN_COLUMNS = (
     "genome_acc", "genome_name", "contig", "start", "end", "length", "strand", "mrna", "donor", "acceptor",
@@ -28,15 +27,25 @@ SCREEN_COLUMNS = (
 # ---------------------------------------------------------------------------
 
 
-def todo(catalog: DataFrame, ledger: DataFrame, only: str | None = None, force: bool = False) -> DataFrame:
-    """Catalog rows still to do; ``only`` is a case-insensitive part of acc or name."""
-    rows = catalog.where(F.col("genome_bp") <= MAX_GENOME_BP)
+def todo(
+    catalog: DataFrame, ledger: DataFrame, only: str | None = None, force: bool = False, max_bp: int | None = None,
+) -> DataFrame:
+    """Catalog rows still to do; ``only`` is a case-insensitive part of acc or name.
+
+    Genomes above ``max_bp`` are left out here and get a ledger row from ``too_large``.
+    """
+    rows = catalog if max_bp is None else catalog.where(F.coalesce(F.col("genome_bp") <= max_bp, F.lit(True)))
     if only:
         text = only.lower()
         rows = rows.where(F.lower("acc").contains(text) | F.lower("name").contains(text))
     return rows if force else rows.join(ledger.select("acc").distinct(), "acc", "left_anti")
 
 
+def too_large(catalog: DataFrame, max_bp: int) -> DataFrame:
+    """Ledger rows of the genomes that ``todo`` leaves out for their size."""
+    return catalog.where(F.col("genome_bp") > max_bp).select("acc", F.lit("skipped_too_large").alias("status"))
+
+
 def catalog_report(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every catalog row with its result; 'missing' and 0 where there is none."""
     numbers = [c for c, t in ledger.dtypes if t in ("bigint", "int", "double") and c not in catalog.columns]

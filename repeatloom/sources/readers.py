@@ -24,6 +24,7 @@ FINDER_COLUMNS = (
 GENE_TYPES = ("gene",)
 TRANSCRIPT_TYPES = ("mRNA", "transcript", "lnc_RNA", "rRNA", "tRNA")
 EXON_TYPES = ("exon", "CDS")
+HEADS = ("accession", "assembly accession", "assembly_accession", "#assembly_accession", "acc")
 # ---------------------------------------------------------------------------
 
 
@@ -33,10 +34,25 @@ def _fields(lines: DataFrame, least: int) -> DataFrame:
     ).where(F.size("f") >= least)
 
 
+def _number(text: Column, kind: str = "bigint") -> Column:
+    """The number that a cell holds, null if it holds none."""
+    return text.try_cast(kind)
+
+
+def rejected(lines: DataFrame, least: int, numbers: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Lines that a reader leaves out: too few columns, or no whole number in one of ``numbers``; per ``by``."""
+    cells = once(lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")), f=F.split("value", "\t"))
+    bad = F.size("f") < least
+    for i in numbers:
+        bad = bad | _number(F.get(F.col("f"), F.lit(i))).isNull()
+    return cells.groupBy(*by).agg(F.count("*").alias("n_lines"), F.count_if(bad).alias("n_rejected"))
+
+
 def parse_gff(lines: DataFrame) -> DataFrame:
     """GFF3 features, 0-based half-open, attributes as a map.
 
-    Lines with fewer than nine columns are skipped.  Columns besides ``value``
+    Lines with fewer than nine columns or without whole numbers as places are
+    skipped (``rejected`` counts them).  Columns besides ``value``
     (a genome name, a line number) are kept.
     """
     rest = [c for c in lines.columns if c != "value"]
@@ -45,9 +61,10 @@ def parse_gff(lines: DataFrame) -> DataFrame:
         F.regexp_extract_all(f[8], F.lit(r"(\w+=[^;]+)"), F.lit(1)), lambda kv: F.split(kv, "=", 2))
     names = F.transform(pairs, lambda p: p[0])
     unique = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p[0]))
-    return _fields(lines, 9).select(
+    placed = _fields(lines, 9).where(_number(f[3]).isNotNull() & _number(f[4]).isNotNull())
+    return placed.select(
         *rest, f[0].alias("contig"), f[1].alias("source"), f[2].alias("ftype"),
-        (f[3].cast("long") - 1).alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"),
+        (_number(f[3]) - 1).alias("start"), _number(f[4]).alias("end"), f[6].alias("strand"),
         F.map_from_entries(F.transform(unique, lambda p: F.struct(p[0], p[1]))).alias("attrs"),
     )
 
@@ -73,11 +90,11 @@ def gene_tables(features: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFram
 
 
 def parse_vcf(lines: DataFrame, min_len: int = 30) -> DataFrame:
-    """Insertions with sequence: ``chrom, pos, sv_id, ins_seq`` and how many lines."""
+    """Insertions with sequence: ``chrom, pos, sv_id, ins_seq``; lines without a position are skipped."""
     rest = [c for c in lines.columns if c != "value"]
     f = F.col("f")
-    return _fields(lines, 5).select(
-        *rest, f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("sv_id"),
+    return _fields(lines, 5).where(_number(f[1]).isNotNull()).select(
+        *rest, f[0].alias("chrom"), _number(f[1]).alias("pos"), f[2].alias("sv_id"),
         S.inserted_sequence(f[3], f[4], F.coalesce(F.get(f, F.lit(7)), F.lit("")), min_len).alias("ins_seq"))
 
 
@@ -89,7 +106,8 @@ def parse_alignment_hits(lines: DataFrame, contig_pattern: str | None = HIT_CONT
     """Tabular alignment hits with query length and the query's own place.
 
     The query name has five parts joined by ``|``; the third is its contig and
-    the fourth ``start-end``.  Subject ends are put in order.
+    the fourth ``start-end``.  Subject ends are put in order.  Lines with a cell that
+    is no number are skipped; without a query length the covered share is null.
     """
     rest = [c for c in lines.columns if c != "value"]
     f = F.col("f")
@@ -99,18 +117,18 @@ def parse_alignment_hits(lines: DataFrame, contig_pattern: str | None = HIT_CONT
     if contig_pattern:
         found = F.regexp_extract(f[1], contig_pattern, 1)
         contig = F.when(found != "", found).otherwise(f[1])
-    num = lambda i: f[i].cast("long")
+    num = lambda i: _number(f[i])
     return (
         _fields(lines, 14)
-        .where((F.size(q) >= 5) & (F.size(place) == 2))
+        .where((F.size(q) >= 5) & (F.size(place) == 2) & num(8).isNotNull() & num(9).isNotNull())
         .select(
             *rest, f[0].alias("qseqid"), F.get(q, F.lit(2)).alias("src_contig"),
             F.expr("try_cast(split(split(f[0], '[|]')[3], '-')[0] as bigint)").alias("src_start"),
             F.expr("try_cast(split(split(f[0], '[|]')[3], '-')[1] as bigint)").alias("src_end"),
-            contig.alias("hit_contig"), f[2].cast("double").alias("pident"),
+            contig.alias("hit_contig"), _number(f[2], "double").alias("pident"),
             F.least(num(8), num(9)).alias("hit_start"), F.greatest(num(8), num(9)).alias("hit_end"),
-            ((num(7) - num(6) + 1) / num(12)).alias("qcov"))
-        .where(F.col("src_start").isNotNull() & F.col("src_end").isNotNull())
+            F.try_divide(num(7) - num(6) + 1, num(12)).alias("qcov"))
+        .dropna(subset=["src_start", "src_end", "pident"])
     )
 
 
@@ -143,10 +161,13 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: str, acce
 
 
 def parse_catalog(lines: DataFrame) -> DataFrame:
-    """Accession catalog: short rows go, names are cleaned, bases default to 0."""
+    """Accession catalog of at least five columns: short rows, rows without accession and the header go.
+
+    Names are cleaned, bases default to 0.
+    """
     f = F.col("f")
     return (
-        lines.withColumn("f", F.split("value", "\t")).where(F.size("f") >= 2)
+        once(lines, f=F.split("value", "\t")).where((F.size("f") >= 5) & (F.trim(f[0]) != "") & ~F.lower(f[0]).isin(*HEADS))
         .select(
             f[0].alias("acc"), F.regexp_replace(f[1], "[ /]", "_").alias("name"),
             F.coalesce(F.expr("try_cast(get(f, 4) as bigint)"), F.lit(0)).alias("genome_bp")))

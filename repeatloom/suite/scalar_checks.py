@@ -209,13 +209,15 @@ def s05(spark, sf):
 
 @check("s08_catalog_lines", """
 SELECT 'GC' || s_suppkey AS acc, replace(replace('a b/c ' || s_name, ' ', '_'), '/', '_') AS name,
-  CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE CAST(s_suppkey * 1000 AS BIGINT) END AS genome_bp FROM supplier""")
+  CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE CAST(s_suppkey * 1000 AS BIGINT) END AS genome_bp FROM supplier WHERE s_suppkey % 7 NOT IN (1, 2)""")
 def s08(spark, sf):
     k = F.col("s_suppkey")
-    lines = V.table(spark, sf, "supplier").select(F.concat_ws(
-        "\t", F.concat(F.lit("GC"), k.cast("string")), F.concat(F.lit("a b/c "), F.col("s_name")), F.lit("x"), F.lit("y"),
+    head = F.lit("Accession\tname\tx\ty\tbp")
+    good = V.table(spark, sf, "supplier").select(k, F.concat_ws(
+        "\t", F.when(k % 7 == 1, "").otherwise(F.concat(F.lit("GC"), k.cast("string"))), F.concat(F.lit("a b/c "), F.col("s_name")), F.lit("x"), F.lit("y"),
         F.when(k % 3 == 0, "n/a").otherwise((k * 1000).cast("string"))).alias("value"))
-    return R.parse_catalog(lines)
+    lines = good.select(F.when(k % 7 == 2, F.substring_index("value", "\t", 4)).otherwise(F.col("value")).alias("value"))
+    return R.parse_catalog(lines.unionByName(V.table(spark, sf, "region").select(head.alias("value"))))
 
 
 def finder_lines(spark, sf):
@@ -380,9 +382,10 @@ def o05(spark, sf):
     return sides.agg(F.count_if(u | a).alias("n_union"), F.count_if(u & a).alias("n_both"), F.count_if(u & ~a).alias("n_only_user"))
 
 
-@check("o06_repeatable_examples")
+@check("o06_repeatable_examples", """
+SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents ORDER BY h, doc_id LIMIT 20""")
 def o06(spark, sf):
-    return K.capped(V.table(spark, sf, "documents").select("doc_id", "source", F.xxhash64("doc_id").alias("h")), ["h", "doc_id"], 20)
+    return K.capped(V.table(spark, sf, "documents").select("doc_id", "source", F.md5(F.col("doc_id").cast("string")).alias("h")), ["h", "doc_id"], 20)
 
 
 

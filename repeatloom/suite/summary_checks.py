@@ -168,12 +168,12 @@ def g12(spark, sf):
 
 
 @check("g15_pair_distance", """
-WITH p AS (SELECT o_custkey, o_orderkey AS id, o_custkey % 3 AS x, o_orderkey % 7 AS contig, CAST(floor(o_totalprice) AS BIGINT) AS s, CAST(floor(o_totalprice) AS BIGINT) + 100 AS e FROM orders WHERE o_orderstatus = 'P')
+WITH p AS (SELECT o_custkey, o_orderkey AS id, o_custkey % 3 AS x, o_orderkey % 7 AS contig, CAST(floor(o_totalprice) AS BIGINT) AS s, CAST(floor(o_totalprice) AS BIGINT) + 100 AS e FROM orders)
 SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.contig = b.contig THEN abs((a.s + a.e) / 2 - (b.s + b.e) / 2) END AS distance,
   CASE WHEN a.x = 0 THEN 'shared-linker' WHEN a.contig = b.contig THEN 'same-contig-intergenic' ELSE 'cross-contig' END AS pair_class
 FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.id < b.id""")
 def g15(spark, sf):
-    o = V.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
+    o = V.table(spark, sf, "orders")
     s = F.floor("o_totalprice").cast("long")
     side = lambda x: o.select(
         "o_custkey", F.col("o_orderkey").alias(f"id_{x}"), (F.col("o_orderkey") % 7).alias(f"contig_{x}"),
@@ -279,8 +279,8 @@ def g24(spark, sf):
 
 
 @check("g25_rank_correlation", """
-WITH r AS (SELECT o_orderpriority, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS x,
-  rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS y FROM orders)
+WITH r AS (SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2.0 AS y FROM orders)
 SELECT o_orderpriority, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY o_orderpriority""")
 def g25(spark, sf):
     o = V.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_custkey").cast("double").alias("k"))
@@ -328,12 +328,21 @@ def g28b(spark, sf):
     return shaped(spark, sf).groupBy("orientation").agg(F.count_if(gtag).alias("gt_ag"), F.count_if(~gtag).alias("other"))
 
 
-@check("g29_first_component")
+@check("g29_first_component", """
+WITH RECURSIVE t AS (SELECT count(*) AS a, sum(o_totalprice) AS b, max(o_totalprice) AS c FROM orders GROUP BY o_custkey),
+r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM t),
+p(i, x, y, z) AS (SELECT 0, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+  SELECT i + 1, u / sqrt(u * u + v * v + w * w), v / sqrt(u * u + v * v + w * w), w / sqrt(u * u + v * v + w * w)
+  FROM (SELECT i, x + ab * y + ac * z AS u, ab * x + y + bc * z AS v, ac * x + bc * y + z AS w FROM p, r) WHERE i < 200),
+e AS (SELECT x, y, z, x + ab * y + ac * z AS u, ab * x + y + bc * z AS v, ac * x + bc * y + z AS w FROM p, r WHERE i = 200)
+SELECT round(abs(u) / sqrt(x * u + y * v + z * w), 6) AS pc_a, round(abs(v) / sqrt(x * u + y * v + z * w), 6) AS pc_b,
+  round(abs(w) / sqrt(x * u + y * v + z * w), 6) AS pc_c FROM e""")
 def g29(spark, sf):
     rows = V.table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.count("*").cast("double").alias("a"), F.sum("o_totalprice").alias("b"), F.max("o_totalprice").alias("c"))
     return G.first_component(rows, ["a", "b", "c"]).agg(
-        F.round(F.abs(F.corr("pc1", "a")), 6).alias("pc_a"), F.round(F.abs(F.corr("pc1", "b")), 6).alias("pc_b"))
+        F.round(F.abs(F.corr("pc1", "a")), 6).alias("pc_a"), F.round(F.abs(F.corr("pc1", "b")), 6).alias("pc_b"),
+        F.round(F.abs(F.corr("pc1", "c")), 6).alias("pc_c"))
 
 
 _HITS = """h AS (SELECT l_orderkey AS q, l_partkey % 50 AS sc, l_suppkey % 50 AS hc, l_partkey * 10 AS ss, l_partkey * 10 + 300 AS se,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions.motifs import MECHANISM_FAMILIES, RESCREEN_FAMILIES, SURVEY_FAMILIES
-from repeatloom.operators.durable import once, spread
+from repeatloom.operators.durable import once
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS = "ACGTACGTACGTACGTACGTACNNNN"
@@ -34,7 +34,7 @@ def n_docs(spark: SparkSession, sf: str) -> Column:
 
 
 def dna(spark: SparkSession, sf: str) -> DataFrame:
-    d = spread(table(spark, sf, "documents"), "doc_id")
+    d = table(spark, sf, "documents").repartition("doc_id")
     return once(d, dna=dna_of(F.col("text"))).select("doc_id", F.col("source").alias("genome"), "lang", "dna")
 
 

@@ -217,7 +217,6 @@ def test_first_container_is_brute_force(spark):
 
 
 def test_similar_sets_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(K, "HOT", 3)
     rng = random.Random(4)
     base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
     texts = [b[:rng.randint(25, 60)] + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 40))) for b in base for _ in range(5)]
@@ -312,7 +311,9 @@ def test_only_and_force_arguments(spark):
     catalog = spark.createDataFrame([("GC1", "Mus_musculus", 5), ("GC2", "Homo", 6), ("GC3", "Big", 6_000_000_000)], "acc string, name string, genome_bp long")
     ledger = spark.createDataFrame([("GC1", "ok")], "acc string, status string")
     accs = lambda df: sorted(r.acc for r in df.collect())
-    assert accs(V.todo(catalog, ledger)) == ["GC2"]
+    assert accs(V.todo(catalog, ledger)) == ["GC2", "GC3"]
+    assert accs(V.todo(catalog, ledger, max_bp=5_000_000_000)) == ["GC2"]
+    assert [tuple(r) for r in V.too_large(catalog, 5_000_000_000).collect()] == [("GC3", "skipped_too_large")]
     assert accs(V.todo(catalog, ledger, only="MUS", force=True)) == ["GC1"]
 
 
@@ -335,8 +336,9 @@ def test_first_component_follows_numpy(spark):
     x = rng.normal(size=(60, 3)) @ np.array([[3.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 0.2]])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
     got = np.array([r.pc1 for r in G.first_component(df, ["a", "b", "c"]).orderBy("id").collect()])
-    axis = np.linalg.eigh(np.cov(x.T))[1][:, -1]
-    assert np.allclose(np.abs(np.corrcoef(got, x @ axis)[0, 1]), 1.0)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    axis = np.linalg.eigh(np.cov(z.T))[1][:, -1]
+    assert np.allclose(np.abs(np.corrcoef(got, z @ axis)[0, 1]), 1.0)
 
 
 def test_ranks_and_adjusted_p_values(spark):
@@ -348,3 +350,39 @@ def test_ranks_and_adjusted_p_values(spark):
     want = {v: min(1.0, min(q * len(p) / (order.index(q) + order.count(q)) for q in p if q >= v)) for v in p}
     for r in G.adjusted_p_values(df).collect():
         assert abs(r.adjusted - want[r.p]) < 1e-12
+
+
+def test_ranks_stay_within_groups(spark):
+    rows = [("a", 1.0, 3.0), ("a", 2.0, 1.0), ("a", 3.0, 5.0), ("b", 1.5, 9.0), ("b", 2.5, 2.0), ("b", 3.5, 4.0), ("b", 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    both = {r.g: r.rho for r in G.spearman(df, "x", "y", ["g"]).collect()}
+    for g in ("a", "b"):
+        alone = G.spearman(df.where(F.col("g") == g), "x", "y", ["g"]).first().rho
+        assert abs(both[g] - alone) < 1e-12
+
+
+def test_lines_that_hold_no_numbers(spark):
+    gff = ["c\ts\texon\t5\t9\t.\t+\t.\tID=a", "c\ts\texon\tx\t9\t.\t+\t.\tID=b", "# note", "c\ts\texon\t5\t9"]
+    lines = spark.createDataFrame([(x,) for x in gff], "value string")
+    assert [(r.start, r.end) for r in R.parse_gff(lines).collect()] == [(4, 9)]
+    assert tuple(R.rejected(lines, 9, (3, 4)).first()) == (3, 2)
+    vcf = spark.createDataFrame([("c\tp\tid\tA\tAC",), ("c\t7\tid\tA\t" + "AC" * 20,)], "value string")
+    assert [r.pos for r in R.parse_vcf(vcf).collect()] == [7]
+    hit = "a|b|c|1-9|e\tx\t{}\t9\t0\t0\t1\t8\t{}\t4\t0\t5\t{}\ts"
+    hits = spark.createDataFrame([(hit.format(*v),) for v in (("90.0", "3", "10"), ("?", "3", "10"), ("90.0", "y", "10"), ("90.0", "3", "0"))], "value string")
+    assert sorted((r.pident, r.qcov or -1.0) for r in R.parse_alignment_hits(hits).collect()) == [(90.0, -1.0), (90.0, 0.8)]
+    catalog = ["Accession\tname\tx\ty\tbp", "GC1\ta b\tx\ty\t5", "GC2\tshort", "\tno\tx\ty\t5", "GC3\tc\tx\ty\t?"]
+    got = R.parse_catalog(spark.createDataFrame([(x,) for x in catalog], "value string")).collect()
+    assert sorted(map(tuple, got)) == [("GC1", "a_b", 5), ("GC3", "c", 0)]
+
+
+def test_genomes_without_rows_have_no_burden(spark):
+    df = spark.createDataFrame([("x", 1, 4), ("x", 0, 0)], "t string, telo long, total long")
+    top = G.burden(df, ["t"]).where("t is null").first()
+    assert (top.n_genomes, top.mean_burden, top.prevalence) == (2, 0.25, 0.5)
+
+
+def test_exons_behind_four_gigabases(spark):
+    big = 5_000_000_000
+    df = spark.createDataFrame([("c", "t", big, big + 100), ("c", "t", big + 300, big + 400)], "contig string, parent string, start long, end long")
+    assert [(r.start, r.end) for r in I.exon_ranks(df).collect()] == [(big + 100, big + 300)]
