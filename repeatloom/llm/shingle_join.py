@@ -6,9 +6,9 @@ Rare tokens are indexed alone.  Frequent tokens (``2 ** RARE`` documents or more
 the prefix is extended by one token per class, and pairs of one class are indexed: if more than one of a class must
 be common, a pair is.  Tokens of one document only are never indexed.
 
-Pairs that share an index entry are verified on the full sets.  First each entry's members are compared with the
-most central one only (fewest tokens of its own); groups that this connects need no more comparisons inside.  Then
-what is still in different groups is compared.  Copies are one document throughout, and no pair inside a connected
+Pairs that share an index entry are verified on all tokens that more than one document has.  First each entry's
+members are compared with the most central one only, its hub (fewest tokens of its own); groups that this connects need
+no more comparisons inside.  Then what is still in different groups and can be alike is compared.  Copies are one document throughout, and no pair inside a connected
 group is ever made.
 """
 
@@ -159,52 +159,60 @@ def _index(plan: packed.Layout, width: int, num: int, den: int):
             at += len(tokens)
             entries = signatures(tokens, mine, num, den) if len(tokens) else tokens
             out.append((key, d1, len(tokens), int(np.count_nonzero(mine == 0)), entries.view(np.int64),
-                        tokens.view(np.int64) if len(entries) else None))
+                        tokens[mine > 0].view(np.int64) if len(entries) else None))
         return packed.message(out, INDEXED)
     return block
 
 
-def _may_link(n1: Column, own1: Column, n2: Column, own2: Column, num: int, den: int) -> Column:
-    """Whether two sets can be similar, by their sizes and their tokens that no other document has."""
-    common = F.least(n1 - own1, n2 - own2)
+def _alike(common: Column, n1: Column, n2: Column, num: int, den: int) -> Column:
     return den * common >= num * (n1 + n2 - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` of the pairs that are similar."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(right, "b").join(left, "a")
-        .where(den * common >= num * (F.size("ta") + F.size("tb") - common)).select("a", "b"))
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` of ``a, b`` with both sizes, the number of common tokens, and what ``b`` has besides ``a``."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("tokens").alias("tb"))
+    return pairs.join(right, "b").join(left, "a").select(
+        "a", "b", "na", "nb", "ob", F.size(F.array_intersect("ta", "tb")).alias("common"),
+        F.array_except("tb", "ta").alias("besides"))
 
 
 def links(sets: DataFrame, num: int, den: int, written) -> tuple[DataFrame, DataFrame]:
-    """Verified links between documents, and the groups they make (``id, label``) where there are any."""
-    entries = sets.where(F.size("entries") > 0).select("id", "n", "own", F.explode("entries").alias("entry"))
-    me = F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own")
-    hubs = entries.groupBy("entry").agg(F.min(me).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    beside = entries.join(hubs.select("entry", "hub"), "entry")
-    star = written(
-        beside.where((F.col("id") != F.col("hub.id")) & _may_link(
-            F.col("n"), F.col("own"), F.col("hub.n"), F.col("hub.own"), num, den))
-        .select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    first = written(_verified(star, sets, num, den), "links")
+    """Verified links between documents, and the groups they make (``id, label``) where there are any.
+
+    Every entry's members are compared with its hub.  Two members x and y that this leaves in different groups have in
+    common what both have of the hub, at most min(|x & hub|, |y & hub|), and what both have besides it.  So they
+    are compared only if that minimum is enough, or if they share a token that the hub lacks.
+    """
+    entries = sets.select("id", "n", "own", F.explode("entries").alias("entry"))
+    me = F.struct((F.col("own") / F.col("n")).alias("share"), "id")
+    hubs = entries.groupBy("entry").agg(F.min(me).alias("hub"), F.count("*").alias("members")).where(
+        "members > 1").select("entry", F.col("hub.id").alias("hub"))
+    beside = entries.join(hubs, "entry")
+    star = written(_beside(
+        beside.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "star")
+    first = star.where(_alike(F.col("common"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
     labels = groups(first)
-    named = lambda df, key, out: df.join(
-        labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col(key) == F.col("_id"), "left"
-    ).withColumn(out, F.coalesce("_label", F.col(key))).drop("_id", "_label")
-    placed = named(named(beside.withColumn("hub_id", F.col("hub.id")), "id", "label"), "hub_id", "hub_label")
-    outside = placed.where(F.col("label") != F.col("hub_label")).select(
-        "entry", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("own").alias("own1"), F.col("label").alias("l1"))
-    cross = (
-        outside.join(placed, "entry")
-        .where((F.col("l1") != F.col("label")) & ((F.col("label") == F.col("hub_label")) | (F.col("a") < F.col("id")))
-               & _may_link(F.col("n1"), F.col("own1"), F.col("n"), F.col("own"), num, den))
-        .select("a", F.col("id").alias("b")).distinct())
-    known = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = written(_verified(cross.join(known, ["a", "b"], "left_anti"), sets, num, den), "more-links")
+
+    def named(df: DataFrame, key: str, out: str) -> DataFrame:
+        own = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+        return df.join(own, F.col(key) == F.col("_id"), "left").withColumn(
+            out, F.coalesce("_label", F.col(key))).drop("_id", "_label")
+
+    placed = named(named(star.select(
+        F.col("a").alias("hub"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("ob").alias("own"), "common",
+        "besides"), "id", "label"), "hub", "hub_label")
+    placed = written(placed, "placed")
+    plain = placed.drop("besides")
+    in_entry = entries.select("id", "entry").join(hubs, "entry").join(plain, ["hub", "id"])
+    by_token = placed.select("*", F.explode("besides").alias("token")).drop("besides")
+    cross = _between(in_entry, ["entry"], F.lit(0), num, den).unionByName(_between(
+        by_token, ["hub", "token"],
+        F.least(F.col("n") - F.col("common") - F.col("own"), F.col("n1") - F.col("common1") - F.col("own1")), num, den))
+    known = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    second = written(
+        _beside(cross.distinct().join(known, ["a", "b"], "left_anti"), sets)
+        .where(_alike(F.col("common"), F.col("na"), F.col("nb"), num, den)).select("a", "b"), "more-links")
     if second.isEmpty():
         return first, labels
     merged = named(named(second, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -215,6 +223,18 @@ def links(sets: DataFrame, num: int, den: int, written) -> tuple[DataFrame, Data
     return first.unionByName(second), final
 
 
+def _between(rows: DataFrame, keys: list[str], besides: Column, num: int, den: int) -> DataFrame:
+    """Pairs of one key and different groups that can be alike; one of the two is outside the hub's group."""
+    outside = rows.where("label != hub_label").select(
+        *keys, F.col("id").alias("a"), *[F.col(c).alias(f"{c}1") for c in ("n", "own", "common", "label")])
+    most = F.least("common", "common1") + besides
+    return (
+        outside.join(rows, keys)
+        .where((F.col("label1") != F.col("label")) & ((F.col("label") == F.col("hub_label")) | (F.col("a") < F.col("id")))
+               & _alike(most, F.col("n1"), F.col("n"), num, den))
+        .select("a", F.col("id").alias("b")))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """``id, label``: smallest id reachable, for the ids of the pairs."""
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
