@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repeatloom.operators.durable import cut
-from repeatloom.operators.ordered import BIN, position_bin, previous_max, previous_value, running
+from repeatloom.operators.ordered import position_bin, previous_max, previous_value, running
 
 # --- fixed values -----------------------------------------------------------
 INTRON_MIN, INTRON_MAX, INTRON_MAX_HUMAN = 20, 100_000, 500_000
@@ -64,16 +63,13 @@ def first_per_interval(df: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 def merge(intervals: DataFrame, keys: Sequence[str] = ("contig",)) -> DataFrame:
-    """Union of overlapping or touching intervals per key.
-
-    The first pass is written to the shared folder: the second one reads it twice.
-    """
+    """Union of overlapping or touching intervals per key."""
     starts = (
         intervals.where(F.col("end") > F.col("start"))
         .groupBy(*keys, "start").agg(F.max("end").alias("end")))
     seen = previous_max(starts, keys, "start", "end", "_seen")
-    opened = cut(seen.withColumn(
-        "_open", F.when(F.col("_seen").isNull() | (F.col("start") > F.col("_seen")), F.col("start"))))
+    opened = seen.withColumn(
+        "_open", F.when(F.col("_seen").isNull() | (F.col("start") > F.col("_seen")), F.col("start")))
     carried = previous_max(opened, keys, "start", "_open", "_before")
     return (
         carried.withColumn("_island", F.coalesce("_open", "_before"))
@@ -89,7 +85,7 @@ def complement(
     ``lengths`` holds one ``contig_len`` per key.  With ``only_listed`` keys
     without any interval give nothing; otherwise they are free as a whole.
     """
-    placed = cut(merged.join(lengths, list(keys)))
+    placed = merged.join(lengths, list(keys))
     inner = placed.where(F.col("start") < F.col("contig_len"))
     walls = previous_value(inner, keys, "start", "end", "_end")
     between = walls.select(
@@ -133,27 +129,46 @@ def within_tolerance(
         F.abs(F.col("end") - F.col("t_end")) <= tol)
 
 
+def _next_at(points: DataFrame, keys: Sequence[str], probes: DataFrame, value: str, out: str) -> DataFrame:
+    """For each distinct ``x`` of ``probes``, the ``value`` of the first point at or behind it.
+
+    ``points`` has one row per ``x`` and key.  Both sides are put in one order and
+    walked from the top, so the cost is linear in both.
+    """
+    kind = dict(points.dtypes)[value]
+    both = points.select(*keys, "x", F.lit(1).alias("_tag"), value).unionByName(
+        probes.select(*keys, "x").distinct().select(
+            *keys, "x", F.lit(0).alias("_tag"), F.lit(None).cast(kind).alias(value)))
+    walked = running(
+        both.withColumn("_at", F.struct("x", "_tag")), keys, "_at", value, out, "min", from_top=True,
+        bin_by=position_bin("x"))
+    return walked.where("_tag = 0").select(*keys, "x", out)
+
+
 def first_container(
     inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("contig",), slack: int = 0,
-    order: Sequence[str] = ("o_start", "o_end"), width: int = 4096,
 ) -> DataFrame:
-    """First outer interval that contains each inner one, with slack at the ends.
+    """First outer interval, by (start, end), that contains each inner one, with slack at the ends.
 
-    ``inner`` has ``start, end``; ``outer`` has ``o_start, o_end``.  Both sides are
-    reduced to distinct intervals before they meet in position bins, and the
-    answers are joined back, so copies of one interval cost nothing.
+    ``inner`` has ``start, end``; ``outer`` has ``o_start, o_end``.  The container of
+    smallest start ends further than all that start earlier (else one of those
+    would come first), and among such intervals both ends grow: the one sought is
+    the first that ends far enough.  A second walk over the intervals of that start
+    finds the smallest end.  No pairs are made, however many intervals nest.
     """
-    probes = inner.select(*keys, "start", "end").distinct()
+    probes = inner.select(*keys, "start", "end").distinct().withColumn("x", F.col("end") - slack)
     walls = outer.select(*keys, "o_start", "o_end").distinct()
-    binned = walls.withColumn("_bin", _bins(F.col("o_start") - slack, F.col("o_end") + slack + 1, width))
-    found = (
-        probes.withColumn("_bin", F.floor(F.col("start") / width).cast("long"))
-        .join(binned, [*keys, "_bin"])
-        .where((F.col("start") >= F.col("o_start") - slack) & (F.col("end") <= F.col("o_end") + slack))
-        .groupBy(*keys, "start", "end")
-        .agg(F.min(F.struct(*order)).alias("_o"))
-        .select(*keys, "start", "end", "_o.*")
-    )
+    starts = walls.groupBy(*keys, "o_start").agg(F.max("o_end").alias("x"))
+    records = previous_max(starts, keys, "o_start", "x", "_seen").where(
+        F.col("_seen").isNull() | (F.col("x") > F.col("_seen")))
+    by_end = _next_at(records.withColumn("_s", F.struct("x", "o_start")), keys, probes, "_s", "_first")
+    begun = (
+        probes.join(by_end, [*keys, "x"]).where(F.col("_first.o_start") <= F.col("start") + slack)
+        .select(*keys, "start", "end", "x", F.col("_first.o_start").alias("o_start")))
+    ends = walls.select(*keys, "o_start", F.col("o_end").alias("x"), "o_end")
+    by_start = _next_at(ends, [*keys, "o_start"], begun, "o_end", "_end")
+    found = begun.join(by_start, [*keys, "o_start", "x"]).select(
+        *keys, "start", "end", "o_start", F.col("_end").alias("o_end"))
     return inner.join(found, [*keys, "start", "end"], "left")
 
 
@@ -286,9 +301,9 @@ def exon_ranks(exons: DataFrame, keys: Sequence[str] = ("contig", "parent")) ->
     Exons are made distinct first; index and neighbours follow (start, end).
     """
     d = _in_order(exons, keys).withColumn("one", F.lit(1))
-    ranked = cut(running(
+    ranked = running(
         d, keys, "_at", "one", "rank", "sum", upto_self=True, bin_by=position_bin("start")).withColumn(
-        "me", F.struct("start", "end")))
+        "me", F.struct("start", "end"))
     before = previous_value(ranked, keys, "_at", "me", "prev", position_bin("start"))
     sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n_exons"))
     return (

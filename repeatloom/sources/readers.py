@@ -173,9 +173,11 @@ def parse_catalog(lines: DataFrame) -> DataFrame:
             F.coalesce(F.expr("try_cast(get(f, 4) as bigint)"), F.lit(0)).alias("genome_bp")))
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    """Ledgers, groups and pairs kept as JSON documents."""
-    return spark.read.json(path, schema=schema, multiLine=True)
+def read_json(
+    spark: SparkSession, path: str | Sequence[str], schema: str, one_per_line: bool = False,
+) -> DataFrame:
+    """Ledgers, groups and pairs kept as JSON: one document per file, or one per line, which Spark can split."""
+    return spark.read.json(path, schema=schema, multiLine=not one_per_line)
 
 
 def with_file_name(df: DataFrame, pattern: str = ACCESSION) -> DataFrame:

@@ -211,7 +211,7 @@ def test_first_container_is_brute_force(spark):
     outer = [(rng.randint(0, 1), s, s + rng.randint(20, 6000)) for s in [rng.randint(0, 3000) for _ in range(80)]]
     a = spark.createDataFrame(inner, "contig int, start long, end long")
     b = spark.createDataFrame(outer, "contig int, o_start long, o_end long")
-    for r in I.first_container(a, b, slack=50, width=256).collect():
+    for r in I.first_container(a, b, slack=50).collect():
         fits = [(s, e) for c, s, e in outer if c == r.contig and r.start >= s - 50 and r.end <= e + 50]
         assert (r.o_start, r.o_end) == min(fits, default=(None, None))
 
@@ -386,3 +386,30 @@ def test_exons_behind_four_gigabases(spark):
     big = 5_000_000_000
     df = spark.createDataFrame([("c", "t", big, big + 100), ("c", "t", big + 300, big + 400)], "contig string, parent string, start long, end long")
     assert [(r.start, r.end) for r in I.exon_ranks(df).collect()] == [(big + 100, big + 300)]
+
+
+def test_deeply_nested_containers(spark):
+    outer = spark.range(10_000).select(F.lit(0).alias("contig"), F.col("id").alias("o_start"), (20_000 - F.col("id")).alias("o_end"))
+    inner = spark.range(10_000).select(F.lit(0).alias("contig"), F.col("id").alias("start"), (F.col("id") + 50).alias("end"))
+    got = I.first_container(inner, outer).groupBy("o_start", "o_end").count().collect()
+    assert [tuple(r) for r in got] == [(0, 20_000, 10_000)]
+
+
+def test_readers_on_files(spark, tmp_path):
+    def file(name, *lines):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        return str(tmp_path / name)
+
+    gff = R.read_gff(spark, file("GCF_000001.2_x.gff", "##gff", "c\ts\tgene\t5\t9\t.\t+\t.\tID=a;Name=n", "bad")).first()
+    assert (gff.acc, gff.start, gff.end, gff.attrs) == ("GCF_000001.2", 4, 9, {"ID": "a", "Name": "n"})
+    assert R.read_vcf(spark, file("v.vcf", "#h", "c\t7\tid\tA\t" + "AC" * 20)).first().pos == 7
+    hits = file("GCA_7.1.tsv", "a|b|ctg|3-9|e\tNW_5.1\t91.5\t9\t0\t0\t1\t8\t30\t20\t0\t5\t10\ts")
+    hit = R.read_alignment_hits(spark, hits).first()
+    assert (hit.src_contig, hit.src_start, hit.hit_contig, hit.hit_start, hit.hit_end, hit.qcov, hit.acc) == ("ctg", 3, "NW_5.1", 20, 30, 0.8, "GCA_7.1")
+    row = ["s", "1", "40", "6", "80", "TTAGGG", "6.5", "0", "0", "0"]
+    finder = R.read_repeat_finder(spark, file("GCA_8.1.csv", "SeqID\tx", "\t".join(row), "\t".join(row[:5]), "\t".join(["s", "?", *row[2:]]))).collect()
+    assert [(r.consensus, r.tr_end, r.acc) for r in finder] == [("TTAGGG", 40, "GCA_8.1")]
+    table = R.read_table(spark, file("GCF_9.3_hits.tsv", "a\tb", "1\tx"), "a int, b string", accession=True).first()
+    assert (table.a, table.b, table.acc) == (1, "x", "GCF_9.3")
+    ledger = R.read_json(spark, file("ledger.json", '[{"acc": "GC1", "n": 3},', ' {"acc": "GC2", "extra": 1}]'), "acc string, n long").collect()
+    assert [tuple(r) for r in ledger] == [("GC1", 3), ("GC2", None)]
