@@ -49,13 +49,13 @@ def distinct_sets(df: DataFrame, k: int, min_len: int, seq: str = "seq", by: str
     """One row per distinct text with its smallest id, its copies and its k-mers.
 
     Copies of a text, in either direction, become one row before any k-mer is
-    made.
+    made.  K-mers are kept as 64-bit hashes, which is all that comparing needs.
     """
     texts = df.where((F.length(seq) >= min_len) & (F.length(seq) >= k)).select(
         by, F.col(seq).alias("_t"), _text_key(F.col(seq)).alias("set_key"))
     return cut(
         texts.groupBy("set_key").agg(F.min(by).alias("rep"), F.count("*").alias("copies"), F.any_value("_t").alias("_t"))
-    ).withColumn("ks", kmer_set(F.col("_t"), k)).drop("_t")
+    ).withColumn("ks", F.transform(kmer_set(F.col("_t"), k), lambda w: F.xxhash64(w))).drop("_t")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
