@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.functions import motifs as M
-from repeatloom.operators import arrays as A
 from repeatloom.operators import intervals as I
 from repeatloom.operators import sequences as Q
-from repeatloom.operators.durable import cut, once
+from repeatloom.operators.durable import cut
+from repeatloom.operators.ordered import position_bin, previous_value, running
 
 
 def compartments(
@@ -36,26 +36,56 @@ def compartments(
     }).where(F.col("end") > F.col("start")).drop("contig_len"))
 
 
+def hits_inside(
+    hits: DataFrame, intervals: DataFrame, classes: Sequence[str], keys: Sequence[str] = ("contig",),
+) -> DataFrame:
+    """Hits ``pos, k`` that lie in an interval, with its ``start, end``; once per class that has one.
+
+    Intervals of one class don't overlap, so the one that a hit can lie in is the last that begins at or before it: a
+    running value in position order, linear in both sides.
+    """
+    place = F.struct("start", "end")
+    walls = intervals.select(*keys, "compartment", F.col("start").alias("pos"), F.lit(0).alias("k"), place.alias("_in"))
+    asked = hits.select(
+        *keys, F.explode(F.array(*[F.lit(c) for c in classes])).alias("compartment"), "pos", F.col("k").cast("int"),
+        F.lit(None).cast(walls.schema["_in"].dataType).alias("_in"))
+    at = F.struct("pos", "k")
+    held = running(
+        walls.unionByName(asked).withColumn("_at", at), [*keys, "compartment"], "_at", "_in", "_held", "max",
+        upto_self=True, bin_by=position_bin("pos"))
+    return held.where((F.col("k") > 0) & (F.col("pos") + F.col("k") <= F.col("_held.end"))).select(
+        *keys, "compartment", "_held.start", "_held.end", "pos", "k")
+
+
 def compartment_density(
     intervals: DataFrame, chunks: DataFrame, group: Sequence[str], keys: Sequence[str] = ("contig",),
-    size: int = Q.CHUNK, window: int = 200, strict: bool = True, unit: str = "TTAGGG",
+    window: int = 200, strict: bool = True, unit: str = "TTAGGG",
 ) -> DataFrame:
-    """Bases, hits and dense windows per compartment.
+    """Bases, hits and dense windows per compartment, from a chunk table without overlap.
 
     ``strict`` takes hits only from intervals at least one window long, while the
-    bases of all intervals count; otherwise all hits count.
+    bases of all intervals count; otherwise all hits count.  Hits are found chunk by
+    chunk and assigned to intervals by position; no interval's text is put
+    together.  A window is dense with two hits: for neighbours a < b these are the windows
+    that begin from b - window + 1 to a, without those that the pair before had.
     """
     kmers = M.both_strands(unit)
-    texts = Q.slices(intervals, chunks, keys, size)
-    seq = F.col("seq")
-    measured = once(texts, d=A.dense_windows(seq, kmers, window), all_hits=M.hit_count(seq, kmers))
-    hits = F.col("d.n_hits") if strict else F.col("all_hits")
-    per_text = measured.select(
-        *keys, "start", "end", F.length("seq").alias("bp"), hits.alias("h"), F.col("d.n_dense").alias("dense"),
-        F.col("d.n_windows").alias("windows"))
-    return intervals.join(per_text, [*keys, "start", "end"]).groupBy(*group, "compartment").agg(
-        F.sum("bp").alias("bp"), F.sum("h").alias("telo_kmers"), F.sum("dense").alias("telo_windows"),
-        F.sum("windows").alias("total_windows"))
+    inside = cut(hits_inside(Q.chunk_hits(chunks, kmers, keys), intervals, ("cds", "intron", "intergenic"), keys))
+    own = [*keys, "compartment", "start", "end"]
+    before = previous_value(inside, own, "pos", "pos", "_a")
+    paired = previous_value(before, own, "pos", "_a", "_a2")
+    last = F.col("end") - window
+    earlier = F.when(F.col("_a2").isNotNull(), F.least("_a2", last) + 1)
+    low = F.greatest(F.col("pos") - window + 1, F.col("start"), earlier)
+    dense = F.when(F.col("_a").isNotNull() & (last >= F.col("start")), F.greatest(
+        F.lit(0), F.least("_a", last) - low + 1)).otherwise(0)
+    counted = paired.where((last >= F.col("start")) if strict else F.lit(True)).groupBy(*own).agg(
+        F.count("*").alias("h"), F.sum(dense).alias("dense"))
+    bp = F.col("end") - F.col("start")
+    return intervals.join(counted, own, "left").groupBy(*group, "compartment").agg(
+        F.sum(bp).alias("bp"), F.coalesce(F.sum("h"), F.lit(0)).alias("telo_kmers"),
+        F.coalesce(F.sum("dense"), F.lit(0)).alias("telo_windows"),
+        F.sum(F.greatest(bp - window + 1, F.lit(0))).alias("total_windows"))
 
 
 def density_ratios(density: DataFrame, group: Sequence[str]) -> DataFrame:

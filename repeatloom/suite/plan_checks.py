@@ -329,7 +329,7 @@ def _density(spark, sf):
     genes = f.groupBy("contig", "parent").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     parts = D.compartments(f, genes, _lengths(spark, sf))
     named = parts.join(V.dna(spark, sf).select(F.col("doc_id").alias("contig"), "genome"), "contig")
-    return D.compartment_density(named, _chunks(spark, sf), ["genome"], size=1024)
+    return D.compartment_density(named, _chunks(spark, sf), ["genome"])
 
 
 @check("q11_g14_density_ratios", with_ctes("features", "seqs", "tta", extra=_COMP + """,

@@ -14,6 +14,7 @@ from repeatloom.operators import ordered as O
 from repeatloom.operators import placement as P
 from repeatloom.operators import sequences as Q
 from repeatloom.operators import summaries as G
+from repeatloom.plans import compartments as D
 from repeatloom.plans import linkers as L
 from repeatloom.plans import surveys as V
 from repeatloom.sinks import writers as W
@@ -413,3 +414,34 @@ def test_readers_on_files(spark, tmp_path):
     assert (table.a, table.b, table.acc) == (1, "x", "GCF_9.3")
     ledger = R.read_json(spark, file("ledger.json", '[{"acc": "GC1", "n": 3},', ' {"acc": "GC2", "extra": 1}]'), "acc string, n long").collect()
     assert [tuple(r) for r in ledger] == [("GC1", 3), ("GC2", None)]
+
+
+def test_hits_across_chunk_borders(spark):
+    rng = random.Random(9)
+    texts = {c: "".join(rng.choice(["TTAGGG", "TTTAGGG", "A", "C", "TTAGG", "CCCTAA"]) for _ in range(60)) for c in range(4)}
+    texts[4], texts[5] = "TTAGGG", "TT"
+    seqs = spark.createDataFrame(list(texts.items()), "contig long, seq string")
+    kmers = ["TTAGGG", "TTTAGGG", "TTAGG"]
+    for size in (7, 16, 4096):
+        got = {(r.contig, r.pos, r.k) for r in Q.chunk_hits(Q.chunk(seqs, size=size), kmers).collect()}
+        assert got == {(c, i, len(m)) for c, t in texts.items() for m in kmers for i in range(len(t)) if t.startswith(m, i)}
+
+
+def test_density_of_intervals_without_their_text(spark):
+    rng = random.Random(10)
+    text = "".join(rng.choice(["TTAGGG", "A" * 9, "C" * 40]) for _ in range(120))
+    n = len(text)
+    spans = [("cds", 0, 90), ("cds", 130, 131), ("intron", 90, 130), ("intron", 500, 900), ("intergenic", 131, 500), ("intergenic", 900, n)]
+    intervals = spark.createDataFrame([(0, c, s, e, "g") for c, s, e in spans], "contig long, compartment string, start long, end long, genome string")
+    chunks = Q.chunk(spark.createDataFrame([(0, text)], "contig long, seq string"), size=64)
+    for strict in (True, False):
+        got = {r.compartment: tuple(r)[2:] for r in D.compartment_density(intervals, chunks, ["genome"], window=50, strict=strict).collect()}
+        for c in ("cds", "intron", "intergenic"):
+            bp = hits = dense = windows = 0
+            for _, s, e in [x for x in spans if x[0] == c]:
+                piece = text[s:e]
+                at = [i for i in range(len(piece) - 5) if piece[i:i + 6] in TTA]
+                bp, windows = bp + e - s, windows + max(0, e - s - 49)
+                hits += len(at) if not strict or e - s >= 50 else 0
+                dense += sum(sum(w <= i < w + 50 for i in at) >= 2 for w in range(e - s - 49))
+            assert got[c] == (bp, hits, dense, windows)
