@@ -21,8 +21,11 @@ from pyspark.sql import types as T
 
 from repeatloom.llm.rows import map_texts
 
-#: Entries that a task keeps in each of its tables; a full table is emptied, which costs time and changes nothing.
-KEPT = 200_000
+#: Entries that a process keeps in each of its tables; a full table is emptied, which costs time and changes nothing.
+KEPT = 150_000
+KEPT_CHUNKS = 350_000
+#: Bytes up to which a piece's table is filled only where its encoding needs it.
+LAZY = 200
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,6 +49,9 @@ class PrefixEncoder:
                 self.halves[rank] = last
         self.usable = {self.tokens[i]: i for i in self.halves}
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
         return self._merge(piece)[0]
@@ -126,7 +132,37 @@ class PrefixEncoder:
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is a token is that token, as in the library that reads these files."""
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.walk(self.extend(piece, []))
+        if whole is not None:
+            return [whole]
+        if len(piece) > LAZY:
+            return self.walk(self.extend(piece, []))
+        last, ids, end = [-1] * (len(piece) + 1), [], len(piece)
+        while end:
+            token = last[end]
+            if token < 0:
+                token = self._last(piece, end, last)
+            ids.append(token)
+            end -= len(self.tokens[token])
+        return ids[::-1]
+
+    def _last(self, piece: bytes, end: int, last: list[int]) -> int:
+        """Fills ``last[end]``, and of the shorter prefixes only those that it is decided by."""
+        token_at, known = self.usable.get, self._fits.get
+        for begin in range(end - self.longest if end > self.longest else 0, end):
+            token = token_at(piece[begin:end])
+            if token is not None:
+                if begin == 0:
+                    break
+                left = last[begin]
+                if left < 0:
+                    left = self._last(piece, begin, last)
+                fit = known((left, token))
+                if fit or fit is None and self.fits(left, token):
+                    break
+        else:
+            raise ValueError(f"byte {piece[end - 1]} has no token")
+        last[end] = token
+        return token
 
 
 class TextEncoding:
@@ -176,9 +212,15 @@ class _Chunks(dict):
         self.pieces, self.split = pieces, split
 
     def __missing__(self, chunk: str) -> str:
-        if len(self) >= KEPT:
+        if len(self) >= KEPT_CHUNKS:
             self.clear()
-        joined = self[chunk] = ",".join(map(self.pieces.__getitem__, self.split.findall(" " + chunk)))
+        if chunk.isalpha():  # the usual case: one piece, which needs no second entry
+            joined = ",".join(map(str, self.pieces.encoder.encode((" " + chunk).encode())))
+        elif (word := chunk[:-1]).isalpha() and chunk[-1] in ",.;:!?":
+            joined = f"{self[word]},{self.pieces[chunk[-1]]}"
+        else:
+            joined = ",".join(map(self.pieces.__getitem__, self.split.findall(" " + chunk)))
+        self[chunk] = joined
         return joined
 
 
@@ -210,11 +252,17 @@ class Codec:
         begin = [",".join(map(self.pieces.__getitem__, self.split.findall(first)))] if first else []
         return ",".join(chain(begin, map(self.chunks.__getitem__, rest)))
 
+    def forget(self) -> None:
+        """Empties the tables that grow with the texts."""
+        self.chunks.clear()
+        self.pieces.clear()
+        self.pieces.encoder.forget()
+
     def decode(self, parts: list[str]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, parts))
 
 
-#: One codec for each vocabulary and worker process; later tasks of the process find its tables filled.
+#: One codec for each vocabulary and worker process; what it learns from texts goes at the end of a task.
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -254,4 +302,9 @@ def encoded(
             yield (key, len(parts), *give(ids, own_codec.decode(parts)))
         return each
 
-    return map_texts(df, [id_col, text_col], schema, start)
+    return map_texts(df, [id_col, text_col], schema, start, forget)
+
+
+def forget() -> None:
+    for known in _CODECS.values():
+        known.forget()

@@ -45,12 +45,13 @@ def quoted(name: str) -> Column:
 
 def map_texts(
     df: DataFrame, columns: Sequence[str], schema: T.StructType,
-    start: Callable[[], Callable[..., Iterable[tuple]]],
+    start: Callable[[], Callable[..., Iterable[tuple]]], done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """Maps rows to rows in Arrow batches, one row in memory at a time.
 
     ``start()`` runs once in each task and returns a function of the given columns' values (strings come
-    as UTF-8 bytes, null as None) that gives the output rows of one input row.
+    as UTF-8 bytes, null as None) that gives the output rows of one input row.  ``done()`` runs at the end of the
+    task: worker processes live on, and what they keep counts against the next stage.
     """
     arrow = _arrow_schema(schema)
 
@@ -62,10 +63,17 @@ def map_texts(
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+        done()
+        release()
 
     return df.select(*[quoted(c) for c in columns]).mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def _values(column: pa.Array) -> Iterator:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
