@@ -23,8 +23,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that more than a tenth of their source's documents share; n_chars follows the text."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the lines that more than a tenth of their source's documents, and ten at least, share.
+
+    ``n_chars`` follows the text.
+    """
+    return line_dedup.drop_boilerplate(docs, min_pages=10).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repeatloom.llm.rows import WORD_TABLE, free_name, map_texts, plain_words, quoted
+from repeatloom.llm.rows import WORD_TABLE, free_name, map_texts, plain_words, quoted, release
 
 #: Words of the benchmark that one automaton takes; a larger benchmark is scanned for in several blocks.
 BLOCK_WORDS = 2_000_000
@@ -174,6 +174,7 @@ def clean_rows(
                 keep = [not automaton.scan(plain_words(t.as_py() or b""))[0]
                         for t in batch.column(at).cast(pa.large_binary())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
+            release()
 
         return df.mapInArrow(run, df.schema)
 

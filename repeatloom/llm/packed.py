@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatloom.llm.rows import LOWER_TABLE, quoted
+from repeatloom.llm.rows import LOWER_TABLE, quoted, release
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -165,6 +165,7 @@ def cut(values: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def message(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    release()
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) \
         if rows else schema.empty_table()
 

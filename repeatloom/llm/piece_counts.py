@@ -112,4 +112,9 @@ def token_counts(
 
     return map_texts(df, [id_col, text_col], T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
-        T.StructField("n_tokens", T.LongType()), T.StructField("n_unknown", T.LongType())]), start)
+        T.StructField("n_tokens", T.LongType()), T.StructField("n_unknown", T.LongType())]), start, forget)
+
+
+def forget() -> None:
+    for known in _KNOWN.values():
+        known.clear()

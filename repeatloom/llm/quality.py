@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repeatloom.llm.rows import map_texts, quoted
+from repeatloom.llm.rows import map_texts, quoted, release
 
 #: Runs of letters, digits and non-ASCII bytes, and runs of other signs.
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -97,8 +97,8 @@ def train(
 ) -> tuple[np.ndarray, float]:
     """Fits the model on a bounded sample.
 
-    The sample's ids (at most ``how.sample``) are broadcast, its texts become sparse vectors where they lie, and one
-    task takes the vectors through the sequential updates.  What comes back are the weights that are not 0, at most
+    The sample's ids (at most ``how.sample``) are broadcast, its texts become sparse vectors where they lie, and after
+    a shuffle of these one task takes the vectors through the sequential updates.  What comes back are the weights that are not 0, at most
     2 ** ``how.bits``.  Without labels all weights are 0 and each score is 0.5.
     """
     chosen = F.broadcast(training_sample(labels, id_col, label_col, how.sample))
@@ -131,7 +131,7 @@ def train(
             names=["at", "w"])
 
     w, bias = np.zeros(1 << bits, np.float32), 0.0
-    for r in vectors.coalesce(1).mapInArrow(fit, "at long, w float").toLocalIterator():
+    for r in vectors.repartition(1).mapInArrow(fit, "at long, w float").toLocalIterator():
         if r.at < 0:
             bias = r.w
         else:
@@ -174,5 +174,6 @@ def accepted(
                 index, value = features(text.as_py(), bits)
                 keep.append(_logistic(float(w[index] @ value) + bias) >= threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
