@@ -159,15 +159,16 @@ def first_container(
     smallest start ends further than all that start earlier (else one of those
     would come first), and among such intervals both ends grow: the one sought is
     the first that ends far enough.  A second walk over the intervals of that start
-    finds the smallest end.  No pairs are made, however many intervals nest.
+    finds the smallest end.  No pairs are made, however many intervals nest.  Both
+    sides and the first walk's result are written to the shared folder, since the walks read them several times.
     """
-    probes = inner.select(*keys, "start", "end").distinct().withColumn("x", F.col("end") - slack)
-    walls = outer.select(*keys, "o_start", "o_end").distinct()
+    probes = cut(inner.select(*keys, "start", "end").distinct().withColumn("x", F.col("end") - slack))
+    walls = cut(outer.select(*keys, "o_start", "o_end").distinct())
     starts = walls.groupBy(*keys, "o_start").agg(F.max("o_end").alias("x"))
     records = previous_max(starts, keys, "o_start", "x", "_seen").where(
         F.col("_seen").isNull() | (F.col("x") > F.col("_seen")))
     by_end = _next_at(records.withColumn("_s", F.struct("x", "o_start")), keys, probes, "_s", "_first")
-    begun = (
+    begun = cut(
         probes.join(by_end, [*keys, "x"]).where(F.col("_first.o_start") <= F.col("start") + slack)
         .select(*keys, "start", "end", "x", F.col("_first.o_start").alias("o_start")))
     ends = walls.select(*keys, "o_start", F.col("o_end").alias("x"), "o_end")
