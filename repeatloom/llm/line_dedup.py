@@ -75,7 +75,7 @@ def drop_boilerplate(
 #: Elements that end a line when a page is read as text.
 _BLOCKS = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|"
            "head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul")
-SKIPPED = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!doctype[^>]*>"
+SKIPPED = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->|!doctype[^>]*>)"
 BREAKS = rf"(?i)</?({_BLOCKS})([\s/][^>]*)?>"
 TAGS = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
