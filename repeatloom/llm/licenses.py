@@ -1,8 +1,9 @@
 """License scans with a positional index of rare licence words.
 
-The templates' words are posted with their positions.  A file looks up the licence words in it that are rarest over
-all documents, subtracts positions, and so gets the places where a template would have to begin; a place that
-explains enough words and holds the template's mandatory phrase gives the template's label.
+The templates' words are posted with their positions.  For each template whose mandatory phrase a file holds, the
+file looks up the words of that template that are rarest over all documents, subtracts positions, and so gets the places
+where the template would have to begin; a place that explains enough words and holds the mandatory phrase gives the
+template's label.  So many words vote that the others can't carry a place alone: no place is lost.
 """
 
 from __future__ import annotations
@@ -60,24 +61,47 @@ class TemplateIndex:
             for at, word in enumerate(words):
                 self.postings[word].append((n, at))
 
-    def candidates(self, words: list[bytes], idf: dict[bytes, float], rarest: int) -> dict[tuple[int, int], int]:
-        """Votes for (template, start) by the licence words of the file with the highest IDF."""
+    def voters(self, template: int, present, idf: dict[bytes, float], rarest: int, need: int) -> list[bytes]:
+        """The template's ``rarest`` words of the file by IDF, and more until each match of ``need`` words gets its votes."""
+        size: Counter = Counter(w for w in self.texts[template] if w in present)
+        least, left = min(2, len(self.texts[template])), sum(size.values())
+        if left < need:
+            return []
+        chosen = []
+        for word in sorted(size, key=lambda w: (-idf.get(w, math.inf), w)):
+            if len(chosen) >= rarest and left <= need - least:
+                break
+            chosen.append(word)
+            left -= size[word]
+        return chosen
+
+    def candidates(
+        self, words: list[bytes], idf: dict[bytes, float], rarest: int, share: float,
+    ) -> dict[tuple[int, int], int]:
+        """Votes for (template, start) by each template's words of the file with the highest IDF."""
         places = defaultdict(list)
         for at, word in enumerate(words):
             if word in self.postings:
                 places[word].append(at)
-        chosen = sorted(places, key=lambda w: (-idf.get(w, math.inf), w))[:rarest]
+        line = b" " + b" ".join(words) + b" "
         votes: Counter = Counter()
-        for word in chosen:
-            for template, offset in self.postings[word]:
-                for at in places[word]:
-                    votes[template, at - offset] += 1
+        for template, text in enumerate(self.texts):
+            if b" " + self.phrases[template] + b" " not in line:
+                continue
+            need = next((n for n in range(min(2, len(text)), len(text) + 1) if n / len(text) >= share), None) if text else None
+            if need is None:
+                continue
+            for word in self.voters(template, places, idf, rarest, need):
+                for other, offset in self.postings[word]:
+                    if other == template:
+                        for at in places[word]:
+                            votes[template, at - offset] += 1
         return votes
 
     def matches(self, words: list[bytes], idf: dict[bytes, float], rarest: int, share: float):
         """(label, start, coverage) of the places that explain ``share`` of a template and hold its phrase."""
         found = []
-        for (template, start), votes in self.candidates(words, idf, rarest).items():
+        for (template, start), votes in self.candidates(words, idf, rarest, share).items():
             text = self.texts[template]
             if votes < min(2, len(text)):
                 continue
@@ -114,7 +138,8 @@ def license_scan(
     ``n_words``; ``n_base`` (all places of all phrases); ``first_word``/``last_word`` (smallest and largest word
     index where a phrase begins, else null); ``base_labels`` and ``labels`` (sorted, comma-joined, distinct);
     ``score`` (1 for a fully matching template, else its matching share, at least 0.5 with a base phrase, else 0);
-    ``matches`` (array of ``label@word`` strings of verified templates, in order of place).
+    ``matches`` (array of ``label@word`` strings of verified templates, in order of place): all places with at least two
+    words and ``share`` of the template and with its phrase.  ``rarest`` words of each template vote at least.
     Null and empty texts have no words, empty labels and score 0.  Repeated rows are scanned each.  The whole text
     is read; the document frequencies of the template words are counted over all rows first.
     """

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on real texts and on odd ones."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -202,6 +203,38 @@ def test_license_templates(spark):
     assert (got[98].labels, got[98].score, got[99].labels, got[99].score) == ("", 0.0, "", 0.0)
 
 
+def brute_notices(text, share=0.4):
+    """Labels of all places of all templates that explain enough words and hold the phrase."""
+    words, found = WORD.findall(lower(text)), set()
+    for label, phrase, notice in licenses.TEMPLATES:
+        own = WORD.findall(lower(notice))
+        for start in range(1 - len(own), len(words)):
+            window = words[max(0, start):start + len(own)]
+            same = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(own))
+            if same >= min(2, len(own)) and same / len(own) >= share and f" {' '.join(WORD.findall(phrase))} " in f" {' '.join(window)} ":
+                found.add(f"{label}@{start}")
+    return found
+
+
+def test_license_files_with_several_notices(spark):
+    notices = [t[2] for t in licenses.TEMPLATES]
+    texts = [f"before it {a} and between them {b} and after it" for a, b in itertools.permutations(notices, 2)]
+    texts += [" some words ".join(notices), " ".join(reversed(notices))]
+    # Notices cut at both ends, behind a whole one, and with a word of one's own in the middle.
+    whole = [n.split() for n in notices]
+    texts += [f"{notices[3]} {' '.join(n[len(n) // 4:])} x {' '.join(n[:len(n) * 3 // 4])}" for n in whole]
+    texts += [f"{' '.join(n[:len(n) // 2])} own {' '.join(n[len(n) // 2:])} {notices[5]}" for n in whole]
+    # Words that only other documents make common turn the order of the votes.
+    rest = ["mozilla mpl source code form subject terms public v 2 0"] * 90 + ["mit released under the license"] * 90
+    df = spark.createDataFrame(list(enumerate(texts + rest)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    for i, text in enumerate(texts):
+        expected = brute_notices(text)
+        assert set(got[i].matches) == expected, text
+        assert {m.split("@")[0] for m in expected} <= set(got[i].labels.split(","))
+    assert {t[0] for t in licenses.TEMPLATES} <= set(got[len(notices) * (len(notices) - 1)].labels.split(","))
+
+
 # 6 quality
 
 def test_quality_learns_only_what_it_may(spark):
