@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from repeatloom.llm.rows import free_name, quoted
 
+#: Pages that a line needs besides its share; one floor for the query, its SQL and the pipeline.  It binds only in sites
+#: of fewer than MIN_PAGES / ratio pages.
+MIN_PAGES = 5
+
 
 def line_key(line: Column) -> Column:
     """Hash of a line without the blanks around it."""
@@ -43,7 +47,7 @@ def boilerplate(df: DataFrame, id_col: str, site_col: str, text_col: str, ratio:
 
 def drop_boilerplate(
     df: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", ratio: float = 0.1,
-    min_pages: int = 5, counts: tuple[str, str] | None = None,
+    min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``df`` with its columns, the text without the boilerplate lines of its site.
 

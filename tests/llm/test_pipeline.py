@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repeatloom.llm import quality
+from repeatloom.llm import line_dedup, quality
 
 from .test_operators import SF, brute_groups, brute_hits, brute_lines, library, pairs, same
 
@@ -46,3 +46,12 @@ def test_clean_documents_of_good_quality_stay(spark):
     kept = corpus_pipeline.keep_good(spark, docs, "/root/testdata/sf0.01")
     good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id").where(quality.held_out(F.col("doc_id")))
     assert good.join(kept.select("doc_id"), "doc_id", "left_anti").count() <= 0.02 * good.count()
+
+
+def test_line_stage_has_the_floor_of_the_operator(spark):
+    """At fifty documents a source, lines of six to nine of them are boilerplate."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    expected = brute_lines(rows, 0.1, line_dedup.MIN_PAGES)
+    assert sum(a[1] != b[1] for a, b in zip(rows, expected)) > sum(a[1] != b[1] for a, b in zip(rows, brute_lines(rows, 0.1, 10)))
+    same(STAGES["line_dedup"](spark, docs, SF).select("doc_id", "text").collect(), expected)
