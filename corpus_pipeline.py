@@ -23,11 +23,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that more than a tenth of their source's documents, and ``MIN_PAGES`` at least, share.
+    """Texts without the lines that more than a tenth of their source's distinct texts, and ``MIN_PAGES`` at least, share.
 
-    ``n_chars`` follows the text.
+    Copies go in a later stage; here they count once, so that the one that stays keeps its lines.  ``n_chars`` follows
+    the text.
     """
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.drop_boilerplate(docs, copies_once=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

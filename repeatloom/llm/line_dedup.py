@@ -2,7 +2,7 @@
 
 A line is boilerplate of a site if more than ``ratio`` of the site's pages hold it.  Lines are counted as 128-bit
 hashes, once per page, with a map-side sum, so a line that all pages of a hot site share is a few rows per task; text
-is shuffled once, when the lines go.
+is shuffled once, when the lines go.  Where copies are yet to be removed, all copies of a text can count as one page.
 """
 
 from __future__ import annotations
@@ -36,10 +36,29 @@ def site_lines(df: DataFrame, id_col: str, site_col: str, text_col: str) -> Data
         F.inline(F.array_distinct(F.transform(full, line_key))))
 
 
-def boilerplate(df: DataFrame, id_col: str, site_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
+def texts_once(df: DataFrame, site_col: str, text_col: str) -> DataFrame:
+    """``site, lines``: the distinct line keys of each distinct whole text of a site; no text is shuffled for it."""
+    text = quoted(text_col)
+    full = F.filter(text_lines(text), lambda x: F.trim(x) != "")
+    return df.where(quoted(site_col).isNotNull()).groupBy(
+        quoted(site_col).alias("site"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2")).agg(
+        F.first(F.array_distinct(F.transform(full, line_key))).alias("lines"))
+
+
+def boilerplate(
+    df: DataFrame, id_col: str, site_col: str, text_col: str, ratio: float, min_pages: int, copies_once: bool = False,
+) -> DataFrame:
     """``site, k1, k2`` of lines on more than ``ratio`` of the site's pages and on ``min_pages`` pages at least."""
-    pages = df.where(quoted(site_col).isNotNull()).groupBy(quoted(site_col).alias("site")).agg(F.count("*").alias("pages"))
-    lines = site_lines(df, id_col, site_col, text_col).groupBy("site", "k1", "k2").agg(F.count("*").alias("with_line"))
+    sited, site = df.where(quoted(site_col).isNotNull()), quoted(site_col).alias("site")
+    if copies_once:
+        text = quoted(text_col)
+        pages = sited.select(site, F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2")).distinct()
+        lines = texts_once(df, site_col, text_col).select("site", F.inline("lines"))
+    else:
+        pages = sited.select(site)
+        lines = site_lines(df, id_col, site_col, text_col)
+    pages = pages.groupBy("site").agg(F.count("*").alias("pages"))
+    lines = lines.groupBy("site", "k1", "k2").agg(F.count("*").alias("with_line"))
     return (
         lines.where(F.col("with_line") >= min_pages).join(pages, "site")
         .where(F.col("with_line") > ratio * F.col("pages")).select("site", "k1", "k2"))
@@ -47,16 +66,17 @@ def boilerplate(df: DataFrame, id_col: str, site_col: str, text_col: str, ratio:
 
 def drop_boilerplate(
     df: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", ratio: float = 0.1,
-    min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None,
+    min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, copies_once: bool = False,
 ) -> DataFrame:
     """``df`` with its columns, the text without the boilerplate lines of its site.
 
     Every row stays, also one whose lines are all boilerplate (its text becomes empty).  Blank lines stay and are not
     counted; lines are compared without the blanks around them.  A null text stays null, a page without site keeps
-    all lines, a repeated row is one page more.  ``counts`` names two more columns: how many non-blank lines the page had and how many went.
+    all lines, a repeated row is one page more; with ``copies_once`` all rows of one text are one page of their site, in
+    both counts, so that a text's own copies don't take its lines.  ``counts`` names two more columns: how many non-blank lines the page had and how many went.
     Extra columns of any name pass through.
     """
-    bad = boilerplate(df, id_col, site_col, text_col, ratio, min_pages)
+    bad = boilerplate(df, id_col, site_col, text_col, ratio, min_pages, copies_once)
     keys = ["site", "k1", "k2"]
     gone, site, key = (free_name(df, n) for n in ("_gone", "_site", "_id"))
     dropped = (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from repeatloom.llm import line_dedup, quality
 
+from .conftest import frame
 from .test_operators import SF, brute_groups, brute_hits, brute_lines, library, pairs, same
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -55,3 +56,21 @@ def test_line_stage_has_the_floor_of_the_operator(spark):
     expected = brute_lines(rows, 0.1, line_dedup.MIN_PAGES)
     assert sum(a[1] != b[1] for a, b in zip(rows, expected)) > sum(a[1] != b[1] for a, b in zip(rows, brute_lines(rows, 0.1, 10)))
     same(STAGES["line_dedup"](spark, docs, SF).select("doc_id", "text").collect(), expected)
+
+
+def test_copies_do_not_take_their_own_lines(spark):
+    """A third of a source are copies of one text: it stays whole, once; a line of different texts goes."""
+    clean = "A first line of its own\nand a second one that no other text has"
+    rows = [(i, clean, "s") for i in range(20)] + [(i, f"shared line\ntext {i} says {i * i} things of {i + 7}", "s") for i in range(20, 60)]
+    lines = STAGES["line_dedup"](spark, frame(spark, rows), SF)
+    same(lines.select("doc_id", "text").collect(), [(i, t.removeprefix("shared line\n")) for i, t, _ in rows])
+    left = STAGES["near_duplicates"](spark, lines, SF).where("doc_id < 20").select("doc_id", "text").collect()
+    same(left, [(0, clean)])
+
+
+def test_copies_count_once_in_the_pages_too(spark):
+    """Five of 46 distinct texts are more than a tenth; five of the 85 rows are not."""
+    rows = [(i, "the same words", "s") for i in range(40)] + [
+        (i, f"own words {i}" + "\nshared line" * (i < 45), "s") for i in range(40, 84)] + [(84, None, "s")]
+    got = STAGES["line_dedup"](spark, frame(spark, rows), SF)
+    assert got.where(F.col("text").contains("shared line")).count() == 0 and got.where("text = 'the same words'").count() == 40
