@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,12 @@ from repeatloom.llm.rows import LOWER_TABLE, quoted, release
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-#: Multipliers (odd) of the two hash streams, of bytes in words and of words in runs.
-_BYTE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes of a word that are hashed by table; longer words are hashed by digest.
+SHORT = 64
+#: For each hash stream a random number for each byte at each place of a short word: sums of these have no structure
+#: that texts could hit, as sums of powers modulo 2 ** 64 have.
+_BYTE = [np.random.default_rng(seed).integers(0, 2**64, SHORT * 256, np.uint64) for seed in (1, 2)]
+#: Multipliers (odd) of words in runs.
 _WORD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Bytes hashed at once inside a block.
 CHUNK = 1 << 19
@@ -64,12 +69,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 class BlockWords:
     """Word hashes (64 bits for each stream) of a list of texts, in order."""
 
@@ -105,12 +104,16 @@ class BlockWords:
             return
         ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
         lengths = ends - begins
-        solid = raw[~blank].astype(np.uint64) + np.uint64(1)
+        solid = raw[~blank]
         offsets = np.cumsum(lengths) - lengths
-        place = np.arange(len(solid)) - np.repeat(offsets, lengths)
-        longest = int(lengths.max())
+        place = (np.arange(len(solid)) - np.repeat(offsets, lengths)) % SHORT * 256 + solid
+        long = np.flatnonzero(lengths > SHORT)
         for s, out in enumerate(hashes):
-            out.append(mixed(np.add.reduceat(solid * _powers(_BYTE[s], longest)[place], offsets)))
+            h = mixed(np.add.reduceat(_BYTE[s][place], offsets) + lengths.astype(np.uint64))
+            for i in long:
+                word = raw[begins[i]:ends[i]].tobytes()
+                h[i] = int.from_bytes(blake2b(word, digest_size=8, salt=bytes([s])).digest(), "little")
+            out.append(h)
 
     def runs(self, stream: int, width: int) -> np.ndarray:
         """Hash of the ``width`` words from each word on; the last ``width - 1`` places of the block are left out."""
