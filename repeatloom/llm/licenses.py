@@ -83,11 +83,8 @@ class TemplateIndex:
         for at, word in enumerate(words):
             if word in self.postings:
                 places[word].append(at)
-        line = b" " + b" ".join(words) + b" "
         votes: Counter = Counter()
         for template, text in enumerate(self.texts):
-            if b" " + self.phrases[template] + b" " not in line:
-                continue
             need = next((n for n in range(min(2, len(text)), len(text) + 1) if n / len(text) >= share), None) if text else None
             if need is None:
                 continue
@@ -158,13 +155,13 @@ def license_scan(
         ends = defaultdict(list)
         for phrase, label in base:
             ends[phrase[-1]].append((phrase, label))
-        rare = frozenset(index.postings)
+        rare, lasts = frozenset(index.postings), frozenset(ends)
 
         def each(key, text):
             words = plain_words(text or b"")
             present = rare.intersection(words)
             places, base_labels = [], set()
-            for last in ends.keys() & set(words) if present else ():
+            for last in lasts.intersection(words):
                 at = -1
                 for _ in range(words.count(last)):
                     at = words.index(last, at + 1)
