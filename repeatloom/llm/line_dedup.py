@@ -14,7 +14,7 @@ from repeatloom.llm.rows import free_name, quoted
 
 #: Pages that a line needs besides its share; one floor for the query, its SQL and the pipeline.  It binds only in sites
 #: of fewer than MIN_PAGES / ratio pages.
-MIN_PAGES = 5
+MIN_PAGES = 2
 
 
 def line_key(line: Column) -> Column:

@@ -50,7 +50,7 @@ WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{line_dedup.HOST}',
 n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 l AS (SELECT DISTINCT page_id, host, line FROM (SELECT page_id, host, trim(unnest(ls)) AS line FROM p) WHERE line <> ''),
 b AS (SELECT host, list(line) AS bad FROM (SELECT host, line, count(*) AS c FROM l GROUP BY ALL) JOIN n USING (host)
-  WHERE c >= 5 AND c > 0.1 * pages GROUP BY host)
+  WHERE c >= 2 AND c > 0.1 * pages GROUP BY host)
 SELECT page_id, p.host, len(list_filter(ls, lambda x: trim(x) <> '')) AS n_lines,
   len(list_filter(ls, lambda x: coalesce(list_contains(bad, trim(x)), false))) AS n_dropped,
   array_to_string(list_filter(ls, lambda x: NOT coalesce(list_contains(bad, trim(x)), false)), chr(10)) AS text
