@@ -43,11 +43,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Bytes of text whose rows leave a task in one batch.
+SLICE = 4 << 20
+
+
 def map_texts(
     df: DataFrame, columns: Sequence[str], schema: T.StructType,
     start: Callable[[], Callable[..., Iterable[tuple]]], done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
-    """Maps rows to rows in Arrow batches, one row in memory at a time.
+    """Maps rows to rows; the output leaves in batches of the rows of ``SLICE`` bytes of text, or of one longer text.
 
     ``start()`` runs once in each task and returns a function of the given columns' values (strings come
     as UTF-8 bytes, null as None) that gives the output rows of one input row.  ``done()`` runs at the end of the
@@ -58,17 +62,25 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            values = [_values(c) for c in batch.columns]
-            out = [row for row_in in zip(*values) for row in each(*row_in)]
+            out, size = [], 0
+            for row_in in zip(*[_values(c) for c in batch.columns]):
+                out += each(*row_in)
+                size += sum(len(v) for v in row_in if isinstance(v, bytes))
+                if size >= SLICE and out:
+                    yield _rows(out, arrow)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+                yield _rows(out, arrow)
         done()
         release()
 
     return df.select(*[quoted(c) for c in columns]).mapInArrow(run, schema)
 
 
+def _rows(out: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+
 def release() -> None:
     """Gives memory that Arrow keeps for later back to the system."""
     pa.default_memory_pool().release_unused()
