@@ -41,6 +41,8 @@ class PrefixEncoder:
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._fits: dict[tuple[int, int], bool] = {}
+        #: Prefix of a piece -> the last token of its encoding, which is the same in every piece.
+        self._ends: dict[bytes, int] = {}
         #: The two tokens that a token's last merge joins, () for bytes; tokens that merges don't give are left out.
         self.halves: dict[int, tuple[int, ...]] = {}
         for token, rank in ranks.items():
@@ -51,6 +53,7 @@ class PrefixEncoder:
 
     def forget(self) -> None:
         self._fits.clear()
+        self._ends.clear()
 
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -136,10 +139,12 @@ class PrefixEncoder:
             return [whole]
         if len(piece) > LAZY:
             return self.walk(self.extend(piece, []))
+        if len(self._ends) >= KEPT:
+            self._ends.clear()
         last, ids, end = [-1] * (len(piece) + 1), [], len(piece)
         while end:
             token = last[end]
-            if token < 0:
+            if token < 0:  # only the whole piece: the prefixes behind its tokens were asked for on the way
                 token = self._last(piece, end, last)
             ids.append(token)
             end -= len(self.tokens[token])
@@ -147,7 +152,7 @@ class PrefixEncoder:
 
     def _last(self, piece: bytes, end: int, last: list[int]) -> int:
         """Fills ``last[end]``, and of the shorter prefixes only those that it is decided by."""
-        token_at, known = self.usable.get, self._fits.get
+        token_at, known, ends = self.usable.get, self._fits.get, self._ends
         for begin in range(end - self.longest if end > self.longest else 0, end):
             token = token_at(piece[begin:end])
             if token is not None:
@@ -155,7 +160,10 @@ class PrefixEncoder:
                     break
                 left = last[begin]
                 if left < 0:
-                    left = self._last(piece, begin, last)
+                    prefix = piece[:begin]
+                    left = last[begin] = ends.get(prefix, -1)
+                    if left < 0:
+                        left = ends[prefix] = self._last(piece, begin, last)
                 fit = known((left, token))
                 if fit or fit is None and self.fits(left, token):
                     break
