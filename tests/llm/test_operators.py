@@ -58,7 +58,7 @@ def test_line_dedup(docs):
     out = line_dedup.drop_boilerplate(docs, counts=("all_lines", "gone_lines"))
     assert out.columns[:len(docs.columns)] == docs.columns
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    same(out.select("doc_id", "text").collect(), brute_lines(rows, 0.1, 5))
+    same(out.select("doc_id", "text").collect(), brute_lines(rows, 0.1, line_dedup.MIN_PAGES))
 
 
 def test_line_dedup_counts(odd):
@@ -437,3 +437,28 @@ def test_queries_run(spark, name):
         for c, v in r.asDict().items():
             if c.endswith("sha256"):
                 assert re.fullmatch("[0-9a-f]{64}", v) and len(hashlib.sha256(b"").hexdigest()) == len(v)
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_whose_sums_of_powers_are_equal(spark):
+    """Two words of 1,024 letters that any odd base modulo 2 ** 64 hashes alike, in documents that are else the same."""
+    rest = [f"w{i}" for i in range(19)]
+    one, other = thue_morse(1024), thue_morse(1024, True)
+    words = packed.BlockWords([one.encode(), other.encode()], streams=2)
+    assert all(h[0] != h[1] for h in words.hashes)
+    df = spark.createDataFrame([(1, " ".join([one, *rest])), (2, " ".join([other, *rest]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+    apart = spark.createDataFrame([(1, f"{one} b {one} d"), (2, f"{other} b {other} d")], "doc_id long, text string")
+    assert sorted(r.component_id for r in shingle_join.similar_documents(apart).collect()) == [1, 2]
+
+
+def test_own_license_phrases_need_no_template_word(spark):
+    df = spark.createDataFrame([(1, "see foo bar here")], "doc_id long, text string")
+    for templates in (licenses.TEMPLATES, ()):
+        row = licenses.license_scan(df, phrases={"foo bar": "foo"}, templates=templates).first()
+        assert (row.n_base, row.first_word, row.base_labels, row.score) == (1, 1, "foo", 0.5)
+
+

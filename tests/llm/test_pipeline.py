@@ -31,7 +31,7 @@ def test_whole_pipeline(spark):
     model = quality.train(docs, labels)
     good = {r.doc_id for r in quality.score(docs, model).where("score >= 0.3").collect()}
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in good]
-    lines = brute_lines(rows, 0.1, 10)
+    lines = brute_lines(rows, 0.1, line_dedup.MIN_PAGES)
     group = {i: g for i, _, g in brute_groups(lines, 5, 80)}
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     left = [(i, t) for i, t in lines if group[i] == i and not brute_hits(t, items)[1]]

@@ -134,26 +134,29 @@ def brute_phrases(rows, longest, least, top):
     out = []
     for lang, c in count.items():
         cand = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
-        rows = []
+        rows, holders = [], defaultdict(int)
+        for q, b in cand.items():
+            for k in range(2, len(q)):
+                for i in range(len(q) - k + 1):
+                    holders[q[i:i + k]] = max(b, holders[q[i:i + k]])
         for p, a in cand.items():
             score, _, l, r = min((2000000 * a // (c[p[:k]] + c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))
-            if not any(len(q) > len(p) and 100 * b >= 80 * a and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))
-                       for q, b in cand.items()):
+            if 100 * holders[p] < 80 * a:
                 rows.append((score, a, " ".join(p), l, r))
         rows.sort(key=lambda x: (-x[0], -x[1], x[2].encode()))
         out += [(lang, i + 1, p, a, l, r, words_of[lang], s) for i, (s, a, p, l, r) in enumerate(rows[:top])]
     return out
 
 
-@pytest.mark.parametrize("least", [2, 5])
-def test_collocations(docs, least):
+@pytest.mark.parametrize(("least", "sent"), [(3, 0), (5, 10**6)])
+def test_collocations(docs, least, sent):
     rows = [(r.text, r.lang) for r in docs.select("text", "lang").collect()]
-    got = collocations.collocations(docs, least=least, top=300)
+    got = collocations.collocations(docs, least=least, top=300, sent=sent)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     same(got.collect(), brute_phrases(rows, 4, least, 300))
 
 
-def test_collocations_across_small_blocks(spark, monkeypatch):
+def test_collocations_of_repeated_words(spark):
     draw = random.Random(8)
     rows = [(i, "".join(draw.choice(["aa ", "bb ", "cc\t", "DD ", "ee.", "ff\n", "gg, ", "é "]) for _ in range(400)), "s")
             for i in range(60)]
