@@ -372,25 +372,31 @@ def half_site_pairs(seq: Column, max_spacing: int = 10) -> Column:
     """Half sites and their direct and inverted pairs, ``struct`` of counts.
 
     Direct pairs keep 0 to ``max_spacing`` letters between two forward sites;
-    inverted ones between a forward and a reverse site.  Only neighbours within
-    reach are compared: for each site the few possible partner positions are
-    looked up.
+    inverted ones between a forward and a reverse site.  One walk over all sites
+    in order of place, which keeps the sites within reach: two per letter at most.
     """
     k = len(M.HALF_SITE)
     fwd, rev = M.near_starts(seq)
 
     def count(p: Column) -> Column:
-        reach = F.sequence(F.lit(k), F.lit(k + max_spacing))
-
-        def partners(sites: Column, others: Column, steps: Column) -> Column:
-            return F.aggregate(sites, F.lit(0), lambda acc, s: acc + F.size(F.array_intersect(
-                F.transform(steps, lambda d: s + d), others)))
-
-        around = F.concat(reach, F.transform(reach, lambda d: -d))
-        return F.struct(
-            F.size(p["f"]).alias("n_fwd"), F.size(p["r"]).alias("n_rev"),
-            partners(p["f"], p["f"], reach).alias("direct"),
-            partners(p["f"], p["r"], around).alias("inverted"))
+        tagged = lambda sites, strand: F.transform(
+            sites, lambda s: F.struct(s.alias("at"), F.lit(strand).alias("strand")))
+        sites = F.array_sort(F.concat(tagged(p["f"], 0), tagged(p["r"], 1)))
+        none = F.array().cast("array<struct<at:int,strand:int>>")
+        start = F.struct(none.alias("near"), F.lit(0).alias("direct"), F.lit(0).alias("inverted"))
+
+        def step(acc: Column, s: Column) -> Column:
+            near = F.filter(acc["near"], lambda o: s["at"] - o["at"] <= k + max_spacing)
+            clear = lambda kind: F.size(F.filter(
+                acc["near"], lambda o: (s["at"] - o["at"]).between(k, k + max_spacing) & kind(o)))
+            return F.struct(
+                F.concat(near, F.array(s)).alias("near"),
+                (acc["direct"] + clear(lambda o: (o["strand"] == 0) & (s["strand"] == 0))).alias("direct"),
+                (acc["inverted"] + clear(lambda o: o["strand"] != s["strand"])).alias("inverted"))
+
+        return F.aggregate(sites, start, step, lambda acc: F.struct(
+            F.size(p["f"]).alias("n_fwd"), F.size(p["r"]).alias("n_rev"), acc["direct"].alias("direct"),
+            acc["inverted"].alias("inverted")))
 
     return M.let(F.struct(fwd.alias("f"), rev.alias("r")), count)
 
@@ -420,3 +426,49 @@ def density_profile(df: DataFrame, unit: str, bins: int, seq: str = "seq") -> Da
         .select("strand", F.least(F.lit(bins - 1), F.floor(F.col("pos") * bins / F.col("n"))).alias("bin"))
         .groupBy("strand", "bin").agg(F.count("*").alias("n_hits"))
     )
+
+
+def boundary_density(
+    df: DataFrame, unit: str, bins: int = 20, flank: int = 50, left: str = "left", seq: str = "seq", right: str = "right",
+) -> DataFrame:
+    """``zone, bin, strand, bases, covered, density`` along sequences and their flanks, over all rows.
+
+    The sequence is cut into ``bins`` equal parts (a letter at ``p`` of ``n`` is in part ``floor(p * bins / n)``); the
+    flanks are told letter by letter, ``bin`` letters from the border, up to ``flank`` letters (the zones ``left`` and
+    ``right``).  A letter is covered if it lies under a hit of the strand; hits may cross the borders.  Each part sums
+    its overlap with the runs of covered letters, so what is shuffled are sums per part.  Null and empty texts have no
+    letters, and parts without letters no rows.
+    """
+    k = len(unit)
+    before = F.substring(F.coalesce(F.col(left), F.lit("")), F.greatest(F.lit(1), F.length(left) - flank + 1), F.lit(flank))
+    behind = F.substring(F.coalesce(F.col(right), F.lit("")), F.lit(1), F.lit(flank))
+    texts = df.select(
+        F.coalesce(before, F.lit("")).alias("_l"), F.coalesce(F.col(seq), F.lit("")).alias("_s"), behind.alias("_r"))
+    whole = F.concat("_l", "_s", "_r")
+    rows = once(texts, nl=F.length("_l"), n=F.length("_s"), nr=F.length("_r"),
+                fwd=M.runs_of_hits(M.hit_positions(whole, M.forward(unit)), k),
+                rev=M.runs_of_hits(M.hit_positions(whole, M.backward(unit)), k)).drop("_l", "_s", "_r")
+    # First letter of part b of a sequence: the smallest p with floor(p * bins / n) >= b.
+    edge = lambda b: F.ceil(b * F.col("n") / F.lit(bins))
+    parts = F.concat(
+        F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(
+            F.lit("inside").alias("zone"), b.cast("int").alias("bin"), (F.col("nl") + edge(b)).cast("int").alias("begin"),
+            (F.col("nl") + edge(b + 1)).cast("int").alias("end"))),
+        F.transform(F.sequence(F.lit(0), F.lit(flank - 1)), lambda b: F.struct(
+            F.lit("left").alias("zone"), b.cast("int").alias("bin"), (F.col("nl") - 1 - b).cast("int").alias("begin"),
+            (F.col("nl") - b).cast("int").alias("end"))),
+        F.transform(F.sequence(F.lit(0), F.lit(flank - 1)), lambda b: F.struct(
+            F.lit("right").alias("zone"), b.cast("int").alias("bin"), (F.col("nl") + F.col("n") + b).cast("int").alias("begin"),
+            (F.col("nl") + F.col("n") + b + 1).cast("int").alias("end"))))
+    size = F.col("nl") + F.col("n") + F.col("nr")
+    under = lambda runs: F.aggregate(
+        runs, F.lit(0), lambda acc, r: acc + F.greatest(
+            F.lit(0), F.least(r["end"], F.col("_p.end")) - F.greatest(r["start"], F.col("_p.begin"))))
+    return (
+        rows.withColumn("_size", size).withColumn("_p", F.explode(parts))
+        .where((F.col("_p.begin") >= 0) & (F.col("_p.end") <= F.col("_size")) & (F.col("_p.begin") < F.col("_p.end")))
+        .select("_p.zone", "_p.bin", (F.col("_p.end") - F.col("_p.begin")).alias("bases"), F.explode(F.array(
+            F.struct(F.lit("fwd").alias("strand"), under(F.col("fwd")).alias("covered")),
+            F.struct(F.lit("rev").alias("strand"), under(F.col("rev")).alias("covered")))).alias("_c"))
+        .groupBy("zone", "bin", "_c.strand").agg(F.sum("bases").alias("bases"), F.sum("_c.covered").alias("covered"))
+        .withColumn("density", F.col("covered") / F.col("bases")))

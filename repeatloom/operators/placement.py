@@ -1,51 +1,111 @@
-"""Best ungapped placement of a short text in a longer one."""
+"""Best ungapped placement of a short text in a longer one, by votes for diagonals."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatloom.functions.motifs import let
 from repeatloom.functions.scalars import revcomp
 
+#: Letters of a seed.
+SEED = 6
+#: Letters that are compared at once.
+COMPARED = 1 << 22
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def _matches_at(query: Column, target: Column, strand: int, size: Column) -> Column:
-    letters = F.size(query)
-    return F.transform(
-        F.sequence(F.lit(0), size - letters),
-        lambda o: F.struct(
-            F.aggregate(
-                F.zip_with(query, F.slice(target, o + 1, letters), lambda x, y: (x == y).cast("int")),
-                F.lit(0), lambda s, v: s + v).alias("matches"),
-            F.lit(-strand).alias("strand_rank"), (-o).alias("back")))
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _seed_hashes(letters: np.ndarray) -> np.ndarray:
+    h = np.zeros(max(0, len(letters) - SEED + 1), np.uint64)
+    for i in range(SEED):
+        h = h * _MIX + letters[i:len(h) + i]
+    return h
+
+
+class SeedIndex:
+    """Where each seed of a target stands."""
+
+    def __init__(self, target: np.ndarray):
+        self.target = target
+        hashes = _seed_hashes(target)
+        self.places = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.places]
+
+    def votes(self, query: np.ndarray) -> tuple[np.ndarray, int]:
+        """For each offset how many of the query's seeds (side by side) stand there, and how many seeds there are."""
+        offsets = len(self.target) - len(query) + 1
+        seeds = _seed_hashes(query)[::SEED]
+        votes = np.zeros(offsets, np.int64)
+        begins, ends = (np.searchsorted(self.hashes, seeds, side) for side in ("left", "right"))
+        for n, (begin, end) in enumerate(zip(begins, ends)):
+            at = self.places[begin:end] - n * SEED
+            votes[at[(at >= 0) & (at < offsets)]] += 1
+        return votes, len(seeds)
+
+    def best(self, query: np.ndarray, least: int = 0) -> tuple[int, int] | None:
+        """Most matches and the leftmost offset with them; None if all have fewer than ``least``.
+
+        A seed that doesn't stand at an offset holds a mismatch there, so ``v`` of ``s`` votes leave at most
+        ``length - (s - v)`` matches.  Offsets are compared by falling votes, until no other can reach the best.
+        """
+        votes, seeds = self.votes(query)
+        windows = np.lib.stride_tricks.sliding_window_view(self.target, len(query))
+        step, best, at = max(1, COMPARED // len(query)), least - 1, -1
+        for v in np.unique(votes)[::-1]:
+            if best > len(query) - (seeds - v):
+                break
+            some = np.flatnonzero(votes == v)
+            for begin in range(0, len(some), step):
+                part = some[begin:begin + step]
+                matches = (windows[part] == query).sum(1)
+                top = int(matches.argmax())
+                if matches[top] > best or matches[top] == best and part[top] < at:
+                    best, at = int(matches[top]), int(part[top])
+        return (best, at) if at >= 0 else None
+
+
+def _placed(query: pd.Series, reverse: pd.Series, target: pd.Series) -> pd.DataFrame:
+    out, last, index = [], None, None
+    for q, r, t in zip(query, reverse, target):
+        if q is None or t is None or not 0 < len(q) <= len(t):
+            out.append((None, None, None))
+            continue
+        if t is not last:
+            last, index = t, SeedIndex(_letters(t))
+        matches, at = index.best(_letters(q))
+        strand = 0
+        if r is not None:
+            other = index.best(_letters(r), matches + 1)
+            if other is not None:
+                (matches, at), strand = other, 1
+        out.append((matches, strand, at))
+    return pd.DataFrame(out, columns=["matches", "strand_rank", "at"]).astype("Int32")
 
 
 def best_placement(
     pairs: DataFrame, query: str = "query", target: str = "target", both_strands: bool = True,
 ) -> DataFrame:
-    """Adds ``matches, identity, offset, strand``; null when the query is longer.
+    """Adds ``matches, identity, offset, strand``; null when the query is empty, null or longer.
 
     Most matches win; then the forward strand, then the leftmost offset.  Pairs
-    are rows, so the work spreads with them.
+    are rows, so the work spreads with them; letters are compared only at offsets
+    whose seed votes can still win, which for a query with a close match are few.
     """
-    q, t = F.col(query), F.col(target)
-
-    def search(p: Column) -> Column:
-        size = F.size(p["t"])
-        options = _matches_at(p["q"], p["t"], 0, size)
-        if both_strands:
-            options = F.concat(options, _matches_at(p["r"], p["t"], 1, size))
-        return F.array_max(options)
-
-    texts = F.struct(F.split(q, "").alias("q"), F.split(revcomp(q), "").alias("r"), F.split(t, "").alias("t"))
-    fits = (F.length(q) > 0) & (F.length(q) <= F.length(t))
+    q = F.col(query)
+    placed = F.pandas_udf(_placed, "matches int, strand_rank int, at int")
+    other = revcomp(q) if both_strands else F.lit(None).cast("string")
     return (
-        pairs.withColumn("_b", F.when(fits, let(texts, search)))
+        pairs.withColumn("_b", placed(q, other, F.col(target)))
         .withColumns({
             "matches": F.col("_b.matches"),
             "identity": F.col("_b.matches") / F.length(q),
-            "offset": -F.col("_b.back"),
-            "strand": F.when(F.col("_b.strand_rank") == 0, "+").when(F.col("_b.strand_rank") == -1, "-"),
+            "offset": F.col("_b.at"),
+            "strand": F.when(F.col("_b.strand_rank") == 0, "+").when(F.col("_b.strand_rank") == 1, "-"),
         })
         .drop("_b")
     )

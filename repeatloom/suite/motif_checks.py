@@ -374,3 +374,27 @@ def m30(spark, sf):
 SELECT strand, least(19, CAST(floor(pos * 20.0 / n) AS BIGINT)) AS bin, count(*) AS n_hits FROM tta_hits JOIN lens USING (doc_id) GROUP BY ALL"""))
 def m31(spark, sf):
     return A.density_profile(V.seqs(spark, sf), "TTAGGG", 20)
+
+
+@check("m31_boundary_density", with_ctes("flanks", "tta", extra="""parts AS (
+  SELECT doc_id, right(lf, 50) AS l, substring(rf, 1, length(rf) - 60) AS s, left(substring(rf, greatest(1, length(rf) - 59)), 50) AS r FROM flanks),
+w AS (SELECT doc_id, l || s || r AS t, length(l) AS nl, length(s) AS n FROM parts),
+hits AS (SELECT DISTINCT doc_id, strand, i AS pos FROM (
+    SELECT doc_id, t, base + j AS i FROM (SELECT doc_id, t, unnest(range(0, length(t), 1000)) AS base FROM w), unnest(range(1000)) r(j)) x
+  JOIN tta ON substring(t, CAST(i AS BIGINT) + 1, 6) = kmer),
+under AS (SELECT DISTINCT doc_id, strand, pos + d AS p FROM hits, unnest(range(6)) q(d)),
+letters AS (SELECT doc_id, nl, n, base + j AS p FROM (
+    SELECT doc_id, nl, n, length(t) AS m, unnest(range(0, length(t), 1000)) AS base FROM w), unnest(range(1000)) r(j) WHERE base + j < m),
+placed AS (SELECT doc_id, p, CASE WHEN p < nl THEN 'left' WHEN p < nl + n THEN 'inside' ELSE 'right' END AS zone,
+  CASE WHEN p < nl THEN nl - 1 - p WHEN p < nl + n THEN (p - nl) * 20 // n ELSE p - nl - n END AS bin FROM letters)""", body="""
+SELECT zone, CAST(bin AS BIGINT) AS bin, st.strand, count(*) AS bases, count(u.p) AS covered, round(count(u.p) / count(*), 6) AS density
+FROM placed CROSS JOIN (VALUES ('fwd'), ('rev')) st(strand)
+LEFT JOIN under u ON u.doc_id = placed.doc_id AND u.p = placed.p AND u.strand = st.strand GROUP BY ALL"""))
+def m31_boundary(spark, sf):
+    cut = F.greatest(F.lit(0), F.length("right") - 60)
+    rows = V.flanks(spark, sf).select(
+        "left", F.substring("right", F.lit(1), cut).alias("seq"),
+        F.substring("right", cut + 1, F.lit(50)).alias("right"))
+    return A.boundary_density(rows, "TTAGGG").select(
+        "zone", F.col("bin").cast("long").alias("bin"), "strand", F.col("bases").cast("long").alias("bases"),
+        F.col("covered").cast("long").alias("covered"), F.round("density", 6).alias("density"))

@@ -2,6 +2,8 @@
 
 import random
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,3 +447,77 @@ def test_density_of_intervals_without_their_text(spark):
                 hits += len(at) if not strict or e - s >= 50 else 0
                 dense += sum(sum(w <= i < w + 50 for i in at) >= 2 for w in range(e - s - 49))
             assert got[c] == (bp, hits, dense, windows)
+
+
+def plain_placement(q, t):
+    """All offsets of both strands, compared letter by letter."""
+    if not q or not t or len(q) > len(t):
+        return None, None, None
+    rc = q[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    tries = [(-sum(a == b for a, b in zip(p, t[o:])), s, o) for s, p in enumerate((q, rc)) for o in range(len(t) - len(q) + 1)]
+    m, s, o = min(tries)
+    return -m, "+-"[s], o
+
+
+def test_placement_against_all_offsets(spark):
+    """Close matches, ties between offsets and strands, repeats, and texts without any seed in common."""
+    draw = random.Random(6)
+    dna = lambda n, letters="ACGT": "".join(draw.choice(letters) for _ in range(n))
+    pairs = [("TTAGGG" * 4, "TTAGGG" * 30), ("ACGT" * 3, "ACGT" * 9), ("A" * 13, "T" * 40 + "A" * 5), ("A" * 9, "C" * 30),
+             ("ACG", "TTACGAACG"), ("", "ACG"), ("ACGTA", "ACG"), (None, "ACG"), ("ACG", None), ("AC", "GT")]
+    for _ in range(60):
+        t = dna(draw.randrange(20, 300))
+        n = draw.randrange(1, len(t))
+        at = draw.randrange(len(t) - n + 1)
+        q = list(t[at:at + n])
+        for _ in range(draw.randrange(0, n // 3 + 1)):
+            q[draw.randrange(n)] = draw.choice("ACGT")
+        pairs.append(("".join(q), t))
+        pairs.append((dna(draw.randrange(1, 40), "AT"), dna(60, "AT")))
+    df = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(pairs)], "i int, query string, target string").repartition(4)
+    got = {r.i: (r.matches, r.strand, r.offset) for r in P.best_placement(df).collect()}
+    assert got == {i: plain_placement(q, t) for i, (q, t) in enumerate(pairs)}
+
+
+def test_few_offsets_are_compared_for_a_close_match():
+    draw = random.Random(2)
+    t = "".join(draw.choice("ACGT") for _ in range(50_000))
+    q = t[31_000:31_060] + "A" + t[31_061:31_300]
+    index = P.SeedIndex(P._letters(t))
+    votes, seeds = index.votes(P._letters(q))
+    best, at = index.best(P._letters(q))
+    assert (at, best >= len(q) - 1) == (31_000, True)
+    assert (votes >= seeds - (len(q) - best)).sum() == 1
+
+
+def test_half_sites_in_a_long_text(spark):
+    """100,000 sites: the walk keeps only those within reach."""
+    seq = ("GGGTCA" * 3 + "AAAA" + "TGACCC") * 25_000
+    fwd, rev = ([i for i in range(len(seq) - 5) if seq[i:i + 6] == w] for w in ("GGGTCA", "TGACCC"))
+    f, r = set(fwd), set(rev)
+    row = spark.createDataFrame([(seq,)], "seq string").select(A.half_site_pairs(F.col("seq")).alias("p")).first().p
+    assert (row.n_fwd, row.n_rev) == (len(fwd), len(rev)) == (75_000, 25_000)
+    assert row.direct == sum(s + d in f for s in fwd for d in range(6, 17))
+    assert row.inverted == sum((s + d in r) + (s - d in r) for s in fwd for d in range(6, 17))
+
+
+def test_boundary_density_letter_by_letter(spark):
+    draw = random.Random(12)
+    rows = [("AATTAGG", "GTTAGGGAC", "CCTAA"), (None, "TTAGGG", None), ("", "", ""), ("TTAGGG" * 12, "ACG", "CCCTAA" * 12), ("A", None, "C")]
+    rows += [tuple("".join(draw.choice(["TTAGGG", "CCCTAA", "A", "G"]) for _ in range(draw.randrange(0, 30))) for _ in range(3))
+             for _ in range(20)]
+    df = spark.createDataFrame(rows, "left string, seq string, right string")
+    motifs = {s: [(u * 2)[i:i + 6] for i in range(6)] for s, u in (("fwd", "TTAGGG"), ("rev", "CCCTAA"))}
+    bases, covered = Counter(), Counter()
+    for left, seq, right in rows:
+        left, seq, right = (left or "")[-50:], seq or "", (right or "")[:50]
+        t = left + seq + right
+        for strand, words in motifs.items():
+            under = {i + d for i in range(len(t) - 5) if t[i:i + 6] in words for d in range(6)}
+            for p in range(len(t)):
+                key = (("left", len(left) - 1 - p) if p < len(left) else ("inside", (p - len(left)) * 7 // len(seq))
+                       if p < len(left) + len(seq) else ("right", p - len(left) - len(seq)))
+                bases[*key, strand] += 1
+                covered[*key, strand] += p in under
+    got = {(r.zone, r.bin, r.strand): (r.bases, r.covered) for r in A.boundary_density(df, "TTAGGG", 7).collect()}
+    assert got == {k: (n, covered[k]) for k, n in bases.items()}
