@@ -15,19 +15,22 @@ Every part of a frequent phrase is as frequent as the phrase, so the count table
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatloom.llm.blocks import block_numbers, bucketed, numbers, table_of, written
 from repeatloom.llm.rows import LOWER_TABLE, quoted, release
 
-#: Bytes of text in a block.
-BLOCK = 4 << 20
+#: Bytes of text in a block, and of text that waits in a task for its language's block to fill.
+BLOCK, WAITING = 4 << 20, 16 << 20
+#: Frequent groups of one length up to which every task gets them; more meet the blocks by a shuffle.
+SENT = 1_000_000
 #: Bytes of text that are split into words at once.
 SLICE = 1 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -87,29 +90,30 @@ _RAW_DDL = "block long, lang string, words array<string>, word array<int>, step
 
 
 def _raw_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fresh, waiting, size = block_numbers(), defaultdict(list), 0
+    fresh, waiting, sizes = block_numbers(), defaultdict(list), Counter()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang in sorted(waiting):
-            words, word, place = numbered_words(waiting[lang])
-            if words:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([next(fresh)]), pa.array([lang]),
-                    pa.array([pa.array(words, pa.binary()).cast(pa.string())], _RAW.field("words").type),
-                    pa.array([word], _RAW.field("word").type),
-                    pa.array([np.diff(place, prepend=0)], _RAW.field("step").type)], schema=_RAW)
-        waiting.clear()
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
+        sizes.pop(lang)
+        words, word, place = numbered_words(waiting.pop(lang))
+        if words:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([next(fresh)]), pa.array([lang]),
+                pa.array([pa.array(words, pa.binary()).cast(pa.string())], _RAW.field("words").type),
+                pa.array([word], _RAW.field("word").type),
+                pa.array([np.diff(place, prepend=0)], _RAW.field("step").type)], schema=_RAW)
         release()
 
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
             for part in pieces_of(text.as_py() or b""):
-                waiting[lang.as_py()].append(part)
-                size += len(part)
-                if size >= BLOCK:
-                    yield from flush()
-                    size = 0
-    yield from flush()
+                waiting[lang].append(part)
+                sizes[lang] += len(part) + 1
+                if sizes[lang] >= BLOCK:
+                    yield from flush(lang)
+                elif sizes.total() >= WAITING:
+                    yield from flush(sizes.most_common(1)[0][0])
+    for lang in sorted(waiting):
+        yield from flush(lang)
 
 
 _COUNT_WORDS_DDL = "block long, lang string, code long, word string, n long"
@@ -133,11 +137,8 @@ _KEPT = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("step", pa.lis
 _KEPT_DDL = "block long, lang string, step array<int>, `group` array<int>, ids array<long>"
 
 
-def _thinned(block: int, lang: str, place: np.ndarray, code: np.ndarray, found: pa.Table) -> pa.Table:
-    """The relation's places whose code was found; groups are numbered by the sorted codes."""
-    codes = found.column("code").to_numpy()
-    order = np.argsort(codes)
-    codes, ids = codes[order], found.column("gid").to_numpy()[order]
+def _thinned(block: int, lang: str, place: np.ndarray, code: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """The relation's places whose code is among ``codes`` (sorted); groups are numbered in their order."""
     if not len(codes) or not len(code):
         return _KEPT.empty_table()
     at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
@@ -146,12 +147,62 @@ def _thinned(block: int, lang: str, place: np.ndarray, code: np.ndarray, found:
                             [at[held].astype(np.int32)], [ids]])
 
 
+def _sorted(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes = found.column("code").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], found.column("gid").to_numpy()[order]
+
+
+def _name(rows: pa.Table | pa.RecordBatch, i: int) -> tuple[int, str]:
+    return rows.column("block")[i].as_py(), rows.column("lang")[i].as_py()
+
+
+def _word_places(rows: pa.Table | pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    return (np.cumsum(numbers(rows.column("step"), i), dtype=np.int64), numbers(rows.column("word"), i).astype(np.int64))
+
+
 def _frequent_words(raw: pa.Table, found: pa.Table) -> pa.Table:
+    """Semi-join of a block's words with the frequent ones that a shuffle brought to it."""
     if not raw.num_rows:
         return _KEPT.empty_table()
-    return _thinned(raw.column("block")[0].as_py(), raw.column("lang")[0].as_py(),
-                    np.cumsum(numbers(raw.column("step"), 0), dtype=np.int64),
-                    numbers(raw.column("word"), 0).astype(np.int64), found)
+    return _thinned(*_name(raw, 0), *_word_places(raw, 0), *_sorted(found))
+
+
+def _frequent_words_sent(sent):
+    """The same with words that every task has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, lang = _name(batch, i)
+                if lang not in known:
+                    continue
+                words, ids = known[lang]
+                at = pc.index_in(batch.column("words")[i].values, value_set=words)
+                codes = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                ids = ids[at.drop_null().to_numpy()]
+                yield from _thinned(block, lang, *_word_places(batch, i), codes, ids).to_batches()
+    return run
+
+
+class Groups:
+    """Numbers of frequent groups by their two sides, to look many up at once."""
+
+    def __init__(self, head: np.ndarray, tail: np.ndarray, ids: np.ndarray):
+        self.heads, at_head = np.unique(head, return_inverse=True)
+        self.tails, at_tail = np.unique(tail, return_inverse=True)
+        keys = at_head.astype(np.int64) * len(self.tails) + at_tail
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    def find(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Number of each group, -1 where it isn't frequent."""
+        if not len(self.keys):
+            return np.full(len(head), -1)
+        h, t = (np.minimum(np.searchsorted(v, x), len(v) - 1) for v, x in ((self.heads, head), (self.tails, tail)))
+        key = h * len(self.tails) + t
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (self.heads[h] == head) & (self.tails[t] == tail), self.ids[at], -1)
 
 
 def _joined(batch: pa.RecordBatch | pa.Table, i: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +219,7 @@ def _joined(batch: pa.RecordBatch | pa.Table, i: int, k: int) -> tuple[np.ndarra
     return place[meet], code, numbers(batch.column("ids"), i), word_ids, np.int64(max(1, len(word_ids)))
 
 
-_COUNT_DDL = "block long, lang string, code long, head long, tail long, n long"
+_COUNT_DDL = "block long, code long, head long, tail long, n long"
 
 
 def _group_counts(k: int):
@@ -178,10 +229,9 @@ def _group_counts(k: int):
                 _, code, ids, word_ids, width = _joined(batch, i, k)
                 code, n = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(code), batch.column("block")[i].as_py())),
-                    pa.array([batch.column("lang")[i].as_py()] * len(code), pa.string()), pa.array(code),
+                    pa.array(np.full(len(code), batch.column("block")[i].as_py())), pa.array(code),
                     pa.array(ids[code // width]), pa.array(word_ids[code % width]), pa.array(n)],
-                    names=["block", "lang", "code", "head", "tail", "n"])
+                    names=["block", "code", "head", "tail", "n"])
             release()
     return run
 
@@ -191,18 +241,32 @@ def _frequent_groups(k: int):
         if not blocks.num_rows:
             return _KEPT.empty_table()
         place, code, *_ = _joined(blocks, 0, k)
-        return _thinned(blocks.column("block")[0].as_py(), blocks.column("lang")[0].as_py(), place, code, found)
+        return _thinned(*_name(blocks, 0), place, code, *_sorted(found))
+    return run
+
+
+def _frequent_groups_sent(k: int, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                place, code, ids, word_ids, width = _joined(batch, i, k)
+                codes = np.unique(code)
+                gid = sent.value.find(ids[codes // width], word_ids[codes % width])
+                yield from _thinned(*_name(batch, i), place, code, codes[gid >= 0], gid[gid >= 0]).to_batches()
+            release()
     return run
 
 
 def phrase_counts(
-    docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", sent: int = SENT,
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, size, phrase, a`` of all phrases of up to ``longest`` words that occur ``least`` times or more (single
     words too), and ``lang, n`` with the number of word occurrences.
 
-    Runs jobs: the relations and count tables are written to the shared folder.
+    Runs jobs: the relations and count tables are written to the shared folder.  The frequent groups of a length are
+    counted; up to ``sent`` of them go to every task (24 bytes each), more are joined with the blocks' groups.
     """
+    sc = docs.sparkSession.sparkContext
     raw = written(docs.select(F.coalesce(quoted(lang_col), F.lit("und")).alias("lang"), quoted(text_col).alias("text"))
                   .mapInArrow(_raw_blocks, _RAW_DDL), "words")
     counted = raw.mapInArrow(_word_counts, _COUNT_WORDS_DDL)
@@ -210,9 +274,17 @@ def phrase_counts(
     words = written(
         counted.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         .withColumn("gid", F.monotonically_increasing_id()), "word-counts")
-    found = counted.join(words, ["lang", "word"]).select("block", "code", "gid")
-    single, forget = bucketed(
-        raw.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_frequent_words, _KEPT_DDL), "places", "block")
+    if words.count() <= sent:
+        table = words.select("lang", "word", "gid").toArrow()
+        known = sc.broadcast({
+            lang: (part.column("word").combine_chunks(), part.column("gid").to_numpy())
+            for lang in pc.unique(table.column("lang")).to_pylist()
+            for part in [table.filter(pc.equal(table.column("lang"), lang))]})
+        places = raw.mapInArrow(_frequent_words_sent(known), _KEPT_DDL)
+    else:
+        found = counted.join(words, ["lang", "word"]).select("block", "code", "gid")
+        places = raw.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_frequent_words, _KEPT_DDL)
+    single, forget = bucketed(places, "places", "block")
     forgotten = [forget]
     tables = [words.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "a", "gid")]
     beside = single.select(F.col("block").alias("_b"), F.col("step").alias("word_step"), F.col("group").alias("word"),
@@ -222,19 +294,24 @@ def phrase_counts(
         pairs = relation.join(beside, relation.block == beside._b).drop("_b")
         counted = pairs.mapInArrow(_group_counts(k), _COUNT_DDL)
         groups = written(
-            counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+            counted.groupBy("head", "tail").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
             .withColumn("gid", F.monotonically_increasing_id()), "group-counts")
-        heads = tables[-1].select(F.col("gid").alias("head"), F.col("phrase").alias("_head"))
+        heads = tables[-1].select("lang", F.col("gid").alias("head"), F.col("phrase").alias("_head"))
         tails = words.select(F.col("gid").alias("tail"), F.col("word").alias("_tail"))
         tables.append(
             groups.join(heads, "head").join(tails, "tail")
             .select("lang", F.lit(k).alias("size"), F.concat_ws(" ", "_head", "_tail").alias("phrase"), "a", "gid"))
-        if k < longest:
-            found = counted.join(groups, ["lang", "head", "tail"]).select("block", "code", "gid")
-            relation, forget = bucketed(
-                pairs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_frequent_groups(k), _KEPT_DDL),
-                "places", "block")
-            forgotten.append(forget)
+        if k == longest:
+            break
+        if groups.count() <= sent:
+            table = groups.select("head", "tail", "gid").toArrow()
+            known = sc.broadcast(Groups(*(table.column(c).to_numpy() for c in ("head", "tail", "gid"))))
+            places = pairs.mapInArrow(_frequent_groups_sent(k, known), _KEPT_DDL)
+        else:
+            found = counted.join(groups, ["head", "tail"]).select("block", "code", "gid")
+            places = pairs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_frequent_groups(k), _KEPT_DDL)
+        relation, forget = bucketed(places, "places", "block")
+        forgotten.append(forget)
     counts = tables[0]
     for table in tables[1:]:
         counts = counts.unionByName(table)
@@ -250,6 +327,7 @@ def _wide(c: Column) -> Column:
 
 def collocations(
     docs: DataFrame, longest: int = 4, least: int = 30, top: int = 2000, text_col: str = "text", lang_col: str = "lang",
+    sent: int = SENT,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` best phrases.
 
@@ -259,7 +337,7 @@ def collocations(
     Null and empty texts have no words; a null language is ``und``; a repeated row counts each time; an empty table
     gives no rows; columns other than the two named aren't read.
     """
-    counts, totals = phrase_counts(docs, longest, least, text_col, lang_col)
+    counts, totals = phrase_counts(docs, longest, least, text_col, lang_col, sent)
     part = lambda begin, size: F.array_join(F.slice("words", begin, size), " ")
     phrases = counts.where("size > 1").withColumn("words", F.split("phrase", " "))
     cuts = (
