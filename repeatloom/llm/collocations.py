@@ -186,23 +186,18 @@ def _frequent_words_sent(sent):
 
 
 class Groups:
-    """Numbers of frequent groups by their two sides, to look many up at once."""
+    """Numbers of frequent groups by key, to look many up at once."""
 
-    def __init__(self, head: np.ndarray, tail: np.ndarray, ids: np.ndarray):
-        self.heads, at_head = np.unique(head, return_inverse=True)
-        self.tails, at_tail = np.unique(tail, return_inverse=True)
-        keys = at_head.astype(np.int64) * len(self.tails) + at_tail
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
 
-    def find(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each group, -1 where it isn't frequent."""
         if not len(self.keys):
-            return np.full(len(head), -1)
-        h, t = (np.minimum(np.searchsorted(v, x), len(v) - 1) for v, x in ((self.heads, head), (self.tails, tail)))
-        key = h * len(self.tails) + t
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (self.heads[h] == head) & (self.tails[t] == tail), self.ids[at], -1)
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ids[at], -1)
 
 
 def _joined(batch: pa.RecordBatch | pa.Table, i: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,19 +214,24 @@ def _joined(batch: pa.RecordBatch | pa.Table, i: int, k: int) -> tuple[np.ndarra
     return place[meet], code, numbers(batch.column("ids"), i), word_ids, np.int64(max(1, len(word_ids)))
 
 
-_COUNT_DDL = "block long, code long, head long, tail long, n long"
+_COUNT_DDL = "block long, code long, key long, n long"
 
 
-def _group_counts(k: int):
+def _group_counts(k: int, n_words: int):
+    """A block's groups with their counts; the key of a group is ``head * n_words + tail``.
+
+    Rows leave in order of the key: what lies side by side then is alike, and the shuffle's files are smaller.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, code, ids, word_ids, width = _joined(batch, i, k)
                 code, n = np.unique(code, return_counts=True)
+                key = ids[code // width] * n_words + word_ids[code % width]
+                order = np.argsort(key)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(code), batch.column("block")[i].as_py())), pa.array(code),
-                    pa.array(ids[code // width]), pa.array(word_ids[code % width]), pa.array(n)],
-                    names=["block", "code", "head", "tail", "n"])
+                    pa.array(np.full(len(code), batch.column("block")[i].as_py())), pa.array(code[order]),
+                    pa.array(key[order]), pa.array(n[order])], names=["block", "code", "key", "n"])
             release()
     return run
 
@@ -245,18 +245,33 @@ def _frequent_groups(k: int):
     return run
 
 
-def _frequent_groups_sent(k: int, sent):
+def _frequent_groups_sent(k: int, n_words: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 place, code, ids, word_ids, width = _joined(batch, i, k)
                 codes = np.unique(code)
-                gid = sent.value.find(ids[codes // width], word_ids[codes % width])
+                gid = sent.value.find(ids[codes // width] * n_words + word_ids[codes % width])
                 yield from _thinned(*_name(batch, i), place, code, codes[gid >= 0], gid[gid >= 0]).to_batches()
             release()
     return run
 
 
+def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written, with the numbers 0, 1, ... in ``gid``, and how many rows there are.
+
+    A row's number is its place in its task plus the rows of the tasks before; one count per task reaches the driver.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    made = written(df.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), name)
+    sizes = sorted((r["_part"], r["n"]) for r in made.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    firsts = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    begin = df.sparkSession.createDataFrame(
+        [(part, first) for (part, _), first in zip(sizes, firsts)], "_part int, _first long")
+    return (made.join(F.broadcast(begin), "_part").withColumn("gid", F.col("_first") + F.col("_place"))
+            .drop("_part", "_first", "_place")), firsts[-1]
+
+
 def phrase_counts(
     docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", sent: int = SENT,
 ) -> tuple[DataFrame, DataFrame]:
@@ -264,17 +279,17 @@ def phrase_counts(
     words too), and ``lang, n`` with the number of word occurrences.
 
     Runs jobs: the relations and count tables are written to the shared folder.  The frequent groups of a length are
-    counted; up to ``sent`` of them go to every task (24 bytes each), more are joined with the blocks' groups.
+    counted; up to ``sent`` of them go to every task (16 bytes each), more are joined with the blocks' groups.
     """
     sc = docs.sparkSession.sparkContext
     raw = written(docs.select(F.coalesce(quoted(lang_col), F.lit("und")).alias("lang"), quoted(text_col).alias("text"))
                   .mapInArrow(_raw_blocks, _RAW_DDL), "words")
     counted = raw.mapInArrow(_word_counts, _COUNT_WORDS_DDL)
     totals = raw.groupBy("lang").agg(F.sum(F.size("word").cast("long")).alias("n"))
-    words = written(
-        counted.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        .withColumn("gid", F.monotonically_increasing_id()), "word-counts")
-    if words.count() <= sent:
+    words, n_words = _numbered(
+        counted.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "word-counts")
+    n_heads = n_words
+    if n_words <= sent:
         table = words.select("lang", "word", "gid").toArrow()
         known = sc.broadcast({
             lang: (part.column("word").combine_chunks(), part.column("gid").to_numpy())
@@ -292,23 +307,25 @@ def phrase_counts(
     relation = single
     for k in range(2, longest + 1):
         pairs = relation.join(beside, relation.block == beside._b).drop("_b")
-        counted = pairs.mapInArrow(_group_counts(k), _COUNT_DDL)
-        groups = written(
-            counted.groupBy("head", "tail").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-            .withColumn("gid", F.monotonically_increasing_id()), "group-counts")
+        if n_heads * n_words >= 1 << 63:
+            raise OverflowError(f"{n_heads} groups of {k - 1} words and {n_words} words have no keys of 64 bits")
+        counted = pairs.mapInArrow(_group_counts(k, n_words), _COUNT_DDL)
+        groups, n_heads = _numbered(
+            counted.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "group-counts")
+        head, tail = F.expr(f"key div {max(1, n_words)}").alias("head"), (F.col("key") % max(1, n_words)).alias("tail")
         heads = tables[-1].select("lang", F.col("gid").alias("head"), F.col("phrase").alias("_head"))
         tails = words.select(F.col("gid").alias("tail"), F.col("word").alias("_tail"))
         tables.append(
-            groups.join(heads, "head").join(tails, "tail")
+            groups.select("a", "gid", head, tail).join(heads, "head").join(tails, "tail")
             .select("lang", F.lit(k).alias("size"), F.concat_ws(" ", "_head", "_tail").alias("phrase"), "a", "gid"))
         if k == longest:
             break
-        if groups.count() <= sent:
-            table = groups.select("head", "tail", "gid").toArrow()
-            known = sc.broadcast(Groups(*(table.column(c).to_numpy() for c in ("head", "tail", "gid"))))
-            places = pairs.mapInArrow(_frequent_groups_sent(k, known), _KEPT_DDL)
+        if n_heads <= sent:
+            table = groups.select("key", "gid").toArrow()
+            known = sc.broadcast(Groups(*(table.column(c).to_numpy() for c in ("key", "gid"))))
+            places = pairs.mapInArrow(_frequent_groups_sent(k, n_words, known), _KEPT_DDL)
         else:
-            found = counted.join(groups, ["head", "tail"]).select("block", "code", "gid")
+            found = counted.join(groups, "key").select("block", "code", "gid")
             places = pairs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_frequent_groups(k), _KEPT_DDL)
         relation, forget = bucketed(places, "places", "block")
         forgotten.append(forget)
