@@ -28,7 +28,7 @@ from repeatloom.llm.blocks import block_numbers, bucketed, numbers, table_of, wr
 from repeatloom.llm.rows import LOWER_TABLE, quoted, release
 
 #: Bytes of text in a block, and of text that waits in a task for its language's block to fill.
-BLOCK, WAITING = 4 << 20, 16 << 20
+BLOCK, WAITING = 2 << 20, 6 << 20
 #: Frequent groups of one length up to which every task gets them; more meet the blocks by a shuffle.
 SENT = 1_000_000
 #: Bytes of text that are split into words at once.
