@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -82,8 +83,12 @@ def _rows(out: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 
 
 def release() -> None:
-    """Gives memory that Arrow keeps for later back to the system."""
+    """Gives memory that Arrow and the C library keep for later back to the system."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries keep their own rules
+        pass
 
 
 def _values(column: pa.Array) -> Iterator:
