@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions import motifs as M
@@ -184,25 +184,33 @@ def insertion_thresholds(insertions: DataFrame, group: Sequence[str] = ()) -> Da
 
 # --- repeat-finder hits -----------------------------------------------------
 
-def classify_consensus(consensus: Column, period: Column) -> Column:
-    """``struct<family, strand, exact>`` of a repeat-finder consensus, else null.
+def consensus_words(spark: SparkSession) -> DataFrame:
+    """``word, family, strand, exact`` for each word that a family's consensus can be.
 
-    A rotation of a family's unit of the hit's period fits exactly; failing all
-    families, one with a single mismatch fits loosely.  Family order decides,
-    forward before reverse.
+    A rotation of a family's unit fits exactly; failing all families, one with a single mismatch fits loosely.  Family
+    order decides, forward before reverse.  The families fix the number of words (a few thousand), so the table can be
+    sent to every task whatever the hits are.  ``N`` stands for every letter but A, C, G and T.
     """
-    text = F.upper(consensus)
-    options = []
+    words: dict[str, tuple[str, str, bool]] = {}
     for exact in (True, False):
         for unit in M.REPEAT_FINDER_FAMILIES:
             for strand, kmers in (("fwd", M.forward(unit)), ("rev", M.backward(unit))):
-                same_k = (period == len(unit)) & (F.length(text) == len(unit))
-                fits = text.isin(kmers) if exact else text.rlike(
-                    "^" + M.alternation(M.one_mismatch(kmers)) + "$")
-                options.append(F.when(same_k & fits, F.struct(
-                    F.lit(unit if exact else unit + "~1mm").alias("family"), F.lit(strand).alias("strand"),
-                    F.lit(exact).alias("exact"))))
-    return F.coalesce(*options)
+                near = kmers if exact else [
+                    w.replace(".", letter) for w in M.one_mismatch(kmers) for letter in "ACGTN"]
+                for word in near:
+                    words.setdefault(word, (unit if exact else unit + "~1mm", strand, exact))
+    return spark.createDataFrame(
+        [(word, *kind) for word, kind in words.items()], "word string, family string, strand string, exact boolean")
+
+
+def with_consensus_family(hits: DataFrame) -> DataFrame:
+    """Adds ``kind``, ``struct<family, strand, exact>`` of each hit's consensus; null where none fits or the period
+    isn't the consensus' length."""
+    words = consensus_words(hits.sparkSession).select("word", F.struct("family", "strand", "exact").alias("kind"))
+    word = F.when(
+        F.col("period") == F.length("consensus"), F.regexp_replace(F.upper("consensus"), "[^ACGT]", "N"))
+    return hits.withColumn("_word", word).join(F.broadcast(words), F.col("_word") == F.col("word"), "left").drop(
+        "_word", "word")
 
 
 def repeat_finder_survey(introns: DataFrame, hits: DataFrame, by: str = "seq_id") -> DataFrame:
@@ -214,16 +222,31 @@ def repeat_finder_survey(introns: DataFrame, hits: DataFrame, by: str = "seq_id"
     span = F.col("tr_end") - F.col("tr_start")
     kept = ("tr_start", "tr_end", "period", "consensus", "copies", "score", "substitutions", "insertions",
             "deletions")
-    named = once(hits, kind=classify_consensus(F.col("consensus"), F.col("period")))
+    named = with_consensus_family(hits)
+    strand = F.col("kind.strand")
     first_longest = F.struct(
         span.alias("n"), (-F.col("tr_start")).alias("at"), (-F.col("period")).alias("p"), F.col("consensus").alias("c"))
     best = named.groupBy(by).agg(
         F.max_by(F.struct(*kept, "kind"), first_longest).alias("b"),
-        F.count_distinct("kind.strand").alias("n_strands"), F.count("*").alias("n_hits"))
+        F.bool_or(strand == "fwd").alias("fwd"), F.bool_or(strand == "rev").alias("rev"), F.count("*").alias("n_hits"))
     orient = (
-        F.when(F.col("n_strands") >= 2, "converging")
+        F.when(F.col("fwd") & F.col("rev"), "converging")
         .when(F.col("b.kind.strand") == "fwd", "coding-strand").otherwise("template-strand"))
     return introns.join(best.where(F.col("b.kind").isNotNull()), by).select(
         *introns.columns, F.col("b.kind.family").alias("repeat_type"),
         *[F.col(f"b.{c}").alias(c) for c in kept], "n_hits", orient.alias("orientation"),
         F.round((F.col("b.tr_end") - F.col("b.tr_start")) / F.col("length"), 4).alias("tr_coverage"))
+
+
+def finder_survey(
+    features: DataFrame, hits: DataFrame, keys: Sequence[str] = ("contig",), max_len: int = I.INTRON_MAX,
+) -> DataFrame:
+    """Second survey from features: introns, one per interval, meet the repeat finder's hits by name.
+
+    An intron's name, and its hits' ``seq_id``, is its keys, start and end joined by ``|``.  Introns without hits, or
+    whose longest hit has no known family, give no row.
+    """
+    gaps = I.introns(features, [*keys, "parent"]).where(F.col("length").between(I.INTRON_MIN, max_len))
+    single = I.first_per_interval(gaps, [*keys, "start", "end"], ["parent"]).withColumnRenamed("parent", "mrna")
+    named = single.withColumn("seq_id", F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "start", "end")]))
+    return repeat_finder_survey(named, hits)

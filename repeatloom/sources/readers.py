@@ -213,7 +213,7 @@ def read_fasta_chunks(
     ``contigs`` only the listed ones are kept.
     """
     m = F.col("_metadata")
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         m["file_path"].alias("file"), m["file_block_start"].alias("block"),
         F.monotonically_increasing_id().alias("row"), F.upper(F.trim("value")).alias("text"),
         F.trim("value").alias("raw"))

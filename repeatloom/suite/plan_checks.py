@@ -9,7 +9,6 @@ from repeatloom.functions import scalars as S
 from repeatloom.operators import arrays as A
 from repeatloom.operators import intervals as I
 
-from repeatloom.operators.durable import once
 from repeatloom.plans import compartments as D
 from repeatloom.plans import linkers as L
 from repeatloom.plans import mechanism as B
@@ -142,8 +141,7 @@ kinds AS (SELECT consensus, period, family || CASE WHEN h = 0 THEN '' ELSE '~1mm
 @check("m26_consensus_family", f"WITH {FINDER}, {_KINDS} SELECT * FROM kinds")
 def m26(spark, sf):
     hits = R.parse_repeat_finder(finder_lines(spark, sf)).select("consensus", "period").distinct()
-    kind = once(hits, kind=P.classify_consensus(F.col("consensus"), F.col("period")))
-    return kind.where(F.col("kind").isNotNull()).select("consensus", "period", "kind.*")
+    return P.with_consensus_family(hits).where(F.col("kind").isNotNull()).select("consensus", "period", "kind.*")
 
 
 @check("q02_g08_j10_repeat_finder_survey", f"WITH {FINDER}, {_KINDS}, " + """
@@ -159,6 +157,28 @@ def q02(spark, sf):
         "seq_id", "repeat_type", "period", "n_hits", "orientation", "tr_coverage")
 
 
+@check("q02_finder_survey", with_ctes("introns", extra=f"{FINDER}, {_KINDS}" + """,
+picked AS (SELECT contig, s, e, min(parent) AS parent FROM introns WHERE length BETWEEN 20 AND 100000 GROUP BY contig, s, e),
+near AS (SELECT contig, s, e, f.* FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY s, e, contig) AS r FROM picked) JOIN finder f ON f.seq_id = parent WHERE r = 1),
+told AS (SELECT n.*, x.family, x.strand FROM near n LEFT JOIN kinds x ON x.consensus = n.consensus AND x.period = n.k),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig, s, e ORDER BY b - a DESC, a, k, consensus DESC) AS r FROM told) WHERE r = 1 AND family IS NOT NULL),
+agg AS (SELECT contig, s, e, count(DISTINCT strand) AS n_strands, count(*) AS n_hits FROM told GROUP BY contig, s, e)""", body="""
+SELECT t.contig, t.s AS start, t.e AS "end", t.e - t.s AS length, seq_id AS mrna, family AS repeat_type, k AS period, n_hits,
+  CASE WHEN n_strands >= 2 THEN 'converging' WHEN strand = 'fwd' THEN 'coding-strand' ELSE 'template-strand' END AS orientation, round((b - a) / (t.e - t.s), 4) AS tr_coverage
+FROM top t JOIN agg ON agg.contig = t.contig AND agg.s = t.s AND agg.e = t.e"""))
+def q02f(spark, sf):
+    f = V.features(spark, sf)
+    # Hits are named by an order; the order's first intron, of those that appear under its name, gets them.
+    gaps = I.introns(f).where(F.col("length").between(I.INTRON_MIN, I.INTRON_MAX))
+    single = I.first_per_interval(gaps, ["contig", "start", "end"], ["parent"])
+    first = single.groupBy(F.col("parent").cast("string").alias("seq_id")).agg(
+        F.min(F.struct("start", "end", "contig")).alias("i"))
+    hits = R.parse_repeat_finder(finder_lines(spark, sf)).join(first, "seq_id").withColumn(
+        "seq_id", F.concat_ws("|", *[F.col(f"i.{c}").cast("string") for c in ("contig", "start", "end")])).drop("i")
+    return P.finder_survey(f, hits).select(
+        "contig", "start", "end", "length", "mrna", "repeat_type", "period", "n_hits", "orientation", "tr_coverage")
+
+
 _VALID = """v AS (SELECT n.doc_id, genome AS species, seq, donor, acceptor, norm_seq, b.telo_coverage, orientation, f, r,
     coalesce(len, 0) / greatest(length(seq), 1) AS run_share, count(*) OVER (PARTITION BY genome, seq) AS copies
   FROM norm n JOIN best b ON b.doc_id = n.doc_id JOIN strand_class c ON c.doc_id = n.doc_id

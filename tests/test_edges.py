@@ -321,10 +321,24 @@ def test_only_and_force_arguments(spark):
 
 
 def test_consensus_families(spark):
-    df = spark.createDataFrame([("GGTTAG", 6), ("CTAACC", 6), ("GGTTAC", 6), ("GGTTAG", 7), ("AAAAAA", 6)], "c string, p int")
-    got = [r.k for r in df.select(V.classify_consensus(F.col("c"), F.col("p")).alias("k")).collect()]
-    assert (got[0].family, got[0].strand) == ("TTAGGG", "fwd") and got[1].strand == "rev"
-    assert got[2].family.endswith("~1mm") and got[3] is None and got[4] is None
+    rng = random.Random(4)
+    words = ["GGTTAG", "CTAACC", "GGTTAC", "AAAAAA", "ggttag", "GG-TAG", "GGNTAG", "", None]
+    for unit in M.REPEAT_FINDER_FAMILIES * 12:
+        word = list(rng.choice(M.both_strands(unit)))
+        for _ in range(rng.randint(0, 2)):
+            word[rng.randrange(len(word))] = rng.choice("ACGTNX*")
+        words.append("".join(word))
+    rows = [(w, len(w) if w is not None else 6) for w in words] + [("GGTTAG", 7)]
+    df = spark.createDataFrame(rows, "consensus string, period int")
+    for r in V.with_consensus_family(df).collect():
+        want = None
+        for most in (0, 1):
+            for unit in M.REPEAT_FINDER_FAMILIES:
+                for strand, kmers in (("fwd", M.forward(unit)), ("rev", M.backward(unit))):
+                    if want is None and r.consensus and r.period == len(r.consensus) == len(unit) and any(
+                            sum(a != b for a, b in zip(k, r.consensus.upper())) <= most for k in kmers):
+                        want = (unit + ("~1mm" if most else ""), strand, not most)
+        assert (tuple(r.kind) if r.kind else None) == want
 
 
 def test_table_form_fills_missing(spark):
