@@ -222,23 +222,24 @@ _MIS = """cand AS (SELECT DISTINCT contig, s, e FROM introns WHERE length >= 20)
 ranked AS (SELECT contig, parent, ps, pe, s, e, n_exons - 1 AS n_introns FROM (
   SELECT contig, parent, s, e, count(*) OVER (PARTITION BY contig, parent) AS n_exons, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM (SELECT DISTINCT contig, parent, s, e FROM features)
   WINDOW w AS (PARTITION BY contig, parent ORDER BY s, e)) WHERE pe IS NOT NULL),
-gs AS (SELECT * FROM (SELECT c.contig, c.s AS cs, c.e AS ce, parent, ps, pe, r.s AS ns, r.e AS ne, n_introns, row_number() OVER (PARTITION BY c.contig, c.s, c.e ORDER BY parent DESC, pe DESC, r.s DESC) AS k
-  FROM cand c JOIN ranked r ON r.contig = c.contig AND abs(r.pe - c.s) <= 2 AND abs(r.s - c.e) <= 2) WHERE k = 1),
-f AS (SELECT c.contig, c.s, c.e, parent, n_introns, pe - ps AS pl, ne - ns AS nl, length(seq) AS n, substring(seq, c.s + 1, 2) AS d, substring(seq, c.e - 1, 2) AS a, c.s >= 2 AND c.e + 2 <= length(seq) AS inside
-  FROM cand c JOIN seqs ON doc_id = c.contig LEFT JOIN gs ON gs.contig = c.contig AND gs.cs = c.s AND gs.ce = c.e),
+gs AS MATERIALIZED (SELECT * FROM (SELECT c.contig, c.s AS cs, c.e AS ce, parent, ps, pe, r.s AS ns, r.e AS ne, n_introns, row_number() OVER (PARTITION BY c.contig, c.s, c.e ORDER BY parent DESC, pe DESC, r.s DESC) AS k
+  FROM (SELECT *, unnest(range(s - 2, s + 3)) AS near FROM cand) c JOIN ranked r ON r.contig = c.contig AND r.pe = near AND abs(r.s - c.e) <= 2) WHERE k = 1),
+f AS MATERIALIZED (SELECT c.contig, c.s, c.e, parent, n_introns, pe - ps AS pl, ne - ns AS nl, l.n, left(wd.word, 2) AS d, left(wa.word, 2) AS a, c.s >= 2 AND c.e + 2 <= l.n AS inside
+  FROM cand c JOIN lens l ON l.doc_id = c.contig LEFT JOIN words wd ON wd.doc_id = c.contig AND wd.pos = c.s LEFT JOIN words wa ON wa.doc_id = c.contig AND wa.pos = c.e - 2 LEFT JOIN gs ON gs.contig = c.contig AND gs.cs = c.s AND gs.ce = c.e),
 sides AS (SELECT contig, cs, ce, 'prev' AS side, ps AS xs, pe AS xe FROM gs UNION ALL SELECT contig, cs, ce, 'next', ns, ne FROM gs),
-telo AS (SELECT contig, cs, ce, side, sum(least(6, coalesce(nxt - pos, 6))) / any_value(n) AS cov FROM (
-    SELECT x.*, pos, least(xe, n_seq) - xs AS n, lead(pos) OVER (PARTITION BY x.contig, cs, ce, side ORDER BY pos) AS nxt
-    FROM sides x JOIN (SELECT doc_id, length(seq) AS n_seq FROM seqs) l ON l.doc_id = x.contig
-    JOIN (SELECT DISTINCT doc_id, pos FROM tta_hits) h ON h.doc_id = x.contig AND pos >= xs AND pos + 6 <= xe) GROUP BY ALL)"""
+hp AS MATERIALIZED (SELECT DISTINCT doc_id, pos FROM tta_hits),
+places AS MATERIALIZED (SELECT contig, cs, ce, side, xs, xe, unnest(range(xs, xe - 5)) AS at FROM sides),
+inexon AS MATERIALIZED (SELECT contig, cs, ce, side, xs, xe, pos FROM places JOIN hp ON hp.doc_id = places.contig AND hp.pos = places.at),
+side_cov AS MATERIALIZED (SELECT contig, cs, ce, side, count(DISTINCT pos + d) / any_value(least(xe, n) - xs) AS cov FROM (SELECT *, unnest(range(6)) AS d FROM inexon) JOIN lens ON doc_id = contig GROUP BY contig, cs, ce, side),
+telo AS MATERIALIZED (SELECT contig, cs, ce, max(CASE WHEN side = 'prev' THEN cov END) AS p, max(CASE WHEN side = 'next' THEN cov END) AS x FROM side_cov GROUP BY contig, cs, ce)"""
 
 
-@check("q07_misannotation_filter", with_ctes("introns", "features", "seqs", "tta_hits", extra=_MIS, body="""
+@check("q07_misannotation_filter", with_ctes("introns", "features", "lens", "tta_hits", extra=_MIS, body="""
 SELECT f.contig, s AS start, e AS "end", parent, array_to_string(list_filter([CASE WHEN NOT inside THEN 'NEAR_CONTIG_BOUNDARY' END,
   CASE WHEN inside AND NOT ((d = 'GT' AND a = 'AG') OR (d = 'CT' AND a = 'AC')) THEN 'BAD_GENOMIC_SPLICE' END, CASE WHEN pl < 20 THEN 'TINY_PREV_EXON' END, CASE WHEN nl < 20 THEN 'TINY_NEXT_EXON' END,
-  CASE WHEN n_introns = 1 AND pl < 50 AND nl < 50 THEN 'SINGLE_INTRON_TINY_EXONS' END, CASE WHEN p.cov > 0.30 THEN 'TELO_IN_PREV_EXON' END,
-  CASE WHEN x.cov > 0.30 THEN 'TELO_IN_NEXT_EXON' END, CASE WHEN n_introns IS NULL THEN 'NO_GENE_STRUCTURE_FOUND' END], lambda x: x IS NOT NULL), ',') AS flags, round(coalesce(p.cov, 0), 3) AS prev_exon_telo, round(coalesce(x.cov, 0), 3) AS next_exon_telo
-FROM f LEFT JOIN telo p ON p.contig = f.contig AND p.cs = s AND p.ce = e AND p.side = 'prev' LEFT JOIN telo x ON x.contig = f.contig AND x.cs = s AND x.ce = e AND x.side = 'next'"""))
+  CASE WHEN n_introns = 1 AND pl < 50 AND nl < 50 THEN 'SINGLE_INTRON_TINY_EXONS' END, CASE WHEN t.p > 0.30 THEN 'TELO_IN_PREV_EXON' END,
+  CASE WHEN t.x > 0.30 THEN 'TELO_IN_NEXT_EXON' END, CASE WHEN n_introns IS NULL THEN 'NO_GENE_STRUCTURE_FOUND' END], lambda x: x IS NOT NULL), ',') AS flags, round(coalesce(t.p, 0), 3) AS prev_exon_telo, round(coalesce(t.x, 0), 3) AS next_exon_telo
+FROM f LEFT JOIN telo t ON t.contig = f.contig AND t.cs = f.s AND t.ce = f.e"""))
 def q07(spark, sf):
     f = V.features(spark, sf)
     i = I.introns(f).where(F.col("length") >= 20).select("contig", "start", "end").distinct()
