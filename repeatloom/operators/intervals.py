@@ -327,6 +327,17 @@ def exon_ranks(exons: DataFrame, keys: Sequence[str] = ("contig", "parent")) ->
     )
 
 
+def exon_sizes(exons: DataFrame, keys: Sequence[str] = ("contig", "parent")) -> DataFrame:
+    """All exon sizes of a transcript in (start, end) order: one row per distinct exon, numbered from 0.
+
+    Rows instead of one list per transcript, which nothing bounds.
+    """
+    ranked = running(
+        _in_order(exons, keys).withColumn("one", F.lit(1)), keys, "_at", "one", "_rank", "sum", upto_self=True,
+        bin_by=position_bin("start"))
+    return ranked.select(*keys, (F.col("_rank") - 1).alias("exon_index"), (F.col("end") - F.col("start")).alias("exon_len"))
+
+
 def neighbour_gaps(intervals: DataFrame, keys: Sequence[str] = ("contig",)) -> DataFrame:
     """Distance from each distinct interval to the one before on its contig."""
     d = _in_order(intervals, keys)

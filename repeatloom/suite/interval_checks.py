@@ -86,6 +86,13 @@ def w06(spark, sf):
     return I.exon_ranks(V.features(spark, sf)).withColumn("next_exon_len", F.col("next_exon_end") - F.col("end"))
 
 
+@check("w06_exon_sizes", with_ctes("features", body="""
+SELECT contig, parent, row_number() OVER (PARTITION BY contig, parent ORDER BY s, e) - 1 AS exon_index, e - s AS exon_len
+FROM (SELECT DISTINCT contig, parent, s, e FROM features)"""))
+def w06_sizes(spark, sf):
+    return I.exon_sizes(V.features(spark, sf))
+
+
 @check("w07_neighbour_gaps", with_ctes("features", body="""
 SELECT contig, CASE WHEN gap < 100 THEN 'below-100' WHEN gap < 1000 THEN '100-1k' WHEN gap < 10000 THEN '1k-10k' ELSE 'above' END AS bucket,
   count(*) AS n, CAST(sum(gap) AS BIGINT) AS total FROM (

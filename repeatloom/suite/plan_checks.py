@@ -236,7 +236,7 @@ telo AS MATERIALIZED (SELECT contig, cs, ce, max(CASE WHEN side = 'prev' THEN co
 
 @check("q07_misannotation_filter", with_ctes("introns", "features", "lens", "tta_hits", extra=_MIS, body="""
 SELECT f.contig, s AS start, e AS "end", parent, array_to_string(list_filter([CASE WHEN NOT inside THEN 'NEAR_CONTIG_BOUNDARY' END,
-  CASE WHEN inside AND NOT ((d = 'GT' AND a = 'AG') OR (d = 'CT' AND a = 'AC')) THEN 'BAD_GENOMIC_SPLICE' END, CASE WHEN pl < 20 THEN 'TINY_PREV_EXON' END, CASE WHEN nl < 20 THEN 'TINY_NEXT_EXON' END,
+  CASE WHEN inside AND NOT ((d = 'GT' AND a = 'AG') OR (d = 'CT' AND a = 'AC')) THEN 'BAD_GENOMIC_SPLICE' END, CASE WHEN pl < 20 THEN 'TINY_PREV_EXON(' || pl || 'bp)' END, CASE WHEN nl < 20 THEN 'TINY_NEXT_EXON(' || nl || 'bp)' END,
   CASE WHEN n_introns = 1 AND pl < 50 AND nl < 50 THEN 'SINGLE_INTRON_TINY_EXONS' END, CASE WHEN t.p > 0.30 THEN 'TELO_IN_PREV_EXON' END,
   CASE WHEN t.x > 0.30 THEN 'TELO_IN_NEXT_EXON' END, CASE WHEN n_introns IS NULL THEN 'NO_GENE_STRUCTURE_FOUND' END], lambda x: x IS NOT NULL), ',') AS flags, round(coalesce(t.p, 0), 3) AS prev_exon_telo, round(coalesce(t.x, 0), 3) AS next_exon_telo
 FROM f LEFT JOIN telo t ON t.contig = f.contig AND t.cs = f.s AND t.ce = f.e"""))
