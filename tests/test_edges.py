@@ -208,6 +208,14 @@ def test_covering_label_is_brute_force(spark, closed):
         assert r.got == min(inside, default=None)
 
 
+def test_covering_label_sends_no_points_through_the_driver(spark):
+    points = spark.range(1000).select(F.lit(1).alias("contig"), F.col("id").alias("pos"))
+    spans = points.select("contig", F.col("pos").alias("start"), (F.col("pos") + 900).alias("end"), F.col("pos").alias("name"))
+    got = I.covering_label(points, spans, "name", "got")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.pos: r.got for r in got.collect()} == {p: max(0, p - 899) for p in range(1000)}
+
+
 def test_first_container_is_brute_force(spark):
     rng = random.Random(12)
     inner = [(rng.randint(0, 1), s, s + rng.randint(1, 80)) for s in [rng.randint(0, 3000) for _ in range(150)]]
