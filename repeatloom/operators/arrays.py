@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repeatloom.functions import motifs as M
 from repeatloom.functions import scalars as S
+from repeatloom.functions import scans
 from repeatloom.operators.durable import once
 
 # --- fixed values -----------------------------------------------------------
@@ -20,8 +21,10 @@ PURE_MIN_LEN, PURE_MAX_N, PURE_MAX_EXACT, PURE_MAX_COVERAGE = 25, 0.05, 1, 0.10
 
 def family_coverages(seq: Column, families: Sequence[str], min_len: int = 1) -> Column:
     """``array<struct<cov, rank, family>>`` in family order."""
+    n = F.length(seq)
+    under = scans.covered(seq, [M.both_strands(u) for u in families])
     return F.array(*[
-        F.struct(M.coverage(seq, M.both_strands(u), min_len).alias("cov"),
+        F.struct(F.when(n >= max(1, min_len), under[i] / n).otherwise(F.lit(0.0)).alias("cov"),
                  F.lit(-i).alias("rank"), F.lit(u).alias("family"))
         for i, u in enumerate(families)])
 
@@ -91,27 +94,19 @@ def with_strand_runs(
     With ``family`` given, that family is used for every row.
     """
     units = (family,) if family else families
-    sizes = sorted({len(u) for u in units})
-
-    def runs(v: Column, kmers: Sequence[str]) -> Column:
-        k = len(kmers[0])
-        mine = F.filter(
-            v[f"h{k}"], lambda p: F.substring(v["raw"], p + 1, k).cast("string").isin(list(kmers)))
-        return M.runs_of_hits(mine, k, min_run)
-
-    def entry(v: Column, i: int, unit: str) -> Column:
-        both = F.struct(runs(v, M.forward(unit)).alias("fwd"), runs(v, M.backward(unit)).alias("rev"))
-        return M.let(both, lambda r: F.struct(
-            (M.total_bases(r["fwd"]) + M.total_bases(r["rev"])).alias("bp"),
-            F.lit(-i).alias("rank"), F.lit(unit).alias("family"),
-            r["fwd"].alias("fwd_runs"), r["rev"].alias("rev_runs")))
-
-    # One scan per motif length serves all families of that length.
-    scanned = F.struct(F.col(seq).cast("binary").alias("raw"), *[
-        M.hit_positions(F.col(seq), [m for u in units if len(u) == k for m in M.both_strands(u)]).alias(f"h{k}")
-        for k in sizes])
-    best = M.let(scanned, lambda v: F.array_max(F.array(*[entry(v, i, u) for i, u in enumerate(units)])))
-    return once(df, _best=best).select(
+    strands = [kmers for u in units for kmers in (M.forward(u), M.backward(u))]
+    # Null texts have no runs.
+    nothing = F.array_repeat(F.array().cast("array<struct<start:int,end:int>>"), len(strands))
+    found = once(df, _runs=F.coalesce(scans.runs(F.col(seq), strands, min_run), nothing))
+
+    def entry(i: int, unit: str) -> Column:
+        fwd, rev = F.col("_runs")[2 * i], F.col("_runs")[2 * i + 1]
+        return F.struct(
+            (M.total_bases(fwd) + M.total_bases(rev)).alias("bp"), F.lit(-i).alias("rank"), F.lit(unit).alias("family"),
+            fwd.alias("fwd_runs"), rev.alias("rev_runs"))
+
+    best = F.array_max(F.array(*[entry(i, u) for i, u in enumerate(units)]))
+    return once(found, _best=best).select(
         *df.columns,
         F.when((F.col("_best.bp") > 0) | F.lit(family is not None), F.col("_best.family")).alias("family"),
         F.col("_best.fwd_runs").alias("fwd_runs"),
@@ -313,16 +308,10 @@ def base_classes(df: DataFrame, unit: str, ids: Sequence[str], seq: str = "seq")
     """
     text = F.col(seq)
     f, r = M.forward(unit), M.backward(unit)
-    sets = [f, f + r]
-    canonical = [M.covered_bases(text, s) for s in sets]
-    near_f = M.one_mismatch(f)
-    near_r = M.one_mismatch(r)
-    upto = [
-        *canonical,
-        M.covered_bases(text, sorted(set(f + r) | set(near_f))),
-        M.covered_bases(text, sorted(set(f + r) | set(near_f) | set(near_r))),
-    ]
-    return df.select(*ids, *[c.alias(f"_u{i}") for i, c in enumerate(upto)], F.length(text).alias("n")).select(
+    near_f, near_r = M.one_mismatch(f), M.one_mismatch(r)
+    sets = [f, f + r, f + r + near_f, f + r + near_f + near_r]
+    found = once(df, _under=scans.covered(text, sets))
+    return found.select(*ids, *[F.col("_under")[i].alias(f"_u{i}") for i in range(len(sets))], F.length(text).alias("n")).select(
         *ids,
         F.col("_u0").alias("fwd_canonical"),
         (F.col("_u1") - F.col("_u0")).alias("rev_canonical"),

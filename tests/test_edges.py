@@ -208,6 +208,34 @@ def test_covering_label_is_brute_force(spark, closed):
         assert r.got == min(inside, default=None)
 
 
+def test_scans_of_a_batch_match_masks(spark, monkeypatch):
+    """Texts of one batch don't touch; slabs, other letters, open places, empty and null texts."""
+    from repeatloom.functions import scans
+
+    rng = random.Random(5)
+    sets = [M.both_strands(u) for u in M.RESCREEN_FAMILIES] + [M.one_mismatch(M.forward("TTAGGG"))]
+    texts = [None, "", "TTAG", "GGTTA"] + [
+        "".join(rng.choice(["TTAGGG", "CCCTAA", "TTTAGGG", "TTAGG", "A", "G", "N", "é", "\U0001f9ec"]) for _ in range(rng.randint(0, 90)))
+        for _ in range(120)]
+    monkeypatch.setattr(scans, "_SLAB", 64)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, seq string").repartition(2)
+    rows = df.select("seq", scans.covered(F.col("seq"), sets).alias("c"), scans.runs(F.col("seq"), sets[:7], 9).alias("r"),
+                     scans.positions(F.col("seq"), sets[0]).alias("p")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if r.seq is None:
+            assert r.c is None and r.r is None and r.p is None
+            continue
+        masks = [mask(r.seq, s) for s in sets[:7]]
+        assert r.c[:7] == [sum(m) for m in masks]
+        near = {i for m in M.forward("TTAGGG") for i in range(len(r.seq) - 5)
+                if sum(a != b for a, b in zip(m, r.seq[i:i + 6])) <= 1}
+        assert r.c[7] == len({i + o for i in near for o in range(6)})
+        assert r.p == [i for i in range(len(r.seq)) if any(r.seq.startswith(m, i) for m in sets[0])]
+        for got, m in zip(r.r, masks):
+            assert all(all(m[x.start:x.end]) and x.end - x.start >= 9 for x in got)
+
+
 def test_covering_label_sends_no_points_through_the_driver(spark):
     points = spark.range(1000).select(F.lit(1).alias("contig"), F.col("id").alias("pos"))
     spans = points.select("contig", F.col("pos").alias("start"), (F.col("pos") + 900).alias("end"), F.col("pos").alias("name"))
