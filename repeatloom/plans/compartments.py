@@ -36,27 +36,6 @@ def compartments(
     }).where(F.col("end") > F.col("start")).drop("contig_len"))
 
 
-def hits_inside(
-    hits: DataFrame, intervals: DataFrame, classes: Sequence[str], keys: Sequence[str] = ("contig",),
-) -> DataFrame:
-    """Hits ``pos, k`` that lie in an interval, with its ``start, end``; once per class that has one.
-
-    Intervals of one class don't overlap, so the one that a hit can lie in is the last that begins at or before it: a
-    running value in position order, linear in both sides.
-    """
-    place = F.struct("start", "end")
-    walls = intervals.select(*keys, "compartment", F.col("start").alias("pos"), F.lit(0).alias("k"), place.alias("_in"))
-    asked = hits.select(
-        *keys, F.explode(F.array(*[F.lit(c) for c in classes])).alias("compartment"), "pos", F.col("k").cast("int"),
-        F.lit(None).cast(walls.schema["_in"].dataType).alias("_in"))
-    at = F.struct("pos", "k")
-    held = running(
-        walls.unionByName(asked).withColumn("_at", at), [*keys, "compartment"], "_at", "_in", "_held", "max",
-        upto_self=True, bin_by=position_bin("pos"))
-    return held.where((F.col("k") > 0) & (F.col("pos") + F.col("k") <= F.col("_held.end"))).select(
-        *keys, "compartment", "_held.start", "_held.end", "pos", "k")
-
-
 def compartment_density(
     intervals: DataFrame, chunks: DataFrame, group: Sequence[str], keys: Sequence[str] = ("contig",),
     window: int = 200, strict: bool = True, unit: str = "TTAGGG",
@@ -64,28 +43,72 @@ def compartment_density(
     """Bases, hits and dense windows per compartment, from a chunk table without overlap.
 
     ``strict`` takes hits only from intervals at least one window long, while the
-    bases of all intervals count; otherwise all hits count.  Hits are found chunk by
-    chunk and assigned to intervals by position; no interval's text is put
-    together.  A window is dense with two hits: for neighbours a < b these are the windows
-    that begin from b - window + 1 to a, without those that the pair before had.
+    bases of all intervals count; otherwise all hits count.  A window is dense with two hits.  Neither hits nor windows are
+    rows: stretches of neighbouring hits, and of neighbouring starts of dense windows, are numbered along the contig, and an
+    interval's share is the difference between its ends.  The last windows of an interval don't see a hit that reaches
+    over its end; they are counted from the last two hits inside.
     """
     kmers = M.both_strands(unit)
-    inside = cut(hits_inside(Q.chunk_hits(chunks, kmers, keys), intervals, ("cds", "intron", "intergenic"), keys))
-    own = [*keys, "compartment", "start", "end"]
-    before = previous_value(inside, own, "pos", "pos", "_a")
-    paired = previous_value(before, own, "pos", "_a", "_a2")
-    last = F.col("end") - window
-    earlier = F.when(F.col("_a2").isNotNull(), F.least("_a2", last) + 1)
-    low = F.greatest(F.col("pos") - window + 1, F.col("start"), earlier)
-    dense = F.when(F.col("_a").isNotNull() & (last >= F.col("start")), F.greatest(
-        F.lit(0), F.least("_a", last) - low + 1)).otherwise(0)
-    counted = paired.where((last >= F.col("start")) if strict else F.lit(True)).groupBy(*own).agg(
-        F.count("*").alias("h"), F.sum(dense).alias("dense"))
-    bp = F.col("end") - F.col("start")
-    return intervals.join(counted, own, "left").groupBy(*group, "compartment").agg(
-        F.sum(bp).alias("bp"), F.coalesce(F.sum("h"), F.lit(0)).alias("telo_kmers"),
-        F.coalesce(F.sum("dense"), F.lit(0)).alias("telo_windows"),
-        F.sum(F.greatest(bp - window + 1, F.lit(0))).alias("total_windows"))
+    k = len(unit)
+    marks = cut(_marks(cut(Q.chunk_stretches(chunks, kmers, keys)), window, keys))
+    s, e = F.col("start"), F.col("end")
+    last = e - window
+    full = F.greatest(s, last - k + 2)
+    ask = lambda kind, x, sign: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("pos"), F.lit(sign).alias("sign"))
+    asked = F.when(last >= s, F.array(
+        ask("hit", s, -1), ask("hit", e - k + 1, 1), ask("dense", s, -1), ask("dense", full, 1)))
+    if not strict:
+        asked = asked.when(e - s >= k, F.array(ask("hit", s, -1), ask("hit", e - k + 1, 1)))
+    place = F.lit(None).cast(marks.schema["_in"].dataType)
+    probes = intervals.select(*keys, *group, "compartment", "start", "end", F.explode(asked).alias("_a")).select(
+        *keys, *group, "compartment", "start", "end", "_a.*", place.alias("_in"))
+    # At one place a question comes first: it asks for what begins before.
+    both = probes.unionByName(marks, allowMissingColumns=True).withColumn(
+        "_at", F.struct("pos", F.col("sign").isNull().alias("mark")))
+    told = running(both, [*keys, "kind"], "_at", "_in", "_held", "max", bin_by=position_bin("pos")).where(
+        F.col("sign").isNotNull() & F.col("_held").isNotNull())
+    held, hit = F.col("_held"), F.col("kind") == "hit"
+    top = F.least(held["last"], F.col("pos") - 1)
+    before = held["earlier"] + top - held["first"] + 1
+    second = F.when(top > held["first"], top - 1).otherwise(held["prev"])
+    cut_off = F.when(hit & (F.col("sign") == 1) & (last >= s) & second.isNotNull(), F.greatest(
+        F.lit(0), F.least(second, last) - full + 1)).otherwise(0)
+    shares = told.select(
+        *group, "compartment", F.when(hit, F.col("sign") * before).otherwise(0).alias("_h"),
+        (F.when(hit, 0).otherwise(F.col("sign") * before) + cut_off).alias("_d"))
+    bp = e - s
+    zero = F.lit(0).cast("long")
+    return intervals.select(
+        *group, "compartment", bp.alias("_bp"), F.greatest(bp - window + 1, F.lit(0)).alias("_w"),
+        zero.alias("_h"), zero.alias("_d"),
+    ).unionByName(shares.withColumns({"_bp": zero, "_w": zero})).groupBy(*group, "compartment").agg(
+        F.sum("_bp").alias("bp"), F.sum("_h").alias("telo_kmers"), F.sum("_d").alias("telo_windows"),
+        F.sum("_w").alias("total_windows"))
+
+
+def _marks(stretches: DataFrame, window: int, keys: Sequence[str]) -> DataFrame:
+    """Stretches ``pos, last`` of hits, and of starts of windows with two hits, with the number of places before each.
+
+    The windows whose first hit is the stretch's first one begin behind the stretch before and reach its second hit; the
+    others of a stretch are dense as they stand, its last one if the next stretch is in reach.
+    """
+    near = running(previous_value(stretches, keys, "pos", "last", "_prev"), keys, "pos", "pos", "_next", "min", from_top=True)
+    pos, last = F.col("pos"), F.col("last")
+    reaches = F.coalesce(F.col("_next") <= last + window - 1, F.lit(False))
+    second = F.when(last > pos, pos + 1).otherwise(F.col("_next"))
+    low = F.greatest(F.col("_prev") + 1, second - window + 1)
+    high = F.when(reaches, last).otherwise(last - 1)
+    sized = near.withColumns({"_low": low, "_high": high}).withColumn("_n", last - pos + 1).withColumn(
+        "_m", F.when(second.isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("_high") - F.col("_low") + 1)).otherwise(0))
+    hits = running(sized, keys, "pos", "_n", "_n_before", "sum")
+    both = running(hits, keys, "pos", "_m", "_m_before", "sum")
+    mark = lambda kind, first, end, earlier, prev: F.struct(
+        F.lit(kind).alias("kind"), F.col(first).alias("pos"), F.struct(
+            F.col(first).alias("first"), F.col(end).alias("last"), F.col(earlier).cast("long").alias("earlier"),
+            prev.cast("long").alias("prev")).alias("_in"))
+    return both.select(*keys, F.explode(F.array_compact(F.array(
+        mark("hit", "pos", "last", "_n_before", F.col("_prev")),
+        F.when(F.col("_m") > 0, mark("dense", "_low", "_high", "_m_before", F.lit(None)))))).alias("_k")).select(*keys, "_k.*")
 
 
 def density_ratios(density: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -479,6 +479,14 @@ def test_hits_across_chunk_borders(spark):
         assert got == {(c, i, len(m)) for c, t in texts.items() for m in kmers for i in range(len(t)) if t.startswith(m, i)}
 
 
+def test_hits_of_an_array_are_one_stretch(spark):
+    """One row per stretch, not per hit: the array's 595 hits are two rows, as it crosses a chunk border."""
+    text = "N" * 100 + "TTAGGG" * 100 + "N" * 100
+    chunks = Q.chunk(spark.createDataFrame([(1, text)], "contig int, seq string"), size=512)
+    rows = sorted((r.pos, r["last"]) for r in Q.chunk_stretches(chunks, TTA).collect())
+    assert rows == [(100, 511), (512, 694)]
+
+
 def test_density_of_intervals_without_their_text(spark):
     rng = random.Random(10)
     text = "".join(rng.choice(["TTAGGG", "A" * 9, "C" * 40]) for _ in range(120))
