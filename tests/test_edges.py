@@ -220,7 +220,7 @@ def test_scans_of_a_batch_match_masks(spark, monkeypatch):
     monkeypatch.setattr(scans, "_SLAB", 64)
     df = spark.createDataFrame(list(enumerate(texts)), "id int, seq string").repartition(2)
     rows = df.select("seq", scans.covered(F.col("seq"), sets).alias("c"), scans.runs(F.col("seq"), sets[:7], 9).alias("r"),
-                     scans.positions(F.col("seq"), sets[0]).alias("p")).collect()
+                     scans.positions(F.col("seq"), sets[0]).alias("p"), scans.counts(F.col("seq"), sets).alias("n")).collect()
     assert len(rows) == len(texts)
     for r in rows:
         if r.seq is None:
@@ -231,8 +231,10 @@ def test_scans_of_a_batch_match_masks(spark, monkeypatch):
         near = {i for m in M.forward("TTAGGG") for i in range(len(r.seq) - 5)
                 if sum(a != b for a, b in zip(m, r.seq[i:i + 6])) <= 1}
         assert r.c[7] == len({i + o for i in near for o in range(6)})
-        assert r.p == [i for i in range(len(r.seq)) if any(r.seq.startswith(m, i) for m in sets[0])]
-        for got, m in zip(r.r, masks):
+        assert r.n[7] == len(near) and r.n[0] == len(r.p)
+        raw = r.seq.encode().decode("latin-1")
+        assert r.p == [i for i in range(len(raw)) if any(raw.startswith(m, i) for m in sets[0])]
+        for got, m in zip(r.r, [mask(raw, s) for s in sets[:7]]):
             assert all(all(m[x.start:x.end]) and x.end - x.start >= 9 for x in got)
 
 
