@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repeatloom.functions import scans
 from repeatloom.functions.motifs import let
 from repeatloom.functions.scalars import revcomp
 from repeatloom.operators.durable import cut
@@ -26,18 +27,11 @@ def kmer_set(seq: Column, k: int) -> Column:
 def document_frequency(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """Per k-mer: number of sequences with it, and occurrences.
 
-    Each sequence's k-mers are sorted and the first of equals is marked, so one
-    shuffle with map-side sums gives both numbers.
+    Tasks count the words of whole Arrow batches and send each word once per batch, or once at all where a table of
+    all words is small; Spark sums.
     """
-    def mark(ks: Column) -> Column:
-        return F.transform(ks, lambda w, i: F.struct(
-            w.alias("kmer"), ((i == 0) | (F.get(ks, i - 1) != w)).cast("int").alias("new")))
-
-    return (
-        df.select(F.explode(let(F.array_sort(kmer_list(F.col(seq), k)), mark)).alias("_w"))
-        .groupBy(F.col("_w.kmer").alias("kmer"))
-        .agg(F.sum("_w.new").alias("n_seqs"), F.count("*").alias("n_total"))
-    )
+    counted = df.select(F.col(seq).cast("string")).mapInArrow(scans.word_counts(k), scans.WORD_COUNTS)
+    return counted.groupBy("kmer").agg(F.sum("n_seqs").alias("n_seqs"), F.sum("n_total").alias("n_total"))
 
 
 def _text_key(seq: Column) -> Column:

@@ -581,3 +581,27 @@ def test_boundary_density_letter_by_letter(spark):
                 covered[*key, strand] += p in under
     got = {(r.zone, r.bin, r.strand): (r.bases, r.covered) for r in A.boundary_density(df, "TTAGGG", 7).collect()}
     assert got == {k: (n, covered[k]) for k, n in bases.items()}
+
+
+def test_document_frequency_of_odd_texts(spark):
+    import numpy as np
+
+    from repeatloom.functions import scans
+
+    texts = ["ACGTACGTACGT", "ACGTNNACGTAC", "", None, "ACG", "ÄCGTÄCGTxyÄCGT", "ACGT", "ACGTACGTACGT", "GGGGGGGGGG"]
+    df = spark.createDataFrame([(t,) for t in texts], "seq string").coalesce(1)
+    for k in (4, 3, 9, 30):  # a table of all words, and words sorted or counted singly
+        seqs, total = Counter(), Counter()
+        for t in texts:
+            words = [t[i:i + k] for i in range(len(t) - k + 1)] if t else []
+            total.update(words)
+            seqs.update(set(words))
+        found = K.document_frequency(df, k)
+        assert {r.kmer: (r.n_seqs, r.n_total) for r in found.collect()} == {w: (seqs[w], total[w]) for w in total}
+    some = np.frombuffer(b"ACGTACGTAACCAC", np.uint8), np.array([0, 0, 5, 6, 12, 14])
+    words, n_seqs, n_total = scans._count(*some, 2)
+    dense = np.zeros((2, 25), np.int64)
+    scans._count(*some, 2, dense)
+    assert (dense[:, words] == [n_seqs, n_total]).all() and dense[1].sum() == n_total.sum() == 4 + 5 + 1
+    # No row per letter is made before the shuffle.
+    assert "Generate" not in K.document_frequency(df, 8)._jdf.queryExecution().executedPlan().toString()
