@@ -605,3 +605,18 @@ def test_document_frequency_of_odd_texts(spark):
     assert (dense[:, words] == [n_seqs, n_total]).all() and dense[1].sum() == n_total.sum() == 4 + 5 + 1
     # No row per letter is made before the shuffle.
     assert "Generate" not in K.document_frequency(df, 8)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_hits_are_counted_from_stretches(spark):
+    text = "ACG" + "TTAGGG" * 20 + "NNN" + "TTAGGG" + "A"
+    starts = [i for i in range(len(text)) if text[i:i + 6] in TTA]
+    seqs = spark.createDataFrame([(1, text), (2, "ACGT"), (3, None)], "contig long, seq string")
+    for size in (10, 64, 1000):
+        hits = Q.contig_stretches(seqs, TTA, size=size)
+        assert sorted(p for r in hits.collect() for p in range(r.pos, r.last + 1)) == starts
+        none = spark.createDataFrame([], "contig long, start long, end long")
+        lengths = spark.createDataFrame([(1, len(text))], "contig long, contig_len long")
+        land = I.window_landscape(lengths, none, none, hits, size=20, step=10)
+        assert {r.w_start: r.n_hits for r in land.collect()} == {
+            w: sum(w <= p < w + 20 for p in starts) for w in range(0, len(text), 10)}
+    assert "Exchange" not in Q.contig_stretches(seqs, TTA)._jdf.queryExecution().executedPlan().toString()
