@@ -40,6 +40,8 @@ PART = 128 << 10
 FAN = 8
 _SHIFT = np.int64(32)
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Words and letters of words whose tokens a worker keeps.
+KEPT_WORDS, KEPT_LETTERS = 1 << 19, 1 << 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,6 +72,15 @@ class Pair:
         #: What stands in the text of the groups for a token inside and at the end of its side of a group.
         self.shown = [f"{i}{s}" for i in range(size) for s in ",|"] + [f"{i}{s}" for i in range(len(self.b_bytes)) for s in ",;"]
         self.b_shown = 2 * size
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words with their numbers; per number where its ids begin and whether both sides give the word back."""
+        self.known: dict[str, int] = {}
+        self.letters = 0
+        self.same = np.zeros(0, bool)
+        self.begins = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -86,8 +97,80 @@ class Pair:
             begin = cut.end()
         yield text[begin:]
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds words that aren't known yet.
+
+        Most are encoded as one text, which may be cut before each space between them; alone are those that begin or
+        end with space (or its letter), and those of a text that isn't given back.
+        """
+        alone = [w for w in words if "▁" in w or w[0].isspace() or w[-1].isspace()]
+        joined = list(set(words) - set(alone))
+        new, begin = [], 0
+        while begin < len(joined):
+            end, size = begin, 0
+            while end < len(joined) and size < PART:
+                size += len(joined[end]) + 1
+                end += 1
+            new.append((joined[begin:end], self._encode_joined(joined[begin:end])))
+            begin = end
+        new.append((alone, None))
+        for some, found in new:
+            if found is None:
+                pairs = self._encode_whole([w.encode() for w in some])
+                found = [(np.concatenate([p[side] for p in pairs]), np.array([len(p[side]) for p in pairs]))
+                         for side in (0, 1) if pairs]
+            if not some:
+                continue
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.letters += sum(map(len, some))
+            for side, (ids, sizes) in enumerate(found):
+                self.ids[side] = np.concatenate([self.ids[side], ids])
+                self.begins[side] = np.concatenate([self.begins[side], self.begins[side][-1] + np.cumsum(sizes)])
+            self.same = np.concatenate([self.same, found[0][1] > 0])
+
+    def _encode_joined(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """For both sides the ids of all words and how many each has."""
+        coded = [w.encode() for w in words]
+        sides, = self._encode_whole([b" ".join(coded)])
+        if not len(sides[0]):
+            return None
+        ends = np.cumsum([len(w) + 1 for w in coded])
+        return [(ids, np.diff(np.searchsorted(np.cumsum(lengths[ids]), ends, "right"), prepend=0))
+                for ids, lengths in zip(sides, (self.a_lengths, self.b_lengths))]
+
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both for each text; none for empty texts and where the tokens' bytes aren't a space and the text."""
+        """Ids of both for each text; none for empty texts and where the tokens' bytes aren't a space and the text.
+
+        Texts that may be cut before single spaces are put together from their words, which are encoded once while kept.
+        """
+        if not self.cuttable:
+            return self._encode_whole(texts)
+        if len(self.known) > KEPT_WORDS or self.letters > KEPT_LETTERS:
+            self._forget()
+        words, counts = [], []
+        for t in texts:
+            try:
+                some = _BETWEEN.split(t.decode()) if t else []
+            except UnicodeDecodeError:  # no token has such bytes
+                some = []
+            words += some
+            counts.append(len(some))
+        fresh = list(set(words) - self.known.keys())
+        if fresh:
+            self._learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        upto = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        wrong = np.concatenate([[0], np.cumsum(~self.same[at])])[upto]
+        good, sides = np.diff(wrong) == 0, []
+        for begins, ids in zip(self.begins, self.ids):
+            sizes = begins[at + 1] - begins[at]
+            ends = np.cumsum(sizes)
+            every = ids[np.repeat(begins[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            sides.append(np.split(every, np.concatenate([[0], ends])[upto[1:-1]]))
+        none = np.zeros(0, np.int32)
+        return [(a, b) if g else (none, none) for a, b, g in zip(*sides, good)] if texts else []
+
+    def _encode_whole(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         whole = [t.decode("utf-8", "replace") for t in texts]
         parts = [list(self._parts(t)) if t else [] for t in whole]
         flat = [p for ps in parts for p in ps]

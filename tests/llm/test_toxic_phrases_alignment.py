@@ -288,6 +288,22 @@ def test_long_texts_in_parts_have_the_same_ids(pair, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(whole, parts))
 
 
+def test_words_are_encoded_once(pair, monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS] + [
+        t.encode() for t in ["x\u2581 y z", "a \u2581b a", " lead a", "trail a\n", "a  b\x1c c \x1cd", "a \u0301b a", "quiet quiet", "\x00 \x00 x"]]
+    whole, seen, encode = pair._encode_whole(texts), [], pair._encode_whole
+    monkeypatch.setattr(alignment, "PART", 50)
+    monkeypatch.setattr(pair, "_encode_whole", lambda ts: seen.append(sum(map(len, ts))) or encode(ts))
+    pair._forget()
+    for _ in range(2):
+        got = pair.encode(texts)
+        assert all(np.array_equal(x, y) for a, b in zip(whole, got) for x, y in zip(a, b)) and len(got) == len(texts)
+        assert 0 < sum(seen) < 0.75 * sum(map(len, texts))  # and nothing more in the second round
+    monkeypatch.setattr(alignment, "KEPT_WORDS", 3)
+    assert all(np.array_equal(x, y) for t, a in zip(texts, whole) for x, y in zip(a, pair.encode([t])[0]))
+    assert len(pair.known) < 60
+
+
 def test_alignment_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     expected = [(r.doc_id, *x) for r, x in zip(rows, brute_alignment_fast([r.text for r in rows]))]
