@@ -620,3 +620,23 @@ def test_window_hits_are_counted_from_stretches(spark):
         assert {r.w_start: r.n_hits for r in land.collect()} == {
             w: sum(w <= p < w + 20 for p in starts) for w in range(0, len(text), 10)}
     assert "Exchange" not in Q.contig_stretches(seqs, TTA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exon_ranks_by_one_exchange(spark):
+    draw = random.Random(5)
+    rows = [(c, p, s, s + draw.randrange(1, 900_000)) for c, p in ((1, 1), (1, 2), (2, 1))
+            for s in (draw.randrange(1 << 22) for _ in range(40))]
+    rows += rows[:9] + [(3, 1, 5, 9)]  # copies, and a transcript of one exon
+    df = spark.createDataFrame(rows, "contig long, parent long, start long, end long")
+    expected = set()
+    for key in {r[:2] for r in rows}:
+        exons = sorted({r[2:] for r in rows if r[:2] == key})
+        expected |= {(*key, a[1], b[0], i, len(exons), len(exons) - 1, a[1] - a[0], b[1] - b[0], a[0], b[1])
+                     for i, (a, b) in enumerate(zip(exons, exons[1:]))}
+    found = I.exon_ranks(df)
+    plan = found.withColumn("next_exon_len", F.col("next_exon_end") - F.col("end"))
+    rows_found = [(r.contig, r.parent, r.start, r.end, r.exon_index, r.n_exons, r.n_introns, r.prev_exon_len,
+                   r.next_exon_end - r.end, r.prev_exon_start, r.next_exon_end) for r in plan.collect()]
+    assert len(rows_found) == len(expected) and set(rows_found) == expected
+    # Distinct, one exchange of the exons by bin (used twice), and small ones of a row per bin.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # the distinct, in both readers
