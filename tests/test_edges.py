@@ -640,3 +640,15 @@ def test_exon_ranks_by_one_exchange(spark):
     assert len(rows_found) == len(expected) and set(rows_found) == expected
     # Distinct, one exchange of the exons by bin (used twice), and small ones of a row per bin.
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # the distinct, in both readers
+
+
+def test_separate_counts_leave_out_overlaps(spark):
+    from repeatloom.functions import scans
+
+    draw = random.Random(8)
+    texts = ["GTTAGGTTAGGTTAGG", "TTAGG" * 30, "TTAGGG" * 9, "GTTAG", "GTTAGG", "GTTAGG", "", None, "ÄTTAGGGTTAGGGÄ", "CCCTAACCCTAACCTAACC"] + [
+        "".join(draw.choices(["TTAGGG", "TTAGG", "CCCTAA", "G", "N"], k=30)) for _ in range(20)]
+    sets = [M.forward("TTAGGG"), M.backward("TTAGGG")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, seq string").coalesce(1)
+    got = {r.i: r.c for r in df.select("i", scans.separate_counts(F.col("seq"), sets).alias("c")).collect()}
+    assert got == {i: t if t is None else [sum(t.count(w) for w in s) for s in sets] for i, t in enumerate(texts)}
