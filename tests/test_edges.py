@@ -1,14 +1,17 @@
 """Hand-made edges and brute-force comparisons."""
 
+import itertools
 import random
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from repeatloom.functions import motifs as M
 from repeatloom.functions import scalars as S
+from repeatloom.functions import wordsets
 from repeatloom.operators import arrays as A
 from repeatloom.operators import intervals as I
 from repeatloom.operators import kmers as K
@@ -278,6 +281,65 @@ def test_similar_sets_are_exact(spark, monkeypatch):
     assert sum(sizes) == sum(1 for t in texts if len(t) >= 16)
 
 
+def _brute_pairs(texts, k, threshold):
+    def words(t):
+        r = M.rc_text(t)
+        return {x[i:i + k] for x in (t, r) for i in range(len(x) - k + 1)}
+
+    sets = {i: words(t) for i, t in texts.items()}
+    out = {}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        small = min(len(sets[i]), len(sets[j]))
+        n = len(sets[i] & sets[j])
+        if n and n / small >= threshold:
+            out[i, j] = (n, n / small)
+    return out
+
+
+@pytest.mark.parametrize("k,letters,threshold", [
+    (8, "ACGT", 0.2), (5, "ACGTN", 0.5), (16, "ACGT", 0.15), (8, "ACGTRYé", 0.2), (29, "ACGT", 0.3), (4, "AT", 0.9)])
+def test_similar_sets_need_no_row_per_word(spark, monkeypatch, k, letters, threshold):
+    """Blocks of any size, any letters, palindromes, words longer than a number; nothing is shuffled per word."""
+    rng = random.Random(k)
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 2 * k))) for _ in range(14)] + ["ACGT" * 6, "AT" * 10]
+    texts = {i: "".join(rng.choice(pieces) for _ in range(rng.randint(2, 12))) for i in range(90)}
+    texts = {i: t for i, t in texts.items() if len(t) >= k}
+    texts = {i: t for i, t in texts.items() if not any(texts[j] in (t, M.rc_text(t)) for j in texts if j < i)}
+    want = _brute_pairs(texts, k, threshold)
+    df = spark.createDataFrame([(f"t{i}", t) for i, t in texts.items()], "id string, seq string")
+    for block in (400, 1 << 25):
+        monkeypatch.setattr(wordsets, "BLOCK", block)
+        pairs = K.similar_sets(K.distinct_sets(df, k, k), threshold)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" not in plan
+        rows = pairs.collect()
+        got = {tuple(sorted((int(r.a[1:]), int(r.b[1:])))): (r.shared, r.overlap) for r in rows}
+        assert len(rows) == len(got) and got == want
+
+
+def test_similar_sets_of_empty_table(spark):
+    df = spark.createDataFrame([(1, None), (2, "AC")], "id long, seq string")
+    sets = K.distinct_sets(df, 8, 8)
+    assert K.similar_sets(sets, 0.2).collect() == [] and K.degrees(sets, K.similar_sets(sets, 0.2)).collect() == []
+
+
+def test_blocks_are_counted_in_small_steps(monkeypatch):
+    """Steps of a few pairs, words and matches, and few common words, give the same."""
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("ACGT") for _ in range(rng.randint(4, 14))) for _ in range(20)]
+    texts = {i: "".join(rng.choice(pieces) for _ in range(rng.randint(2, 9))) + "ACGT" * 2 for i in range(80)}
+    want = {p: n for p, (n, _) in _brute_pairs(texts, 8, 0.3).items()}
+    schema = pa.schema([("block", pa.int64()), ("reps", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
+                        ("sizes", pa.list_(pa.int32())), ("n_bytes", pa.int64()), ("letters", pa.binary())])
+    for counters, found, matches, checked, common in ((1, 1, 1, 1, 1), (300, 70, 40, 7, 5), (1 << 18, 1 << 22, 1 << 20, 1 << 16, 2048)):
+        for name, value in zip(("_COUNTERS", "_FOUND", "_MATCHES", "_CHECKED", "_COMMON"), (counters, found, matches, checked, common)):
+            monkeypatch.setattr(wordsets, name, value)
+        row = wordsets._row(schema, 0, list(texts), list(texts.values()), 8, True)
+        block = wordsets._opened(row.rename_columns([f"x_{c}" for c in schema.names]), "x", 8, True)
+        got = {(int(x), int(y)): int(n) for some in wordsets._Lookup(block).similar(block, 0.3) for x, y, n in zip(*some)}
+        assert got == want
+
+
 def test_long_chain_is_one_group(spark):
     v = spark.createDataFrame([(i,) for i in range(40)], "rep int")
     e = spark.createDataFrame([(i, i + 1) for i in range(38)], "a int, b int")
