@@ -13,7 +13,7 @@ from repeatloom.operators import arrays as A
 from repeatloom.operators import intervals as I
 from repeatloom.operators import sequences as Q
 from repeatloom.operators import summaries as G
-from repeatloom.operators.durable import cut, once
+from repeatloom.operators.durable import cut, once, stored
 
 # --- fixed values -----------------------------------------------------------
 KEEP_COVERAGE = 0.85
@@ -66,16 +66,17 @@ def intron_texts(
     """Introns with text.
 
     By default each interval appears once, with the smallest transcript that has
-    it.  ``per_transcript`` keeps an intron once per transcript.
+    it.  ``per_transcript`` keeps an intron once per transcript.  The introns are written to the shared folder before
+    they meet the chunks; other columns of the chunks come along.
     """
     gaps = I.introns(features, [*keys, "parent"], running).where(
         F.col("length").between(I.INTRON_MIN, max_len))
     strands = features.groupBy(*keys, "parent").agg(F.min("strand").alias("strand"))
-    texts = Q.slices(gaps, chunks, keys, size)
     if not per_transcript:
         gaps = I.first_per_interval(gaps, [*keys, "start", "end"], ["parent"])
+    rows = stored(gaps.join(strands, [*keys, "parent"]), "introns")
     return (
-        gaps.join(strands, [*keys, "parent"]).join(texts, [*keys, "start", "end"])
+        Q.with_slices(rows, chunks, keys, size)
         .withColumnRenamed("parent", "mrna")
         .withColumns({"donor": S.first(F.col("seq"), 2), "acceptor": S.last(F.col("seq"), 2)})
     )

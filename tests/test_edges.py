@@ -340,6 +340,22 @@ def test_blocks_are_counted_in_small_steps(monkeypatch):
         assert got == want
 
 
+def test_slices_go_to_their_rows(spark):
+    """Ranges inside a chunk, across several, clipped and outside; rows of one range each get the text; only those
+    across chunks are put together."""
+    rng = random.Random(31)
+    texts = {c: "".join(rng.choice("ACGTN") for _ in range(n)) for c, n in enumerate((0, 1, 16, 40, 65))}
+    spans = [(rng.randint(0, 5), s, s + rng.randint(0, 40)) for s in [rng.randint(-20, 70) for _ in range(300)]]
+    rows = spark.createDataFrame([(c, s, e, i) for i, (c, s, e) in enumerate([*spans, *spans[:30]])], "contig int, start long, end long, id int")
+    seqs = spark.createDataFrame([(c, f"g{c}", t) for c, t in texts.items()], "contig int, genome string, seq string")
+    got = Q.with_slices(rows, Q.chunk(seqs, ["contig", "genome"], size=16), size=16)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    want = {i: (f"g{c}", texts[c][max(s, 0):max(e, 0)]) for i, (c, s, e) in enumerate([*spans, *spans[:30]])
+            if c in texts and texts[c][max(s, 0):max(e, 0)]}
+    found = got.collect()
+    assert len(found) == len(want) and {r.id: (r.genome, r.seq) for r in found} == want
+
+
 def test_long_chain_is_one_group(spark):
     v = spark.createDataFrame([(i,) for i in range(40)], "rep int")
     e = spark.createDataFrame([(i, i + 1) for i in range(38)], "a int, b int")
