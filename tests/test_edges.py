@@ -730,3 +730,39 @@ def test_separate_counts_leave_out_overlaps(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, seq string").coalesce(1)
     got = {r.i: r.c for r in df.select("i", scans.separate_counts(F.col("seq"), sets).alias("c")).collect()}
     assert got == {i: t if t is None else [sum(t.count(w) for w in s) for s in sets] for i, t in enumerate(texts)}
+
+
+def test_stretches_keep_nothing_per_hit():
+    import numpy as np
+    import pyarrow as pa
+
+    from repeatloom.functions import scans
+
+    sets = scans._freeze([M.both_strands("TTAGGG"), M.both_strands("TTAGG")])
+    copies = 2 * scans._SLAB // 6
+    texts = ["ACGTN" * 4, "", "TTAGGG" * copies, "TTAGG", "GTTAG" + "CCCTAA" * 3]
+    raw, ends = scans._letters(pa.array(texts))
+    begin, end, text, value = scans._stretches(raw, ends, sets[:1])
+    # Neighbouring stretches are cut at slabs only; an array of a hundred thousand hits is three of them.
+    assert len(begin) <= 5 and set(text.tolist()) == {2, 4} and (value == 1).all()
+    hits = [{i for i in range(len(t)) for w in s if t.startswith(w, i)} for s in sets for t in (texts[0], texts[3], texts[4])]
+    under = [len({i + j for i in h for j in range(len(s[0]))}) for s, h in zip([sets[0]] * 3 + [sets[1]] * 3, hits)]
+    few = scans._sums(*scans._letters(pa.array([texts[0], texts[3], texts[4]])), sets)
+    assert few.ravel().tolist() == under
+    assert np.array_equal(scans._sums(raw, ends, sets)[0], [0, 0, 6 * copies, 0, 18])
+
+
+def test_kept_letters(spark):
+    from repeatloom.functions import scans
+
+    texts = ["aZ-b\u00e9B c\nn", "", None, "\u00e9\u2603", "AB" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", scans.kept_letters(F.col("t"), "abAB", "ACAC").alias("c")).collect()}
+    assert got == {0: "ACC", 1: "", 2: None, 3: "", 4: "AC" * 40}
+
+
+def test_views_of_documents_run_no_expression_per_letter(spark):
+    from repeatloom.suite import views as V
+
+    plan = V.dna(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "translate" not in plan
