@@ -78,6 +78,50 @@ def boundary_totals(df: DataFrame, genome: str = "genome", fingerprint: str = "A
     )
 
 
+def boundary_summary(df: DataFrame, genome: str = "genome", fingerprint: str = "AACC") -> DataFrame:
+    """``boundary_totals`` with ``top_donor`` and ``top_acceptor``, the most common inner motifs (the smaller of equals).
+
+    Rows are read once: they are counted per side and motif, and as a whole (side ``row``), and all else comes from
+    these counts.  Rows without a genome have no top motifs.
+    """
+    norm, orient = F.col("norm_seq"), F.col("orientation")
+    kinds = ("template-strand", "coding-strand", "converging")
+    sides = F.array(
+        F.struct(F.lit("row").alias("side"), F.lit(None).cast("string").alias("motif")),
+        *[F.struct(F.lit(s).alias("side"), S.inner_motif(norm, s).alias("motif")) for s in ("donor", "acceptor")])
+    rows = df.select(
+        genome, "orientation", S.starts_ends(norm, "GT", "AG").alias("_gt_ag"), F.explode(sides).alias("_s"))
+    side, motif = F.col("_s.side"), F.col("_s.motif")
+    names = [k.split("-")[0] for k in kinds]
+    counts = (
+        rows.where((side == "row") | motif.isNotNull())
+        .groupBy(genome, side.alias("side"), motif.alias("motif"))
+        .agg(F.count("*").alias("n"), F.count_if("_gt_ag").alias("_gt_ag"),
+             *[F.count_if(orient == k).alias(f"_{m}") for k, m in zip(kinds, names)]))
+    ranked = counts.withColumn("_rank", F.row_number().over(
+        Window.partitionBy(genome, "side").orderBy(F.desc("n"), F.asc("motif"))))
+
+    def total(of: str, test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col(of))), F.lit(0))
+
+    inside = F.col("side") == "acceptor"
+
+    def share(of: str) -> Column:
+        return F.round(F.try_divide(
+            F.lit(100) * total(of, inside & (F.col("motif") == fingerprint)), total(of, inside)), 1)
+
+    def top(s: str) -> Column:
+        first = (F.col("side") == s) & (F.col("_rank") == 1) & F.col(genome).isNotNull()
+        return F.max(F.when(first, F.col("motif")))
+
+    return ranked.groupBy(genome).agg(
+        total("n", F.col("side") == "row").alias("n_total"), total("_gt_ag", F.col("side") == "row").alias("n_gt_ag"),
+        share("n").alias("fingerprint_pct"),
+        *[share(f"_{m}").alias(f"fingerprint_pct_{m}") for m in names],
+        *[total(f"_{m}", inside).alias(f"n_{m}") for m in names],
+        top("donor").alias("top_donor"), top("acceptor").alias("top_acceptor"))
+
+
 def duplicate_counts(df: DataFrame, group: Sequence[str], seq: str, ids: Sequence[str]) -> DataFrame:
     """Adds how often the row's text occurs in its group.
 

@@ -102,13 +102,7 @@ def motif_screen(introns: DataFrame, unit: str = "TTAGGG", least: float = REPORT
 
 def genome_survey(screened: DataFrame, genome: str = "genome") -> DataFrame:
     """Per-genome totals with the most common boundary motifs."""
-    totals = G.boundary_totals(screened, genome)
-    counts = G.boundary_counts(screened, genome).groupBy(genome, "side", "motif").agg(F.sum("n").alias("n"))
-    best = G.top_k(counts, [genome, "side"], [F.desc("n"), F.asc("motif")], 1)
-    tops = best.groupBy(genome).agg(
-        F.max(F.when(F.col("side") == "donor", F.col("motif"))).alias("top_donor"),
-        F.max(F.when(F.col("side") == "acceptor", F.col("motif"))).alias("top_acceptor"))
-    return totals.join(tops, genome, "left")
+    return G.boundary_summary(screened, genome)
 
 
 def human_survey(introns: DataFrame, genome: str = "genome") -> DataFrame:

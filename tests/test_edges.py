@@ -766,3 +766,26 @@ def test_views_of_documents_run_no_expression_per_letter(spark):
 
     plan = V.dna(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "translate" not in plan
+
+
+def test_genome_survey_reads_rows_once(spark):
+    from repeatloom.operators import summaries as G
+    from repeatloom.plans import surveys as P
+
+    draw = random.Random(5)
+    kinds = ["template-strand", "coding-strand", "converging", "unknown"]
+    rows = [(draw.choice(["a", "b", None]), draw.choice(kinds),
+             draw.choice(["GT", "GT", "CT"]) + draw.choice(["AACC", "ACGT", "TTTT"]) + draw.choice(["", "AACC", "GGGG"]) + "AG")
+            for _ in range(300)] + [("c", "unknown", "GTAG"), ("d", "converging", "CC"), ("e", "unknown", None)]
+    df = spark.createDataFrame(rows, "genome string, orientation string, norm_seq string")
+    got = P.genome_survey(df)
+    totals = {tuple(r) for r in G.boundary_totals(df).collect()}
+    assert {tuple(r)[:-2] for r in got.collect()} == totals and got.columns[:-2] == G.boundary_totals(df).columns
+    for r in got.collect():
+        for side, top in (("donor", r.top_donor), ("acceptor", r.top_acceptor)):
+            cut = (lambda t: t[2:6]) if side == "donor" else (lambda t: t[-6:-2])
+            found = [cut(t) for g, _, t in rows if g == r.genome and t and t[:2] == "GT" and t[-2:] == "AG" and len(t) >= 8]
+            best = min(set(found), key=lambda m: (-found.count(m), m)) if found and r.genome is not None else None
+            assert top == best
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
