@@ -44,17 +44,21 @@ def with_best_family(
 
 def with_strand_class(df: DataFrame, seq: str = "seq", family: str | None = None,
                       families: Sequence[str] = ()) -> DataFrame:
-    """Strand ratio and class, by TTAGGG or by each row's own family."""
-    text = F.col(seq)
-    if family is None:
-        frac, kind = M.strand_fraction(text), M.strand_class(text, F.col("fwd_frac"))
-    else:
-        frac, kind = F.lit(None).cast("double"), F.lit(None).cast("string")
-        for unit in families:
-            mine = F.col(family) == unit
-            frac = F.when(mine, M.strand_fraction(text, unit)).otherwise(frac)
-            kind = F.when(mine, M.strand_class(text, F.col("fwd_frac"), unit)).otherwise(kind)
-    return df.withColumn("fwd_frac", frac).withColumn("orientation", kind)
+    """Strand ratio and class, by TTAGGG or by each row's own family.
+
+    Both strands of all families are counted by one lookup per letter.  Rows of no listed family have neither.
+    """
+    units = ("TTAGGG",) if family is None else tuple(families)
+    counts = F.col("_counts")
+    pick, known = F.lit(0), F.lit(True)
+    if family is not None:
+        pick, known = F.array_position(F.lit(list(units)), F.col(family)).cast("int") - 1, F.col(family).isin(*units)
+    sets = [kmers for u in units for kmers in (M.forward(u), M.backward(u))]
+    counted = df.withColumn("_counts", scans.separate_counts(F.col(seq), sets))
+    fwd, both = F.get(counts, 2 * pick), F.get(counts, 2 * pick) + F.get(counts, 2 * pick + 1)
+    frac = F.when(both == 0, F.lit(0.5)).otherwise(fwd / F.greatest(both, F.lit(1)))
+    kind = F.when(both == 0, "unknown").otherwise(M.strand_side(F.col("fwd_frac")))
+    return counted.withColumn("fwd_frac", F.when(known, frac)).withColumn("orientation", F.when(known, kind)).drop("_counts")
 
 
 def with_splice_form(df: DataFrame, seq: str = "seq") -> DataFrame:

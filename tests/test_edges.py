@@ -789,3 +789,20 @@ def test_genome_survey_reads_rows_once(spark):
             assert top == best
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_strand_class_runs_no_pattern_per_motif(spark):
+    texts = ["TTAGGG" * 3, "CCCTAA" * 3, "TTAGGGCCCTAA", "ACGT", "", None, "GTTAGGTTAGG"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, seq string")
+    told = A.with_strand_class(df)
+    plain = df.withColumn("fwd_frac", M.strand_fraction(F.col("seq"))).withColumn(
+        "orientation", M.strand_class(F.col("seq"), F.col("fwd_frac")))
+    assert sorted(map(repr, told.collect())) == sorted(map(repr, plain.collect()))
+    for family in ("TTAGG", "TTAGGG", "TTTT", None):
+        mine = df.withColumn("family", F.lit(family).cast("string"))
+        own = A.with_strand_class(mine, family="family", families=M.RESCREEN_FAMILIES)
+        listed = family in M.RESCREEN_FAMILIES
+        expected = mine.withColumn("fwd_frac", M.strand_fraction(F.col("seq"), family) if listed else F.lit(None)).withColumn(
+            "orientation", M.strand_class(F.col("seq"), F.col("fwd_frac"), family) if listed else F.lit(None))
+        assert sorted(map(repr, own.collect())) == sorted(map(repr, expected.collect()))
+    assert "regexp_count" not in told._jdf.queryExecution().optimizedPlan().toString()
