@@ -806,3 +806,40 @@ def test_strand_class_runs_no_pattern_per_motif(spark):
             "orientation", M.strand_class(F.col("seq"), F.col("fwd_frac"), family) if listed else F.lit(None))
         assert sorted(map(repr, own.collect())) == sorted(map(repr, expected.collect()))
     assert "regexp_count" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_and_placements_are_made_once(spark):
+    points = spark.range(50).select((F.col("id") % 3).alias("contig"), (F.col("id") * 7).alias("pos"))
+    spans = spark.createDataFrame([(0, 10, 90, 1), (1, 0, 40, 2), (1, 30, 300, 3)], "contig long, start long, end long, gene long")
+    none = spans.where("gene < 0").withColumn("name", F.col("gene"))
+    told = I.annotate_points(points, none, spans.where("gene < 3"), spans)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    for r in told.collect():
+        introns, exons = ([g for c, s, e, g in [(0, 10, 90, 1), (1, 0, 40, 2), (1, 30, 300, 3)][:n]
+                           if c == r.contig and s <= r.pos < e] for n in (2, 3))
+        place = "in_intron" if introns else "in_exon" if exons else "intergenic"
+        assert (r.place, r.gene) == (place, min(introns or exons, default=None))
+    pairs = spark.createDataFrame([("ACGTACG", "TTACGAACGTT"), ("", "A"), (None, "A"), ("ACG", "AC")], "query string, target string")
+    placed = P.best_placement(pairs).where(F.col("matches").isNotNull())
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [_placed") == 1
+    assert [r.matches for r in placed.collect()] == [6]
+
+
+def test_short_texts_are_placed_without_votes(monkeypatch):
+    draw = random.Random(9)
+    for _ in range(60):
+        target, query = ("".join(draw.choices("ACGT"[:draw.choice([1, 2, 4])], k=n)) for n in (draw.randint(30, 200), draw.randint(1, 30)))
+        index, q = P.SeedIndex(P._letters(target)), P._letters(query)
+        for least in (0, 5, len(query)):
+            monkeypatch.setattr(P, "DIRECT", 1 << 17)
+            direct = index.best(q, least)
+            monkeypatch.setattr(P, "DIRECT", 0)
+            assert direct == index.best(q, least)
+            found = [sum(a == b for a, b in zip(query, target[i:])) for i in range(len(target) - len(query) + 1)]
+            assert direct == ((max(found), found.index(max(found))) if max(found) >= least else None)
+
+
+def test_rows_on_keys_of_others(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 6), (None, 7), (1, 8)], "contig long, start long")
+    others = spark.createDataFrame([(1,), (1,), (3,), (None,)], "contig long")
+    assert sorted(r.start for r in I.on_keys_of(rows, others).collect()) == [5, 8]
