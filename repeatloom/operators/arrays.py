@@ -46,16 +46,16 @@ def with_strand_class(df: DataFrame, seq: str = "seq", family: str | None = None
                       families: Sequence[str] = ()) -> DataFrame:
     """Strand ratio and class, by TTAGGG or by each row's own family.
 
-    Both strands of all families are counted by one lookup per letter.  Rows of no listed family have neither.
+    Both strands of the family are counted by one lookup per letter.  Rows of no listed family have neither.
     """
-    units = ("TTAGGG",) if family is None else tuple(families)
-    counts = F.col("_counts")
-    pick, known = F.lit(0), F.lit(True)
-    if family is not None:
-        pick, known = F.array_position(F.lit(list(units)), F.col(family)).cast("int") - 1, F.col(family).isin(*units)
-    sets = [kmers for u in units for kmers in (M.forward(u), M.backward(u))]
-    counted = df.withColumn("_counts", scans.separate_counts(F.col(seq), sets))
-    fwd, both = F.get(counts, 2 * pick), F.get(counts, 2 * pick) + F.get(counts, 2 * pick + 1)
+    strands = lambda unit: (M.forward(unit), M.backward(unit))
+    if family is None:
+        found, known = scans.separate_counts(F.col(seq), strands("TTAGGG")), F.lit(True)
+    else:
+        found = scans.own_separate_counts(F.col(seq), F.col(family), {u: strands(u) for u in families})
+        known = F.col(family).isin(*families)
+    counted, counts = df.withColumn("_counts", found), F.col("_counts")
+    fwd, both = counts[0], counts[0] + counts[1]
     frac = F.when(both == 0, F.lit(0.5)).otherwise(fwd / F.greatest(both, F.lit(1)))
     kind = F.when(both == 0, "unknown").otherwise(M.strand_side(F.col("fwd_frac")))
     return counted.withColumn("fwd_frac", F.when(known, frac)).withColumn("orientation", F.when(known, kind)).drop("_counts")
