@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from repeatloom.llm.rows import release
 from repeatloom.operators.durable import scratch_path
 
+#: Blocks in a row group of a Parquet file: Spark's reader decodes a row group at once, and a writer holds one back.
+TOGETHER = 8
+
 
 def block_numbers() -> Iterator[int]:
     """Numbers that no other task of the same stage gives; what carries them is written before it is read twice."""
@@ -19,24 +22,28 @@ def block_numbers() -> Iterator[int]:
     return (first + i for i in range(1 << 32))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+def written(df: DataFrame, name: str, together: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; where rows are blocks, row groups hold ``together`` of them."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    _grouped(df, together).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _grouped(df: DataFrame, together: int | None) -> DataFrameWriter:
+    return df.write.option("parquet.block.row.count.limit", together) if together else df.write
+
+
 def bucketed(df: DataFrame, name: str, by: str) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as a table in buckets of ``by``, which joins on ``by`` read in place, and what forgets the table's name.
 
     There are as many buckets as the session has shuffle partitions, so that the other side of a join is dealt alike.
-    The files lie in the shared folder.
+    The files lie in the shared folder, with ``TOGETHER`` rows in a row group.
     """
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("path", path).bucketBy(parts, by).saveAsTable(table)
+    _grouped(df, TOGETHER).option("path", path).bucketBy(parts, by).saveAsTable(table)
     return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 

@@ -3,7 +3,7 @@
 The relation of length k has a row for each place of a text where a frequent phrase of k words begins: (block, place,
 group).  Places count words; between two pieces one place stays free, so neighbours in place are neighbours in a piece.
 A block holds the places of some MB of text of one language in order, as arrays, and the relations are tables in
-buckets of the block.  One length further:
+buckets of the block, written with few blocks in a row group, so that no task decodes a whole file.  One length further:
 
 - merge-join: the relation and that of single words meet block by block, in place, at place and place + k - 1;
 - group-count: the joined groups, counted within each block first, are summed by Spark;
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatloom.llm.blocks import block_numbers, bucketed, numbers, table_of, written
+from repeatloom.llm.blocks import TOGETHER, block_numbers, bucketed, numbers, table_of, written
 from repeatloom.llm.rows import LOWER_TABLE, quoted, release
 
 #: Bytes of text in a block, and of text that waits in a task for its language's block to fill.
@@ -283,7 +283,7 @@ def phrase_counts(
     """
     sc = docs.sparkSession.sparkContext
     raw = written(docs.select(F.coalesce(quoted(lang_col), F.lit("und")).alias("lang"), quoted(text_col).alias("text"))
-                  .mapInArrow(_raw_blocks, _RAW_DDL), "words")
+                  .mapInArrow(_raw_blocks, _RAW_DDL), "words", TOGETHER)
     counted = raw.mapInArrow(_word_counts, _COUNT_WORDS_DDL)
     totals = raw.groupBy("lang").agg(F.sum(F.size("word").cast("long")).alias("n"))
     words, n_words = _numbered(

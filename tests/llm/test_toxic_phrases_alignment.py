@@ -4,16 +4,18 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from repeatloom.llm import alignment, collocations, toxicity
+from repeatloom.llm import alignment, blocks, collocations, toxicity
 from repeatloom.llm.queries import QUERIES, tokenizer_file
 from tests.llm.conftest import frame
 
@@ -176,6 +178,22 @@ def test_blocks_end_where_pieces_end(monkeypatch):
     assert (gaps[[0, 3]] == 1).all() and (gaps[[1, 2, 4]] > 1).all()
 
 
+def test_no_file_has_many_blocks_in_a_row_group(spark, monkeypatch):
+    """A reader decodes a row group at once, so a task's memory must not follow the size of its file."""
+    paths, new = [], blocks.scratch_path
+    monkeypatch.setattr(blocks, "scratch_path", lambda *of: paths.append(new(*of)) or paths[-1])
+    docs = spark.createDataFrame([("aa bb, aa bb", f"l{i}") for i in range(150)], "text string, lang string").coalesce(1)
+    counts, _ = collocations.phrase_counts(docs, longest=3, least=2)
+    assert counts.count() == 450
+    held = defaultdict(list)
+    for path in paths:
+        for file in Path(path).glob("*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            held[Path(path).name.split("-")[0]] += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(held["words"]) == 150 and sum(held["places"]) >= 150
+    assert max(held["words"] + held["places"]) == blocks.TOGETHER
+
+
 def test_scores_beyond_64_bits(spark):
     """The score's arithmetic on counts that no test table reaches."""
     a, l, r = 7 * 10**15 + 1, 9 * 10**15, 8 * 10**15 + 3
