@@ -356,6 +356,73 @@ def test_slices_go_to_their_rows(spark):
     assert len(found) == len(want) and {r.id: (r.genome, r.seq) for r in found} == want
 
 
+def test_a_row_goes_once_to_its_texts(spark):
+    """Several ranges of a row: inside a chunk, across chunks, empty, null, clipped and outside; equal rows stay apart."""
+    rng = random.Random(32)
+    texts = {c: "".join(rng.choice("ACGTN") for _ in range(n)) for c, n in enumerate((0, 1, 16, 40, 65))}
+    at = lambda: rng.choice([None, *range(-20, 80)])
+    rows = [(rng.randint(0, 5), at(), at(), at(), at()) for _ in range(300)]
+    rows = [(*r, i) for i, r in enumerate(rows + rows[:40])]
+    df = spark.createDataFrame(rows, "contig int, a long, b long, c long, d long, id int")
+    seqs = spark.createDataFrame(list(texts.items()), "contig int, seq string")
+    got = Q.with_texts(df, Q.chunk(seqs, size=16), {"x": (F.col("a"), F.col("b")), "y": (F.col("c"), F.col("d"))}, size=16, by=["id"])
+    text = lambda c, s, e: "" if s is None or e is None else texts.get(c, "")[max(s, 0):max(e, 0)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(
+        repr((*r, text(r[0], r[1], r[2]), text(r[0], r[3], r[4]))) for r in rows)
+
+
+def _shuffles(df):
+    """Exchanges of the plan as it ran, without those that are read a second time."""
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in ran.splitlines())
+
+
+def test_rows_and_carry_share_their_exchange(spark):
+    """Starts, rows by bin, and the carry by key and by bin: four, whatever is joined behind them."""
+    f = spark.createDataFrame([(c, p, s, s + 5) for c in range(4) for p in range(5) for s in range(0, 90, 9)],
+                              "contig int, parent int, start long, end long")
+    n = spark.createDataFrame([(c, 80) for c in range(3)], "contig int, contig_len int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffles(I.introns(f)) <= 4 and _shuffles(I.introns(f, running=False)) <= 4
+        assert _shuffles(I.introns(f).join(n, "contig")) <= 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_flanks_need_few_exchanges(spark):
+    """Rows, lengths, chunks, rows by chunk and texts of several chunks; flanks were joined back to their rows before."""
+    rows = spark.createDataFrame([(c, s, s + 30) for c in range(4) for s in range(0, 90, 9)], "contig int, start long, end long")
+    seqs = spark.createDataFrame([(c, "ACGTN" * 20) for c in range(4)], "contig int, seq string")
+    chunks, lengths = Q.chunk(seqs, size=16), seqs.select("contig", F.length("seq").cast("long").alias("contig_len"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Q.flanks(rows, chunks, lengths, 10, size=16)
+        assert _shuffles(got) <= 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = "ACGTN" * 20
+    assert {(r.contig, r.start, r.end, r.left_flank, r.right_flank) for r in got.collect()} == {
+        (c, s, s + 30, text[max(s - 10, 0):s], text[s + 30:s + 40]) for c in range(4) for s in range(0, 90, 9)}
+
+
+def test_tolerance_of_both_ends(spark):
+    """Cells of both ends find what a comparison of all pairs finds, at cell borders and below zero too."""
+    rng = random.Random(33)
+    span = lambda: (rng.randint(0, 1), *[rng.randint(-70, 140) for _ in range(2)])
+    introns = [span() for _ in range(400)] + [(0, 62, 127), (0, 64, 128), (1, -1, 0)]
+    targets = [span() for _ in range(400)] + [(0, 63, 128), (1, 1, -1)]
+    a = spark.createDataFrame(introns, "contig int, start long, end long")
+    b = spark.createDataFrame(targets, "contig int, t_start long, t_end long")
+    for tol in (0, 2, 11):
+        want = Counter((c, s, e, ts, te) for c, s, e in introns for d, ts, te in targets
+                       if c == d and abs(s - ts) <= tol and abs(e - te) <= tol)
+        got = I.within_tolerance(a, b, tol=tol).select("contig", "start", "end", "t_start", "t_end").collect()
+        assert Counter(map(tuple, got)) == want
+    assert I.within_tolerance(a, b.limit(1), tol=2)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
 def test_long_chain_is_one_group(spark):
     v = spark.createDataFrame([(i,) for i in range(40)], "rep int")
     e = spark.createDataFrame([(i, i + 1) for i in range(38)], "a int, b int")
