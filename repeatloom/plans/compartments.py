@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repeatloom.functions import motifs as M
 from repeatloom.operators import intervals as I
 from repeatloom.operators import sequences as Q
-from repeatloom.operators.durable import cut
+from repeatloom.operators.durable import stored
 from repeatloom.operators.ordered import position_bin, previous_value, running
 
 
@@ -22,7 +22,7 @@ def compartments(
     Introns come from exons, or from CDS rows of transcripts without exons.
     """
     exons = I.prefer_exons(features, [*keys, "parent"])
-    introns = cut(I.introns(exons, [*keys, "parent"], running=False).select(*keys, "start", "end").distinct())
+    introns = stored(I.introns(exons, [*keys, "parent"], running=False).select(*keys, "start", "end").distinct(), "introns")
     cds = I.merge(features.where(F.col("ftype") == "CDS").select(*keys, "start", "end"), keys)
     introns_merged = I.merge(introns, keys)
     occupied = I.merge(genes.select(*keys, "start", "end").unionByName(introns), keys)
@@ -31,9 +31,9 @@ def compartments(
         cds.withColumn("compartment", F.lit("cds"))
         .unionByName(introns_merged.withColumn("compartment", F.lit("intron")))
         .unionByName(free.withColumn("compartment", F.lit("intergenic"))))
-    return cut(rows.join(lengths, list(keys)).withColumns({
+    return stored(rows.join(lengths, list(keys)).withColumns({
         "start": F.greatest(F.col("start"), F.lit(0)), "end": F.least(F.col("end"), F.col("contig_len")),
-    }).where(F.col("end") > F.col("start")).drop("contig_len"))
+    }).where(F.col("end") > F.col("start")).drop("contig_len"), "compartments")
 
 
 def compartment_density(
@@ -50,7 +50,7 @@ def compartment_density(
     """
     kmers = M.both_strands(unit)
     k = len(unit)
-    marks = cut(_marks(cut(Q.chunk_stretches(chunks, kmers, keys)), window, keys))
+    marks = stored(_marks(stored(Q.chunk_stretches(chunks, kmers, keys), "stretches"), window, keys), "marks")
     s, e = F.col("start"), F.col("end")
     last = e - window
     full = F.greatest(s, last - k + 2)
@@ -60,17 +60,20 @@ def compartment_density(
     if not strict:
         asked = asked.when(e - s >= k, F.array(ask("hit", s, -1), ask("hit", e - k + 1, 1)))
     place = F.lit(None).cast(marks.schema["_in"].dataType)
-    probes = intervals.select(*keys, *group, "compartment", "start", "end", F.explode(asked).alias("_a")).select(
-        *keys, *group, "compartment", "start", "end", "_a.*", place.alias("_in"))
+    probes = intervals.select(*keys, *group, "compartment", "start", F.explode(asked).alias("_a")).select(
+        *keys, *group, "compartment", "start", "_a.*", place.alias("_in"))
     # At one place a question comes first: it asks for what begins before.
     both = probes.unionByName(marks, allowMissingColumns=True).withColumn(
-        "_at", F.struct("pos", F.col("sign").isNull().alias("mark")))
-    told = running(both, [*keys, "kind"], "_at", "_in", "_held", "max", bin_by=position_bin("pos")).where(
-        F.col("sign").isNotNull() & F.col("_held").isNotNull())
+        "_at", F.struct("pos", F.col("sign").isNull().alias("mark"))).drop("pos")
+    told = running(both, [*keys, "kind"], "_at", "_in", "_held", "max", bin_by=position_bin("_at.pos")).where(
+        F.col("sign").isNotNull() & F.col("_held").isNotNull()).withColumn("pos", F.col("_at.pos"))
     held, hit = F.col("_held"), F.col("kind") == "hit"
     top = F.least(held["last"], F.col("pos") - 1)
     before = held["earlier"] + top - held["first"] + 1
     second = F.when(top > held["first"], top - 1).otherwise(held["prev"])
+    # The last question about hits stands k - 1 before the interval's end, which need not be sent.
+    last = F.col("pos") + k - 1 - window
+    full = F.greatest(s, last - k + 2)
     cut_off = F.when(hit & (F.col("sign") == 1) & (last >= s) & second.isNotNull(), F.greatest(
         F.lit(0), F.least(second, last) - full + 1)).otherwise(0)
     shares = told.select(

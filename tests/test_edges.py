@@ -423,6 +423,17 @@ def test_tolerance_of_both_ends(spark):
     assert I.within_tolerance(a, b.limit(1), tol=2)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
 
 
+@pytest.mark.parametrize("name", ["j11_flanks", "q11_g14_density_ratios"])
+def test_contigs_are_made_once(spark, monkeypatch, name):
+    """Texts become contigs in one place, whose file gives lengths, names and chunks."""
+    from repeatloom.suite import views
+    from repeatloom.suite.registry import QUERIES
+    calls, made = [], views.dna
+    monkeypatch.setattr(views, "dna", lambda *of: calls.append(of) or made(*of))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_long_chain_is_one_group(spark):
     v = spark.createDataFrame([(i,) for i in range(40)], "rep int")
     e = spark.createDataFrame([(i, i + 1) for i in range(38)], "a int, b int")
